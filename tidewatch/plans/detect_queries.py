@@ -18,7 +18,7 @@ NEWS = f"WITH {V.NEWS_SQL}"
 DETECTED = f"{NEWS}, {S.hits()},\n{S.DETECTED}"
 ENRICHED = f"{DETECTED},\n{S.CONTEXT}"
 SCORE = f"round({S.KEYWORD_SCORE}, 6)"
-CORPUS = S.values([(w, k, i) for i, (w, k) in enumerate(V.CORPUS_WORDS)], "keyword, ticker, ord", "kw")
+CORPUS = [(w, k, i) for i, (w, k) in enumerate(V.CORPUS_WORDS)]
 SHOCK_TEXT = "lower(headline || ' ' || coalesce(full_text, ''))"
 IS_SHOCK = S.any_phrase(SHOCK_TEXT, dims.SHOCK_PHRASES)
 
@@ -35,8 +35,7 @@ def detect_companies(t: Tables) -> DataFrame:
 @query("detect_companies_by_dim", f"""{NEWS}, {S.hits(CORPUS)},
 {S.DETECTED} SELECT news_id, ticker, role, keyword FROM detected""")
 def detect_companies_by_dim(t: Tables) -> DataFrame:
-    dim = t.spark.createDataFrame([(w, k, i) for i, (w, k) in enumerate(V.CORPUS_WORDS)],
-                                  "keyword string, ticker string, ord int")
+    dim = t.spark.createDataFrame(CORPUS, "keyword string, ticker string, ord int")
     return (detect.detect_companies_by_dim(V.news(t), dim)
             .select("news_id", "ticker", "role", "keyword"))
 
@@ -44,8 +43,7 @@ def detect_companies_by_dim(t: Tables) -> DataFrame:
 @query("detect_companies_corpus_words", f"""{NEWS}, {S.hits(CORPUS)},
 {S.DETECTED} SELECT news_id, ticker, role, keyword FROM detected""")
 def detect_companies_corpus_words(t: Tables) -> DataFrame:
-    words = [(w, k, i) for i, (w, k) in enumerate(V.CORPUS_WORDS)]
-    return (detect.detect_companies(V.news(t), words)
+    return (detect.detect_companies(V.news(t), CORPUS)
             .select("news_id", "ticker", "role", "keyword"))
 
 

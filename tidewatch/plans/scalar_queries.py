@@ -169,8 +169,8 @@ def f_confidence(t: Tables) -> DataFrame:
     return scalars(t).select("news_id", F.abs("sentiment").alias("confidence"))
 
 
-@query("f_word_match", f"""{NEWS} SELECT news_id, {S.word_test("low", "'tesla'")} AS tesla, {S.word_test("low", "'at&t'")} AS att,
-  {S.word_test("low", "'that'")} AS that_word FROM texts""")
+@query("f_word_match", f"""{NEWS} SELECT news_id, {S.word_test("low", "tesla")} AS tesla, {S.word_test("low", "at&t")} AS att,
+  {S.word_test("low", "that")} AS that_word FROM texts""")
 def f_word_match(t: Tables) -> DataFrame:
     body = text.full_text(F.col("headline"), F.col("full_text"))
     return V.news(t).select("news_id", text.word_match(body, "tesla").alias("tesla"),

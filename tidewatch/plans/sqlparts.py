@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from tidewatch import dims
 from tidewatch.plans.views import sql_text
 
@@ -19,7 +21,6 @@ def values(rows, columns: str, name: str) -> str:
     return f"{name} AS (SELECT * FROM (VALUES {body}) AS v({columns}))"
 
 
-KEYWORDS = values(dims.keyword_rows(), "keyword, ticker, ord", "kw")
 FIRST_MATCH_KEYWORDS = values(dims.keyword_rows("first_match"), "keyword, ticker, ord", "kw")
 COMPANIES = values([(t, n, s, sup) for t, n, s, sup, _ in dims.COMPANIES],
                    "ticker, official_name, sector, is_supplier", "companies")
@@ -30,18 +31,23 @@ PHRASES = values([(c, p) for c, _, _, ps in dims.CATEGORIES for p in ps],
 
 
 def word_test(text: str, keyword: str) -> str:
-    """Word-boundary match, the substring test first because it is cheap."""
-    return (f"(contains({text}, {keyword}) AND regexp_matches({text}, '(^|[^\\p{{L}}\\p{{N}}_])' || "
-            f"regexp_escape({keyword}) || '($|[^\\p{{L}}\\p{{N}}_])'))")
-
-
-def hits(kw: str = KEYWORDS) -> str:
-    """CTEs kw and hits (all keyword matches) over ``texts``."""
-    return f"""{kw},
-hits AS (
-  SELECT t.news_id, k.keyword, k.ticker, k.ord,
-         CASE WHEN {word_test("lower(t.headline)", "k.keyword")} THEN 'primary' ELSE 'mentioned' END AS role
-  FROM texts t JOIN kw k ON {word_test("t.low", "k.keyword")})"""
+    """Word-boundary match of a constant, the substring test first because it is cheap."""
+    pattern = f"(^|[^\\p{{L}}\\p{{N}}_]){re.escape(keyword)}($|[^\\p{{L}}\\p{{N}}_])"
+    return (f"CASE WHEN contains({text}, {sql_text(keyword)}) "
+            f"THEN regexp_matches({text}, {sql_text(pattern)}) ELSE FALSE END")
+
+
+def hits(rows=None) -> str:
+    """CTEs ending in ``hits``, all keyword matches over ``texts``; every pattern is a constant."""
+    rows = dims.keyword_rows() if rows is None else rows
+    both = ", ".join(
+        f"CASE WHEN {word_test('low', k)} THEN CASE WHEN {word_test('head', k)} THEN "
+        f"'primary' ELSE 'mentioned' END END" for k, _, _ in rows)
+    return f"""{values(rows, "keyword, ticker, ord", "kw")},
+roles AS (SELECT news_id, unnest([{both}]) AS role, unnest(range({len(rows)})) AS ord
+          FROM (SELECT news_id, low, lower(headline) AS head FROM texts)),
+hits AS (SELECT r.news_id, k.keyword, k.ticker, k.ord, r.role
+         FROM roles r JOIN kw k USING (ord) WHERE r.role IS NOT NULL)"""
 
 
 DETECTED = """detected AS (
