@@ -69,18 +69,36 @@ def is_blank(text: Column) -> Column:
     return ~F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
 
 
+def fold(text: Column) -> Column:
+    """Lower case, with the two letters that ignore-case matching equates to ASCII ones replaced."""
+    odd = ("\u017f", "\u0131")
+    return bind(F.lower(text), lambda t: F.when(
+        F.contains(t, F.lit(odd[0])) | F.contains(t, F.lit(odd[1])),
+        F.translate(t, "".join(odd), "si")).otherwise(t))
+
+
 def word_pattern(keyword: str) -> str:
-    """Regular expression for the keyword between Unicode word boundaries."""
+    """Regular expression for the (folded) keyword between Unicode word boundaries.
+
+    The first letter comes before its boundary test, so that a scan skips quickly over other
+    letters. Other than letters and digits are written as code points.
+    """
     def is_word(ch: str) -> bool:
         return ch == "_" or ch.isalnum()
 
-    before = f"(?<![{WORD}])" if is_word(keyword[0]) else f"(?<=[{WORD}])"
+    quoted = [c if is_word(c) else f"\\x{{{ord(c):x}}}" for c in keyword]
+    before = f"(?<![{WORD}]{quoted[0]})" if is_word(keyword[0]) else f"(?<=[{WORD}]{quoted[0]})"
     after = f"(?![{WORD}])" if is_word(keyword[-1]) else f"(?=[{WORD}])"
-    return f"(?iu){before}\\Q{keyword}\\E{after}"
+    return quoted[0] + before + "".join(quoted[1:]) + after
+
+
+def is_one_word(keyword: str) -> bool:
+    """Such a keyword matches exactly where it is a token; no regular expression is needed."""
+    return re.fullmatch(r"\w+", keyword) is not None
 
 
 def word_match(text: Column, keyword: str) -> Column:
-    return text.rlike(word_pattern(keyword))
+    return fold(text).rlike(word_pattern(keyword.lower()))
 
 
 def word_pattern_column(keyword: Column) -> Column:
@@ -88,7 +106,6 @@ def word_pattern_column(keyword: Column) -> Column:
     word_start = keyword.rlike(f"^[{WORD}]")
     word_end = keyword.rlike(f"[{WORD}]$")
     return F.concat(
-        F.lit("(?iu)"),
         F.when(word_start, F.lit(f"(?<![{WORD}])")).otherwise(F.lit(f"(?<=[{WORD}])")),
         F.lit("\\Q"), keyword, F.lit("\\E"),
         F.when(word_end, F.lit(f"(?![{WORD}])")).otherwise(F.lit(f"(?=[{WORD}])")))

@@ -2,51 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import dims
 from tidewatch.functions.scoring import keyword_sentiment, simple_sentiment, simple_ticker
-from tidewatch.functions.text import (anchor_word, anchor_word_column, bind, first_matching,
-                                      full_text, tokens, word_match, word_pattern_column)
+from tidewatch.functions.text import (anchor_word, anchor_word_column, first_matching, fold,
+                                      full_text, is_one_word, tokens, word_pattern,
+                                      word_pattern_column)
+from tidewatch.operators.common import once
 
-_HIT = "array<struct<ticker: string, role: string, keyword: string>>"
+def _keyword_table(keywords) -> str:
+    """SQL constant: the keywords in matching order, with anchor word and pattern."""
+    def text(value: str) -> str:
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
+    rows = [f"named_struct('keyword', {text(k)}, 'ticker', {text(t)}, 'ord', {i}, "
+            f"'anchor', {text(anchor_word(k))}, 'one_word', {str(is_one_word(k)).lower()}, "
+            f"'pattern', {text(word_pattern(k))})" for k, t, i in dims.longest_first(keywords)]
+    return f"array({', '.join(rows)})"
 
-def company_hits(headline: Column, text: Column, keywords=None) -> Column:
-    """Companies in a text as array<struct<ticker, role, keyword>>, longest keyword first.
 
-    A row expression: no shuffle and no row explosion. The text is tokenised once; a keyword's
-    regular expression runs only if its anchor word is among the tokens. Per ticker the longest
-    keyword decides, and that keyword alone sets the role.
+def with_keyword_hits(news: DataFrame, keywords=None) -> DataFrame:
+    """Adds ``_hits``: array<struct<keyword, ticker, ord, role>> in matching order.
+
+    A row expression: no shuffle and no row explosion. Text and headline are tokenised once. A
+    one-word keyword matches exactly where it is a token; the others run a regular expression, and
+    only where their anchor word is a token.
     """
-    ordered = dims.longest_first(dims.keyword_rows() if keywords is None else keywords)
-    anchors = F.array(*[F.lit(a) for a in sorted({anchor_word(k) for k, _, _ in ordered})])
-    head = F.lower(headline)
-
-    def hits(t: Column, present: Column) -> Column:
-        found = F.array_compact(F.array(*[
-            F.when(F.array_contains(present, anchor_word(k)) & word_match(t, k),
-                   F.struct(F.lit(ticker).alias("ticker"),
-                            F.when(word_match(head, k), "primary").otherwise("mentioned")
-                            .alias("role"),
-                            F.lit(k).alias("keyword")))
-            for k, ticker, _ in ordered]))
-        none = F.array().cast(_HIT)
-        first = F.aggregate(found.cast(_HIT), none, lambda acc, h: F.when(
-            F.exists(acc, lambda a: a["ticker"] == h["ticker"]), acc)
-            .otherwise(F.concat(acc, F.array(h))))
-        return F.when(F.size(present) > 0, first).otherwise(none)
-
-    return bind(F.lower(text),
-                lambda t: bind(F.array_intersect(tokens(t), anchors), lambda p: hits(t, p)))
+    keywords = dims.keyword_rows() if keywords is None else keywords
+    anchors = F.array(*[F.lit(a) for a in sorted({anchor_word(k) for k, _, _ in keywords})])
+    text = full_text(F.col("headline"), F.col("full_text"))
+    lowered = once(news, "_low", F.struct(fold(text).alias("text"),
+                                          fold(F.col("headline")).alias("head")))
+    seen = once(lowered, "_seen", F.struct(
+        F.array_intersect(tokens(F.col("_low.text")), anchors).alias("text"),
+        F.array_intersect(tokens(F.col("_low.head")), anchors).alias("head")))
+    hits = F.expr(f"""
+        transform(
+          filter({_keyword_table(keywords)},
+                 k -> array_contains(_seen.text, k.anchor)
+                      AND (k.one_word OR _low.text rlike k.pattern)),
+          k -> named_struct('keyword', k.keyword, 'ticker', k.ticker, 'ord', k.ord, 'role',
+               IF(array_contains(_seen.head, k.anchor)
+                  AND (k.one_word OR _low.head rlike k.pattern), 'primary', 'mentioned')))""")
+    return once(seen, "_hits", hits).drop("_low", "_seen")
+
+
+def with_company_hits(news: DataFrame, keywords=None) -> DataFrame:
+    """Adds ``_hits`` with one entry per ticker: the longest keyword decides, and sets the role."""
+    return once(with_keyword_hits(news, keywords).withColumnRenamed("_hits", "_all"), "_hits",
+                F.expr("""filter(_all, (h, i) -> NOT exists(slice(_all, 1, i),
+                          earlier -> earlier.ticker = h.ticker))""")).drop("_all")
 
 
 def detect_companies(news: DataFrame, keywords=None) -> DataFrame:
     """One row per (article, company): the article's columns, ticker, role, keyword, position."""
-    text = full_text(F.col("headline"), F.col("full_text"))
-    return (news.withColumn("_hits", company_hits(F.col("headline"), text, keywords))
-            .select(*news.columns, F.posexplode("_hits").alias("position", "_h"))
+    return (with_company_hits(news, keywords)
+            .select(*news.columns, F.posexplode_outer("_hits").alias("position", "_h"))
+            .filter(F.col("_h").isNotNull())
             .select(*news.columns, F.col("_h.ticker").alias("ticker"),
                     F.col("_h.role").alias("role"), F.col("_h.keyword").alias("keyword"),
                     (F.col("position") + 1).alias("position")))
@@ -61,10 +75,10 @@ def detect_companies_by_dim(news: DataFrame, keyword_dim: DataFrame) -> DataFram
     words = keyword_dim.select(
         "keyword", "ticker", "ord", anchor_word_column(F.col("keyword")).alias("token"),
         word_pattern_column(F.col("keyword")).alias("_pattern"))
-    text = F.lower(full_text(F.col("headline"), F.col("full_text")))
+    text = fold(full_text(F.col("headline"), F.col("full_text")))
     seen = news.select("news_id", F.explode(F.array_distinct(tokens(text))).alias("token"))
     candidates = seen.join(words, "token").select("news_id", "keyword", "ticker", "ord", "_pattern")
-    hits = (news.select("news_id", F.lower("headline").alias("_head"), text.alias("_text"))
+    hits = (news.select("news_id", fold(F.col("headline")).alias("_head"), text.alias("_text"))
             .join(candidates, "news_id").filter(F.expr("_text rlike _pattern"))
             .select("news_id", "ticker", "keyword", "ord",
                     F.when(F.expr("_head rlike _pattern"), "primary").otherwise("mentioned")
@@ -86,16 +100,8 @@ def mention_order(mentions: DataFrame) -> DataFrame:
 
 def keyword_hits(news: DataFrame, keywords=None) -> DataFrame:
     """All (article, keyword) matches before the choice per ticker, one row each."""
-    rows = dims.longest_first(dims.keyword_rows() if keywords is None else keywords)
-    text = full_text(F.col("headline"), F.col("full_text"))
-    anchors = F.array(*[F.lit(a) for a in sorted({anchor_word(k) for k, _, _ in rows})])
-
-    def found(t: Column) -> Column:
-        return bind(F.array_intersect(tokens(t), anchors), lambda present: F.array_compact(F.array(*[
-            F.when(F.array_contains(present, anchor_word(k)) & word_match(t, k),
-                   F.struct(F.lit(k).alias("keyword"), F.lit(ticker).alias("ticker"),
-                            F.lit(i).alias("ord"))) for k, ticker, i in rows])))
-    return (news.select("news_id", F.explode(bind(F.lower(text), found)).alias("h"))
+    return (with_keyword_hits(news, keywords)
+            .select("news_id", F.explode_outer("_hits").alias("h")).filter(F.col("h").isNotNull())
             .select("news_id", "h.keyword", "h.ticker", "h.ord"))
 
 

@@ -11,7 +11,8 @@ from tidewatch import schemas
 from tidewatch.functions.codecs import from_record, parse_iso
 from tidewatch.functions.scoring import sentiment_result
 from tidewatch.functions.text import full_text
-from tidewatch.operators.detect import company_hits, detect_first_match, detect_simple
+from tidewatch.operators.common import once
+from tidewatch.operators.detect import detect_first_match, detect_simple, with_company_hits
 
 
 def enrich_news(news: DataFrame, keywords=None) -> DataFrame:
@@ -21,13 +22,11 @@ def enrich_news(news: DataFrame, keywords=None) -> DataFrame:
     for articles that mention one.
     """
     text = full_text(F.col("headline"), F.col("full_text"))
-    found = news.withColumn("_hits", company_hits(F.col("headline"), text, keywords))
-    score = F.when(F.size("_hits") > 0, sentiment_result(text)["sentiment"])
-    return (found.withColumn("_score", score)
-            .withColumn("companies", F.transform("_hits", lambda h: F.struct(
-                h["ticker"].alias("ticker"), h["role"].alias("role"),
-                F.col("_score").alias("sentiment"))))
-            .drop("_hits", "_score"))
+    scored = once(with_company_hits(news, keywords), "_score",
+                  F.when(F.size("_hits") > 0, sentiment_result(text)["sentiment"]))
+    mentions = F.transform("_hits", lambda h: F.struct(
+        h["ticker"].alias("ticker"), h["role"].alias("role"), F.col("_score").alias("sentiment")))
+    return scored.select(*news.columns, mentions.alias("companies"))
 
 
 def enrich_first_match(news: DataFrame) -> DataFrame:
@@ -56,14 +55,15 @@ def drop_unmentioned(enriched: DataFrame) -> DataFrame:
 def to_mention_events(enriched: DataFrame) -> DataFrame:
     """One event per mention; the event time is the article's publication time."""
     return (enriched.select("news_id", parse_iso(F.col("published")).alias("event_ts"),
-                            F.explode("companies").alias("c"))
+                            F.explode_outer("companies").alias("c"))
+            .filter(F.col("c").isNotNull())
             .select("news_id", "event_ts", "c.ticker", "c.role", "c.sentiment"))
 
 
 def to_shock_events(enriched: DataFrame, threshold: float = -0.5) -> DataFrame:
     """Mentions below the shock threshold, with the headline."""
     return (enriched.select("news_id", parse_iso(F.col("published")).alias("event_ts"),
-                            F.explode("companies").alias("c"), "headline")
+                            F.explode_outer("companies").alias("c"), "headline")
             .filter(F.col("c.sentiment") < threshold)
             .select("news_id", "event_ts", "c.ticker", "c.sentiment", "headline"))
 

@@ -1 +1,184 @@
-"""Queries: streaming jobs run over the whole tables until the input is used up."""
+"""Queries: streaming jobs run over the whole tables until the input is used up.
+
+The results must equal the batch results, so the SQL is the batch SQL.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+
+from tidewatch.operators import alerts, enrich, ingest
+from tidewatch.plans import sqlparts as S
+from tidewatch.plans import views as V
+from tidewatch.plans.alert_queries import FEATURES
+from tidewatch.plans.catalog import SQL, query
+from tidewatch.plans.detect_queries import ENRICHED, SCORE
+from tidewatch.plans.feature_queries import FEATURES_SQL
+from tidewatch.plans.views import Tables
+from tidewatch.session import fresh_path
+from tidewatch.sources.news import read_news_stream
+from tidewatch.streaming import jobs
+from tidewatch.streaming.state import cooldown_stream, running_features_stream
+
+UNTIL_DONE = {"availableNow": True}
+
+
+class StreamedTables(Tables):
+    """The same tables, read as streams."""
+
+    def __getattr__(self, name: str) -> DataFrame:
+        schema = self.spark.read.parquet(f"{self.path.rstrip('/')}/{name}.parquet").schema
+        return (self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+                .parquet(self.path))
+
+
+def streamed(t: Tables) -> StreamedTables:
+    return StreamedTables(t.spark, t.path)
+
+
+def finish(writer: DataStreamWriter) -> None:
+    started = writer.start()
+    try:
+        started.awaitTermination()
+    finally:
+        started.stop()
+
+
+def to_parquet(df: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream into a parquet folder and reads that."""
+    spark = df.sparkSession
+    out = fresh_path(spark, "out")
+    finish(df.writeStream.format("parquet").outputMode(mode).option("path", out)
+           .option("checkpointLocation", fresh_path(spark, "checkpoint")).trigger(**UNTIL_DONE))
+    return spark.read.schema(df.schema).parquet(out)
+
+
+def _root(t: Tables) -> tuple[str, str]:
+    return fresh_path(t.spark, "tables"), fresh_path(t.spark, "checkpoint")
+
+
+@query("src_news_stream", SQL["parse_news"])
+def src_news_stream(t: Tables) -> DataFrame:
+    folder = fresh_path(t.spark, "records")
+    V.raw_records(t).select("value").write.text(folder)
+    return to_parquet(ingest.parse_news(read_news_stream(t.spark, "text", folder)))
+
+
+@query("st_event_time", f"""WITH {V.NEWS_SQL}
+SELECT news_id, CASE WHEN doc_id % 3 = 1 THEN TIMESTAMP '2024-06-01' ELSE event_ts END AS event_ts FROM news""")
+def st_event_time(t: Tables) -> DataFrame:
+    d = F.col("news_id").cast("long")
+    text = F.when(d % 3 == 1, "yesterday").otherwise(F.col("published"))
+    record = F.lit("2024-06-01").cast("timestamp")
+    rows = V.news(streamed(t)).select("news_id", jobs.event_time(text, record).alias("event_ts"))
+    return to_parquet(rows)
+
+
+@query("st_features", FEATURES_SQL)
+def st_features(t: Tables) -> DataFrame:
+    writer, tables = jobs.feature_job(V.mentions(streamed(t)), *_root(t), UNTIL_DONE)
+    finish(writer)
+    return tables.windows.read(t.spark)
+
+
+@query("st_upsert", f"""{V.FEATURES_CTE}
+SELECT 'feat:' || ticker || ':' || CAST(CAST(epoch(window_end) AS BIGINT) AS VARCHAR) AS key, window_end, risk_score_5m FROM features
+UNION ALL SELECT 'feat:' || ticker || ':latest' AS key, window_end, risk_score_5m FROM features
+QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY window_end DESC) = 1""")
+def st_upsert(t: Tables) -> DataFrame:
+    writer, tables = jobs.feature_job(V.mentions(streamed(t)), *_root(t), UNTIL_DONE)
+    finish(writer)
+    value = F.from_json("value", "risk_score_5m double")
+    return tables.live_records(t.spark).select("key", "window_end", value["risk_score_5m"]
+                                               .alias("risk_score_5m"))
+
+
+@query("st_exactly_once", FEATURES_SQL)
+def st_exactly_once(t: Tables) -> DataFrame:
+    """Stopped after all input, started again from its checkpoint, last batch replayed."""
+    root, checkpoint = _root(t)
+    for _ in range(2):
+        writer, tables = jobs.feature_job(V.mentions(streamed(t)), root, checkpoint, UNTIL_DONE)
+        finish(writer)
+    last = tables.partials.versions(t.spark)
+    newest = last.agg(F.max("_batch")).first()[0]
+    tables(last.filter(F.col("_batch") == newest).drop("_hour", "_batch"), newest)
+    return tables.windows.read(t.spark)
+
+
+@query("st_shocks", SQL["shock_features_articles"])
+def st_shocks(t: Tables) -> DataFrame:
+    s = streamed(t)
+    rows = V.article_shocks(s).withColumn("sentiment", F.round("sentiment", 6))
+    writer, tables = jobs.shock_job(rows, *_root(t), UNTIL_DONE)
+    finish(writer)
+    return tables.windows.read(t.spark).withColumn(
+        "shock_headlines", F.array_join("shock_headlines", "|"))
+
+
+@query("st_unordered_enrich", f"""{ENRICHED}
+SELECT d.news_id, n.event_ts, d.ticker, d.role, {SCORE} AS sentiment
+FROM detected d JOIN context USING (news_id) JOIN news n USING (news_id)""")
+def st_unordered_enrich(t: Tables) -> DataFrame:
+    rows = enrich.to_mention_events(enrich.enrich_news(V.news(streamed(t))))
+    return to_parquet(rows.withColumn("sentiment", F.round("sentiment", 6)))
+
+
+@query("st_running_features", SQL["running_features"])
+def st_running_features(t: Tables) -> DataFrame:
+    rows = running_features_stream(V.mentions(streamed(t)))
+    return to_parquet(rows).withColumn("sentiment_ewm_7d", F.round("sentiment_ewm_7d", 6))
+
+
+@query("st_cooldown", SQL["alert_cooldown_default"])
+def st_cooldown(t: Tables) -> DataFrame:
+    folder = fresh_path(t.spark, "features")
+    alerts.lookup_threshold(V.company_windows(t)).write.parquet(folder)
+    schema = t.spark.read.parquet(folder).schema
+    return to_parquet(cooldown_stream(t.spark.readStream.schema(schema).parquet(folder)))
+
+
+# a window is closed once the newest event is 7 minutes past its end
+CLOSED = "window_end <= (SELECT max(event_ts) FROM mentions) - INTERVAL 7 MINUTE"
+COUNTED = f"""WITH {V.MENTIONS_SQL}, {V.windows_sql("mentions")},
+counted AS (SELECT ticker, window_end, count(*) AS mentions FROM spread GROUP BY ticker, window_end)"""
+
+
+def _counts(t: Tables) -> DataFrame:
+    rows = jobs.watermarked(V.mentions(streamed(t)))
+    return (rows.groupBy(F.window("event_ts", "5 minutes", "1 minute").alias("w"), "ticker")
+            .agg(F.count("*").alias("mentions"))
+            .select("ticker", F.col("w.end").alias("window_end"), "mentions"))
+
+
+@query("st_watermark", f"{COUNTED} SELECT * FROM counted WHERE {CLOSED}")
+def st_watermark(t: Tables) -> DataFrame:
+    return to_parquet(_counts(t))
+
+
+@query("st_state_read", f"{COUNTED} SELECT * FROM counted WHERE NOT ({CLOSED})")
+def st_state_read(t: Tables) -> DataFrame:
+    """The windows still open, read from the state of the finished query."""
+    checkpoint = fresh_path(t.spark, "checkpoint")
+    finish(_counts(t).writeStream.format("parquet").option("path", fresh_path(t.spark, "out"))
+           .option("checkpointLocation", checkpoint).trigger(**UNTIL_DONE))
+    state = t.spark.read.format("statestore").load(checkpoint)
+    return state.select(F.col("key.ticker").alias("ticker"),
+                        F.col("key").getField(state.schema["key"].dataType.names[0])["end"].alias("window_end"),
+                        F.col("value.count").alias("mentions"))
+
+
+@query("sink_fanout", f"""{FEATURES},
+rated AS (SELECT ticker, window_end, risk_score_5m, 0.7::DOUBLE AS threshold FROM features WHERE {CLOSED}),
+{S.cooldown("rated")}
+SELECT ticker, window_end, CAST(risk_score_5m AS DECIMAL(6,3)) AS risk_score, status = 'sent' AS notification_sent, reason AS suppression_reason FROM decided""")
+def sink_fanout(t: Tables) -> DataFrame:
+    """Closed windows into the alert history and the outbox by one query."""
+    writer, tables = jobs.alert_job(V.mentions(streamed(t)), *_root(t), UNTIL_DONE)
+    finish(writer)
+    return tables.history.read(t.spark).select(
+        "ticker", "window_end", "risk_score", "notification_sent", "suppression_reason")
+
+

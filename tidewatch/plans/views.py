@@ -221,7 +221,7 @@ def enriched(t: Tables) -> DataFrame:
 
 
 def article_mentions(t: Tables) -> DataFrame:
-    return enrich.to_mention_events(enrich.drop_unmentioned(enriched(t)))
+    return enrich.to_mention_events(enriched(t))
 
 
 def article_shocks(t: Tables, threshold: float = -0.5) -> DataFrame:
