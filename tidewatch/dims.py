@@ -7,7 +7,10 @@ dimensions).
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # ---- fixed values: the company dimension (ticker, official name, sector, supplier?, keywords) ----
 COMPANIES = [
@@ -148,19 +151,25 @@ def longest_first(rows: list[tuple[str, str, int]]) -> list[tuple[str, str, int]
     return sorted(rows, key=lambda r: (-len(r[0]), r[2]))
 
 
+def local_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small constant table whose size the optimizer knows (so it broadcasts on its own)."""
+    schema = StructType.fromDDL(ddl)
+    return spark.createDataFrame(
+        pa.Table.from_pylist([dict(zip(schema.names, row)) for row in rows],
+                             schema=to_arrow_schema(schema)), schema)
+
+
 def company_dim(spark: SparkSession) -> DataFrame:
     rows = [(t, n, kws, s, sup) for t, n, s, sup, kws in COMPANIES]
-    return spark.createDataFrame(
-        rows, "ticker string, official_name string, keywords array<string>, sector string, "
-              "is_supplier boolean")
+    return local_table(spark, rows, "ticker string, official_name string, "
+                                    "keywords array<string>, sector string, is_supplier boolean")
 
 
 def keyword_dim(spark: SparkSession, variant: str = "word") -> DataFrame:
-    return spark.createDataFrame(keyword_rows(variant), "keyword string, ticker string, ord int")
+    return local_table(spark, keyword_rows(variant), "keyword string, ticker string, ord int")
 
 
 def category_dim(spark: SparkSession) -> DataFrame:
     rows = [(i, c, kws, m, b) for i, (c, m, b, kws) in enumerate(CATEGORIES)]
-    return spark.createDataFrame(
-        rows, "ord int, category string, keywords array<string>, risk_multiplier double, "
-              "sentiment_bias double")
+    return local_table(spark, rows, "ord int, category string, keywords array<string>, "
+                                    "risk_multiplier double, sentiment_bias double")

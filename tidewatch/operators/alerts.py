@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.dims import local_table
 from tidewatch.functions.scoring import alert_message, notification_payload, severity
 from tidewatch.operators.ordered import ordered_scan, split_sorted
 from tidewatch.operators.shocks import shock_alert_filter
@@ -25,8 +26,8 @@ def lookup_threshold(df: DataFrame, thresholds: DataFrame | dict[str, float] | N
     if not isinstance(thresholds, DataFrame):
         if not thresholds:
             return df.withColumn("threshold", F.lit(float(default)))
-        thresholds = df.sparkSession.createDataFrame(
-            [(t, float(v)) for t, v in thresholds.items()], "ticker string, threshold double")
+        thresholds = local_table(df.sparkSession, [(t, float(v)) for t, v in thresholds.items()],
+                                 "ticker string, threshold double")
     own = thresholds.select("ticker", F.col("threshold").alias("_own"))
     return (df.join(own, "ticker", "left")
             .withColumn("threshold", F.coalesce("_own", F.lit(float(default)))).drop("_own"))

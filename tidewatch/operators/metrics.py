@@ -82,8 +82,10 @@ def ranked(df: DataFrame, key: str, value: str) -> DataFrame:
         return out, {"seen": start + len(rows)}
 
     rows = df.select(F.col(key).cast("string").alias(key), F.col(value).cast("double").alias(value))
+    # equal values may be the bulk of the rows; the salt lets the cuts fall among them
+    rows = rows.filter(F.col(value).isNotNull()).withColumn("_salt", F.rand(7))
     return ordered_scan(
-        split_sorted(rows.filter(F.col(value).isNotNull()), [key], [value]), key,
+        split_sorted(rows, [key], [value, "_salt"]), key,
         summary_columns=[value], summary_schema="n long", state_schema="seen long",
         summarize=count, advance=advance, emit=emit,
         output_schema=f"{key} string, {value} double, rank long")

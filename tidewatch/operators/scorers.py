@@ -21,30 +21,36 @@ from tidewatch.functions.text import tokens
 ModelFactory = Callable[[], Callable[[list[str]], list[tuple[str, float]]]]
 
 
+def _names(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
 def score_keyword(df: DataFrame, text: str = "text") -> DataFrame:
     """Category bias only; deterministic and without any model."""
     return df.withColumn("result", sentiment_result(F.col(text)))
 
 
-def lexicon_scores(df: DataFrame, lexicon: DataFrame, key: str = "news_id", text: str = "text"
+def lexicon_scores(df: DataFrame, lexicon: DataFrame, key: str | list[str] = "news_id", text: str = "text"
                    ) -> DataFrame:
     """(key, score, confidence) of every text from a (word, valence) table.
 
+    ``key`` (a column or several, say article and ticker) must identify the rows.
     Valences add up as decimals, so the result does not depend on the order of partial sums. All
     tokens of a text sit in one task and collapse there before the shuffle.
     """
     words = lexicon.select("word", F.col("valence").cast("decimal(18,6)").alias("valence"))
-    spread = df.select(key, F.explode_outer(tokens(F.lower(F.col(text)))).alias("word"))
+    keys = _names(key)
+    spread = df.select(*keys, F.explode_outer(tokens(F.lower(F.col(text)))).alias("word"))
     total = F.coalesce(F.sum("valence"), F.lit(0).cast("decimal(28,6)")).cast("double")
-    return (spread.join(words, "word", "left").groupBy(key).agg(total.alias("_total"))
-            .select(key, lexicon_norm(F.col("_total")).alias("score"))
+    return (spread.join(words, "word", "left").groupBy(*keys).agg(total.alias("_total"))
+            .select(*keys, lexicon_norm(F.col("_total")).alias("score"))
             .withColumn("confidence", F.abs("score")))
 
 
-def score_lexicon(df: DataFrame, lexicon: DataFrame, key: str = "news_id", text: str = "text"
+def score_lexicon(df: DataFrame, lexicon: DataFrame, key: str | list[str] = "news_id", text: str = "text"
                   ) -> DataFrame:
     scores = lexicon_scores(df, lexicon, key, text)
-    return (df.join(scores, key, "left")
+    return (df.join(scores, _names(key), "left")
             .withColumn("result", sentiment_result(F.col(text), F.col("score"),
                                                    F.col("confidence"), "lexicon"))
             .drop("score", "confidence"))
@@ -87,7 +93,7 @@ def model_scores(df: DataFrame, factory: ModelFactory, text: str = "text",
 
 
 def score_model(df: DataFrame, factory: ModelFactory, lexicon: DataFrame | None = None,
-                key: str = "news_id", text: str = "text", max_chars: int | None = None
+                key: str | list[str] = "news_id", text: str = "text", max_chars: int | None = None
                 ) -> DataFrame:
     """Model score; texts the model failed on fall back to the lexicon, then to the keywords."""
     scored = model_scores(df, factory, text, max_chars=max_chars)
@@ -95,7 +101,7 @@ def score_model(df: DataFrame, factory: ModelFactory, lexicon: DataFrame | None
 
 
 def score_tiered(df: DataFrame, factory: ModelFactory | None = None,
-                 lexicon: DataFrame | None = None, key: str = "news_id", text: str = "text",
+                 lexicon: DataFrame | None = None, key: str | list[str] = "news_id", text: str = "text",
                  ticker: str | None = "ticker", max_chars: int | None = None) -> DataFrame:
     """Slow model for critical, major-company or long texts, lexicon for the rest, in one pass."""
     slow = needs_slow_scorer(F.col(text), F.col(ticker) if ticker else None)
@@ -109,13 +115,11 @@ def score_tiered(df: DataFrame, factory: ModelFactory | None = None,
     return _with_fallback(routed, lexicon, key, text, fast_name)
 
 
-def _with_fallback(scored: DataFrame, lexicon: DataFrame | None, key: str, text: str,
-                   fast_name: Column) -> DataFrame:
+def _with_fallback(scored: DataFrame, lexicon: DataFrame | None, key: str | list[str],
+                   text: str, fast_name: Column) -> DataFrame:
     """Model score first, lexicon score second, category bias last."""
     if lexicon is not None:
-        one_per_key = scored.select(key, text).dropDuplicates([key])
-        scores = lexicon_scores(one_per_key, lexicon, key, text)
-        scored = scored.join(scores, key, "left")
+        scored = scored.join(lexicon_scores(scored, lexicon, key, text), _names(key), "left")
     else:
         scored = scored.withColumns({"score": F.lit(None).cast("double"),
                                      "confidence": F.lit(None).cast("double")})

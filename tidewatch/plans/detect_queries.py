@@ -35,7 +35,7 @@ def detect_companies(t: Tables) -> DataFrame:
 @query("detect_companies_by_dim", f"""{NEWS}, {S.hits(CORPUS)},
 {S.DETECTED} SELECT news_id, ticker, role, keyword FROM detected""")
 def detect_companies_by_dim(t: Tables) -> DataFrame:
-    dim = t.spark.createDataFrame(CORPUS, "keyword string, ticker string, ord int")
+    dim = dims.local_table(t.spark, CORPUS, "keyword string, ticker string, ord int")
     return (detect.detect_companies_by_dim(V.news(t), dim)
             .select("news_id", "ticker", "role", "keyword"))
 

@@ -12,6 +12,7 @@ from tidewatch.plans.catalog import query
 from tidewatch.plans.detect_queries import ARTICLE_SHOCKS, ENRICHED, SCORE, SIMPLE
 from tidewatch.plans.ingest_queries import SHOCK_WINDOWS, shock_windows
 from tidewatch.plans.views import Tables
+from tidewatch.sources.tables import staged
 
 MENTIONS = f"WITH {V.MENTIONS_SQL}"
 FEATURE_COLUMNS = ("ticker, window_end, neg_news_count_5m, pos_news_count_5m, sentiment_score_5m, "
@@ -45,7 +46,7 @@ mentions AS (SELECT d.news_id, n.event_ts, d.ticker, {SCORE} AS sentiment
 def company_features_articles(t: Tables) -> DataFrame:
     """The whole standard job in batch: articles to features."""
     rows = V.article_mentions(t).withColumn("sentiment", F.round("sentiment", 6))
-    return features.company_features(rows)
+    return features.company_features(staged(rows, "mentions"))
 
 
 @query("sentiment_counts", f"""{MENTIONS}
@@ -176,7 +177,7 @@ def _windows_of(source: str) -> str:
 def shock_features_articles(t: Tables) -> DataFrame:
     """The whole shock job in batch: prefilter, enrich, threshold, windows."""
     rows = V.article_shocks(t).withColumn("sentiment", F.round("sentiment", 6))
-    return (shocks.shock_features(rows)
+    return (shocks.shock_features(staged(rows, "shocks"))
             .withColumn("shock_headlines", F.array_join("shock_headlines", "|")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.dims import local_table
 from tidewatch.functions import scoring
 from tidewatch.functions.text import full_text
 from tidewatch.operators import scorers
@@ -79,7 +80,7 @@ lexed AS (SELECT t.news_id, coalesce(total, 0.0::DOUBLE) / sqrt(coalesce(total,
 
 
 def lexicon(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(V.LEXICON, "word string, valence double")
+    return local_table(t.spark, V.LEXICON, "word string, valence double")
 
 
 @query("score_lexicon", f"""{NEWS}, {LEXICON} SELECT news_id, round({SHIFT.format("score")}, 6) AS sentiment, round(abs(score), 6) AS confidence,

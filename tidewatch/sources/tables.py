@@ -9,11 +9,16 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import reduce
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.session import fresh_path
+
+HOUR = "yyyyMMddHH"
 
 @dataclass
 class BatchTable:
@@ -23,7 +28,7 @@ class BatchTable:
     time: str = "window_end"
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
-        (rows.withColumns({"_hour": F.date_trunc("hour", self.time).cast("string"),
+        (rows.withColumns({"_hour": F.date_format(self.time, HOUR),
                            "_batch": F.lit(batch_id).cast("long")})
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("_hour", "_batch").parquet(self.path))
@@ -32,22 +37,31 @@ class BatchTable:
                  between: tuple[dt.datetime, dt.datetime] | None = None) -> DataFrame | None:
         """All versions of the rows; None while nothing has been written.
 
-        ``upto`` hides later batches (a replay must see what the first try saw), ``between`` limits
-        the hours read.
+        ``upto`` hides later batches (a replay must see what the first try saw). ``between`` limits
+        the hours listed and read, so a long-running job does not touch its whole past.
         """
-        try:
-            rows = spark.read.option("basePath", self.path).parquet(self.path)
-        except AnalysisException:
+        if between is None:
+            parts = [self._load(spark, self.path)]
+        else:
+            hours = pd.date_range(between[0].replace(minute=0, second=0, microsecond=0),
+                                  between[1], freq="h")
+            parts = [self._load(spark, f"{self.path}/_hour={h:%Y%m%d%H}") for h in hours]
+        found = [p for p in parts if p is not None]
+        if not found:
             return None
-        rows = rows.withColumns({"_hour": F.col("_hour").cast("string"),
-                                 "_batch": F.col("_batch").cast("long")})
+        rows = reduce(DataFrame.unionByName, found)
         if upto is not None:
             rows = rows.filter(F.col("_batch") <= upto)
-        if between is not None:
-            low, high = (t.strftime("%Y-%m-%d %H:00:00") for t in between)
-            rows = rows.filter(F.col("_hour").between(low, high))
         return rows
 
+    def _load(self, spark: SparkSession, path: str) -> DataFrame | None:
+        try:
+            rows = spark.read.option("basePath", self.path).parquet(path)
+        except AnalysisException:
+            return None
+        return rows.withColumns({"_hour": F.col("_hour").cast("string"),
+                                 "_batch": F.col("_batch").cast("long")})
+
     def newest(self, rows: DataFrame) -> DataFrame:
         """The newest version per key."""
         kept = [c for c in rows.columns if c not in ("_hour", "_batch")]
@@ -61,6 +75,17 @@ class BatchTable:
         return self.newest(rows)
 
 
+def staged(df: DataFrame, name: str = "staged") -> DataFrame:
+    """Writes a costly intermediate result to the shared folder and reads it back.
+
+    For inputs that are read more than once, such as mentions about to be cut into ranges: the
+    sampling pass would otherwise enrich every article a second time.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def span_of(rows: DataFrame, time: str) -> tuple[dt.datetime, dt.datetime] | None:
     """Smallest and largest time, two values; None without rows."""
     low, high = rows.agg(F.min(time), F.max(time)).first()

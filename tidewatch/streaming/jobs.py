@@ -8,6 +8,7 @@ passed by the newest event.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -142,32 +143,33 @@ def shock_tables(root: str, headlines: int = 3) -> WindowTables:
 
 
 class AlertTables:
-    """``foreachBatch`` target for *final* windows (append mode): history and outbox.
+    """``foreachBatch`` target for the slices of *closed* windows (append mode): history and outbox.
 
-    Append mode emits windows in watermark order, so the last sent alert of every ticker, read from
+    Append mode emits all slices of a window at once and the windows in watermark order, so the last sent alert of every ticker, read from
     the history, is all the state a batch needs.
     """
 
     def __init__(self, root: str, thresholds=None, default_threshold: float = 0.7,
-                 cooldown_minutes: int = 30):
+                 cooldown_minutes: int = 30, alpha: float = 0.1):
+        self.alpha = alpha
         self.history = BatchTable(f"{root}/history", ("ticker", "window_end"))
         self.outbox = BatchTable(f"{root}/outbox", ("ticker", "window_end"))
         self.thresholds, self.default = thresholds, default_threshold
         self.cooldown = cooldown_minutes
 
-    def __call__(self, features: DataFrame, batch_id: int) -> None:
-        spark = features.sparkSession
-        span = span_of(features, "window_end")
+    def __call__(self, slices: DataFrame, batch_id: int) -> None:
+        spark = slices.sparkSession
+        span = span_of(slices, "window_end")
         if span is None:
             return
+        features = combine_partials(slices, self.alpha)
         rows = (alerts.lookup_threshold(features, self.thresholds, self.default)
                 .select("ticker", "window_end", "risk_score_5m", "threshold",
                         F.lit(False).alias("earlier")))
-        past = self.history.versions(spark, batch_id - 1)
+        since = span[0] - dt.timedelta(minutes=self.cooldown)
+        past = self.history.versions(spark, batch_id - 1, (since, span[1]))
         if past is not None:
-            sent = past.filter(F.col("notification_sent")
-                               & (F.unix_seconds("window_end")
-                                  > int(span[0].timestamp()) - self.cooldown * 60 - 86400))
+            sent = past.filter("notification_sent")
             last = sent.groupBy("ticker").agg(F.max("window_end").alias("window_end"))
             rows = rows.unionByName(last.select(
                 "ticker", "window_end", F.lit(1.0).alias("risk_score_5m"),
@@ -181,17 +183,6 @@ class AlertTables:
             decisions.unpersist()
 
 
-def final_features(mentions: DataFrame, window: str = "5 minutes", slide: str = "1 minute",
-                   alpha: float = 0.1) -> DataFrame:
-    """Feature rows of closed windows, for append mode."""
-    from tidewatch.operators.features import finish_features
-    rows = clean_mentions(watermarked(mentions))
-    partial = ewm_partials_grouped(rows, alpha, F.window("event_ts", window, slide).alias("w"))
-    ewm = (F.pow(F.lit(1.0 - alpha), F.col("n")) * F.col("first_x") + F.col("tail"))
-    return finish_features(partial.withColumns({"window_end": F.col("w.end"),
-                                                "ewm": ewm}))
-
-
 # ---- jobs ----
 
 def _writer(df: DataFrame, target: Callable[[DataFrame, int], None], checkpoint: str, mode: str,
@@ -219,7 +210,7 @@ def alert_job(mentions: DataFrame, root: str, checkpoint: str, trigger: dict | N
               ) -> tuple[DataStreamWriter, AlertTables]:
     """Closed windows -> alert history and outbox."""
     tables = AlertTables(root, thresholds, default_threshold, cooldown_minutes)
-    return _writer(final_features(mentions), tables, checkpoint, "append", trigger), tables
+    return _writer(feature_slices(mentions), tables, checkpoint, "append", trigger), tables
 
 
 def fan_out(*targets: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
