@@ -12,10 +12,33 @@ from tidewatch.functions.text import _has_any, bind, contains_any, first_matchin
 
 
 def round_half_up(x: Column, digits: int) -> Column:
-    """Decimal rounding that ignores binary noise below 1e-9, so 0.0624999999999 rounds as 0.0625."""
+    """Decimal rounding that ignores binary noise below 1e-9, so 0.0624999999999 rounds as 0.0625.
+
+    For sums whose last bits depend on the order of addition.
+    """
     return F.round(F.round(x, 9), digits)
 
 
+def round_exact(x: Column, digits: int) -> Column:
+    """Nearest decimal to the exact binary value, ties to even, as Python rounds.
+
+    Spark's own rounding starts from the shortest decimal form, which may lie on the other side of
+    the tie. Here the comparison with the tie is exact: x is split into two halves of its bits, so
+    that the products below have no rounding error.
+    """
+    odd, power = 5 ** digits, 2.0 ** (digits + 1)  # 2 * 10^digits = odd * power
+    scale = float(10 ** digits)
+
+    def rounded(v: Column) -> Column:
+        below = F.floor(v * scale).cast("double")
+        shifted = v * 134217729.0
+        high = shifted - (shifted - v)
+        above_tie = (high * float(odd) - (below * 2.0 + 1.0) / power) + (v - high) * float(odd)
+        up = (above_tie > 0) | ((above_tie == 0) & (below % 2.0 != 0))
+        return F.when(up, below + 1.0).otherwise(below) / scale
+    return bind(x, rounded)
+
+
 def clamp(x: Column, low: float = -1.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
@@ -28,7 +51,7 @@ def risk_score(neg: Column, pos: Column, score: Column) -> Column:
     base = clamp((F.lit(1.0) - score) / 2.0, 0.0, 1.0)
     volume = F.least(F.lit(1.5), F.lit(1.0) + (n - 1.0) * 0.1)
     bias = F.when(n > 0, F.lit(1.0) + (neg / n - 0.5) * 0.5).otherwise(F.lit(1.0))
-    return round_half_up(F.least(F.lit(1.0), base * volume * bias), 3)
+    return round_exact(F.least(F.lit(1.0), base * volume * bias), 3)
 
 
 def shock_risk(count: Column) -> Column:

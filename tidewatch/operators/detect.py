@@ -76,12 +76,14 @@ def detect_companies_by_dim(news: DataFrame, keyword_dim: DataFrame) -> DataFram
         "keyword", "ticker", "ord", anchor_word_column(F.col("keyword")).alias("token"),
         word_pattern_column(F.col("keyword")).alias("_pattern"))
     text = fold(full_text(F.col("headline"), F.col("full_text")))
-    seen = news.select("news_id", F.explode(F.array_distinct(tokens(text))).alias("token"))
+    low = once(news, "_low", F.struct(text.alias("text"), fold(F.col("headline")).alias("head")))
+    low = low.select("news_id", "_low")
+    seen = low.select("news_id", F.explode_outer(F.array_distinct(tokens(F.col("_low.text"))))
+                      .alias("token"))
     candidates = seen.join(words, "token").select("news_id", "keyword", "ticker", "ord", "_pattern")
-    hits = (news.select("news_id", fold(F.col("headline")).alias("_head"), text.alias("_text"))
-            .join(candidates, "news_id").filter(F.expr("_text rlike _pattern"))
+    hits = (low.join(candidates, "news_id").filter(F.expr("_low.text rlike _pattern"))
             .select("news_id", "ticker", "keyword", "ord",
-                    F.when(F.expr("_head rlike _pattern"), "primary").otherwise("mentioned")
+                    F.when(F.expr("_low.head rlike _pattern"), "primary").otherwise("mentioned")
                     .alias("role")))
     return longest_keyword_per_ticker(hits)
 

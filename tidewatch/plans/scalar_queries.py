@@ -40,12 +40,12 @@ def f_shock_risk(t: Tables) -> DataFrame:
     return scalars(t).select("news_id", scoring.shock_risk(F.col("neg")).alias("risk"))
 
 
-@query("f_round", f"""{SCALARS} SELECT news_id, CAST(round(CAST(sentiment / 7.0::DOUBLE AS DECIMAL(18,9)), 3) AS DOUBLE) AS r3,
-  CAST(round(CAST(sentiment / 7.0::DOUBLE AS DECIMAL(18,9)), 6) AS DOUBLE) AS r6 FROM s""")
+@query("f_round", f"""{SCALARS} SELECT news_id, CAST(printf('%.3f', sentiment / 8.0::DOUBLE) AS DOUBLE) AS r3,
+  CAST(printf('%.6f', sentiment / 7.0::DOUBLE) AS DOUBLE) AS r6 FROM s""")
 def f_round(t: Tables) -> DataFrame:
-    x = F.col("sentiment") / 7.0
-    return scalars(t).select("news_id", scoring.round_half_up(x, 3).alias("r3"),
-                             scoring.round_half_up(x, 6).alias("r6"))
+    x = F.col("sentiment")
+    return scalars(t).select("news_id", scoring.round_exact(x / 8.0, 3).alias("r3"),
+                             scoring.round_exact(x / 7.0, 6).alias("r6"))
 
 
 @query("f_clamp", f"{SCALARS} SELECT news_id, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, sentiment * 2.0::DOUBLE)) AS x FROM s")

@@ -118,13 +118,13 @@ EWM_SUM = ("sum(sentiment * pow(0.9::DOUBLE, n - i) * "
            "CASE WHEN i = 1 THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END)")
 
 RISK_TAIL = """
-  SELECT *, CAST(round(CAST(least(1.0::DOUBLE,
+  SELECT *, CAST(printf('%.3f', least(1.0::DOUBLE,
       greatest(0.0::DOUBLE, least(1.0::DOUBLE, (1.0::DOUBLE - sentiment_score_5m) / 2.0::DOUBLE))
       * least(1.5::DOUBLE, 1.0::DOUBLE + (neg_news_count_5m + pos_news_count_5m - 1) * 0.1::DOUBLE)
       * CASE WHEN neg_news_count_5m + pos_news_count_5m > 0
              THEN 1.0::DOUBLE + (neg_news_count_5m::DOUBLE / (neg_news_count_5m + pos_news_count_5m)
                                  - 0.5::DOUBLE) * 0.5::DOUBLE
-             ELSE 1.0::DOUBLE END) AS DECIMAL(18,9)), 3) AS DOUBLE) AS risk_score_5m
+             ELSE 1.0::DOUBLE END)) AS DOUBLE) AS risk_score_5m
   FROM scored"""
 
 
