@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
-from functools import reduce
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -40,27 +39,20 @@ class BatchTable:
         ``upto`` hides later batches (a replay must see what the first try saw). ``between`` limits
         the hours listed and read, so a long-running job does not touch its whole past.
         """
-        if between is None:
-            parts = [self._load(spark, self.path)]
-        else:
+        path = self.path
+        if between is not None:
             hours = pd.date_range(between[0].replace(minute=0, second=0, microsecond=0),
                                   between[1], freq="h")
-            parts = [self._load(spark, f"{self.path}/_hour={h:%Y%m%d%H}") for h in hours]
-        found = [p for p in parts if p is not None]
-        if not found:
-            return None
-        rows = reduce(DataFrame.unionByName, found)
-        if upto is not None:
-            rows = rows.filter(F.col("_batch") <= upto)
-        return rows
-
-    def _load(self, spark: SparkSession, path: str) -> DataFrame | None:
+            path += "/_hour={" + ",".join(f"{h:%Y%m%d%H}" for h in hours) + "}"
         try:
             rows = spark.read.option("basePath", self.path).parquet(path)
         except AnalysisException:
             return None
-        return rows.withColumns({"_hour": F.col("_hour").cast("string"),
+        rows = rows.withColumns({"_hour": F.col("_hour").cast("string"),
                                  "_batch": F.col("_batch").cast("long")})
+        if upto is not None:
+            rows = rows.filter(F.col("_batch") <= upto)
+        return rows
 
     def newest(self, rows: DataFrame) -> DataFrame:
         """The newest version per key."""
@@ -87,9 +79,12 @@ def staged(df: DataFrame, name: str = "staged") -> DataFrame:
 
 
 def span_of(rows: DataFrame, time: str) -> tuple[dt.datetime, dt.datetime] | None:
-    """Smallest and largest time, two values; None without rows."""
-    low, high = rows.agg(F.min(time), F.max(time)).first()
-    return None if low is None else (low, high)
+    """Smallest and largest time in UTC, two values; None without rows."""
+    low, high = rows.agg(F.min(F.unix_micros(time)), F.max(F.unix_micros(time))).first()
+    if low is None:
+        return None
+    epoch = dt.datetime(1970, 1, 1)
+    return epoch + dt.timedelta(microseconds=low), epoch + dt.timedelta(microseconds=high)
 
 
 def write_jdbc(rows: DataFrame, url: str, table: str = "risk_alerts", **options: str) -> None:
