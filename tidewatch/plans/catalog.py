@@ -31,7 +31,15 @@ def load() -> None:
                                  ingest_queries, scalar_queries, score_queries, stream_queries)
 
 
+def _fit_local(spark: SparkSession) -> SparkSession:
+    """On one machine, as many shuffle partitions as cores instead of the cluster default."""
+    if (spark.sparkContext.master.startswith("local")
+            and spark.conf.get("spark.sql.shuffle.partitions") == "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    return spark
+
+
 def runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return QUERIES[name](Tables(configure(spark), sf_dir))
+        return QUERIES[name](Tables(configure(_fit_local(spark)), sf_dir))
     return run

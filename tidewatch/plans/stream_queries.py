@@ -19,6 +19,7 @@ from tidewatch.plans.feature_queries import FEATURES_SQL
 from tidewatch.plans.views import Tables
 from tidewatch.session import fresh_path
 from tidewatch.sources.news import read_news_stream
+from tidewatch.sources.tables import BatchTable
 from tidewatch.streaming import jobs
 from tidewatch.streaming.state import cooldown_stream, running_features_stream
 
@@ -182,3 +183,58 @@ def sink_fanout(t: Tables) -> DataFrame:
         "ticker", "window_end", "risk_score", "notification_sent", "suppression_reason")
 
 
+
+
+@query("st_sliding", f"{COUNTED} SELECT * FROM counted")
+def st_sliding(t: Tables) -> DataFrame:
+    """Sliding counts in update mode: every refined row is upserted."""
+    root, checkpoint = _root(t)
+    table = BatchTable(root, ("ticker", "window_end"))
+    finish(_counts(t).writeStream.outputMode("update").foreachBatch(table.write)
+           .option("checkpointLocation", checkpoint).trigger(**UNTIL_DONE))
+    return table.read(t.spark)
+
+
+LATE = f"""WITH {V.MENTIONS_SQL},
+late AS (SELECT news_id || '-late' AS news_id, event_ts, ticker, role, -sentiment AS sentiment, event_id FROM mentions),
+spread AS (
+  SELECT m.*, date_trunc('minute', event_ts) + to_minutes(k) AS window_end FROM mentions m, range(1, 6) AS r(k)
+  UNION ALL
+  SELECT l.*, date_trunc('minute', event_ts) + to_minutes(k) AS window_end FROM late l, range(1, 6) AS r(k)
+  WHERE NOT (date_trunc('minute', event_ts) + to_minutes(k) <= (SELECT max(event_ts) FROM mentions) - INTERVAL 7 MINUTE)),
+{V.features_sql("spread")}"""
+
+
+@query("st_lateness", f"""{LATE} SELECT ticker, window_end, neg_news_count_5m, pos_news_count_5m,
+  sentiment_score_5m, risk_score_5m FROM features""")
+def st_lateness(t: Tables) -> DataFrame:
+    """All mentions, and then all of them again as late rows: only open windows may change."""
+    folder = fresh_path(t.spark, "mentions")
+    root, checkpoint = _root(t)
+    rows = V.mentions(t)
+    late = rows.withColumns({"news_id": F.concat("news_id", F.lit("-late")),
+                             "sentiment": -F.col("sentiment")})
+    for part in (rows, late):
+        part.write.mode("append").parquet(folder)
+        stream = t.spark.readStream.schema(rows.schema).parquet(folder)
+        writer, tables = jobs.feature_job(stream, root, checkpoint, UNTIL_DONE)
+        finish(writer)
+    return tables.windows.read(t.spark)
+
+
+@query("st_batching", """SELECT CAST(5 AS BIGINT) AS batches, count(*) AS rows_total,
+  max(n) AS largest FROM (SELECT count(*) OVER (PARTITION BY event_id % 5) AS n FROM events)""")
+def st_batching(t: Tables) -> DataFrame:
+    """Five files, one per micro-batch, as the source option asks."""
+    folder, out = fresh_path(t.spark, "mentions"), fresh_path(t.spark, "batches")
+    part = F.col("news_id").cast("long") % 5
+    (V.mentions(t).withColumn("part", part).repartition(5, "part")
+     .write.partitionBy("part").parquet(folder))
+    schema = t.spark.read.parquet(folder).schema
+    stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    table = BatchTable(out, ("news_id",), "event_ts")
+    finish(stream.writeStream.foreachBatch(table.write)
+           .option("checkpointLocation", fresh_path(t.spark, "checkpoint")).trigger(**UNTIL_DONE))
+    sizes = table.versions(t.spark).groupBy("_batch").agg(F.count("*").alias("n"))
+    return sizes.agg(F.count("*").alias("batches"), F.sum("n").alias("rows_total"),
+                     F.max("n").alias("largest"))
