@@ -108,3 +108,12 @@ def test_latency_and_histogram(spark, pieces):
     assert got.p95_value == ordered[int(n * 0.95)] and got.p99_value == ordered[int(n * 0.99)]
     hist = {r.le: r.observations for r in metrics.cumulative_histogram(df, "v", [1.0, 10.0]).collect()}
     assert hist == {"1.0": sum(v <= 1 for v in values), "10.0": sum(v <= 10 for v in values), "+Inf": n}
+
+
+def test_null_key_is_a_group_of_its_own(spark, pieces):
+    df = spark.createDataFrame([(None, float(i)) for i in range(500)] + [("a", 1.0)],
+                               "k string, v double")
+    got = {r.k: (r.n, r.median_value, r.max_value) for r in metrics.latency_summary(df, "k", "v").collect()}
+    assert got == {None: (500, 249.5, 499.0), "a": (1, 1.0, 1.0)}
+    ranks = sorted(r["rank"] for r in metrics.ranked(df, "k", "v").filter("k IS NULL").collect())
+    assert ranks == list(range(500))

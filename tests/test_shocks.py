@@ -58,3 +58,22 @@ def test_shock_alerts_follow_the_cooldown(spark):
     out = alerts.shock_alerts(shocks.shock_features(e)).orderBy("window_end").collect()
     assert [r.window_end for r in out] == [at(1), at(41)]
     assert out[0].shock_count_5m == 3
+
+
+def test_hot_ticker_windows_against_plain_python(spark, pieces):
+    rows = [("HOT" if i % 3 else f"T{i % 7}", at(seconds=(i * 7) % 400), -0.51 - (i % 40) / 100)
+            for i in range(900)]
+    e = mentions(spark, rows).withColumn("headline", F.concat(F.lit("h"), "news_id"))
+    got = {(r.ticker, r.window_end): r for r in shocks.shock_features(e).collect()}
+    want = {}
+    for i, (ticker, t, s) in enumerate(rows):
+        minute = int((t - at()).total_seconds() // 60)
+        for k in range(1, 6):
+            want.setdefault((ticker, at(minute + k)), []).append((t, f"{i:06d}", s))
+    assert set(got) == set(want)
+    for key, items in want.items():
+        items.sort()
+        r = got[key]
+        assert r.shock_count_5m == len(items)
+        assert r.worst_sentiment_5m == min(s for _, _, s in items)
+        assert r.shock_headlines == [f"h{i}" for _, i, _ in items[:3]]

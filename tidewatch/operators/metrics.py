@@ -95,7 +95,7 @@ def latency_summary(df: DataFrame, key: str, value: str) -> DataFrame:
     """Exact count, min, mean, median, p95, p99 and max per key; pXX = sorted[int(n * XX/100)]."""
     order = ranked(df, key, value)
     totals = df.filter(F.col(value).isNotNull()).groupBy(
-        F.col(key).cast("string").alias(key)).agg(
+        F.col(key).cast("string").alias("_key")).agg(
         F.count("*").alias("n"), F.min(value).alias("min_value"), F.avg(value).alias("avg_value"),
         F.max(value).alias("max_value"))
     n, rank, v = F.col("n"), F.col("rank"), F.col(value)
@@ -104,7 +104,7 @@ def latency_summary(df: DataFrame, key: str, value: str) -> DataFrame:
         return F.max(F.when(rank == position.cast("long"), v))
 
     wanted = [F.floor((n - 1) / 2), F.floor(n / 2), F.floor(n * 0.95), F.floor(n * 0.99)]
-    picked = order.join(totals, key).filter(F.array_contains(
+    picked = order.join(totals, F.col(key).eqNullSafe(F.col("_key"))).drop("_key").filter(F.array_contains(
         F.array(*[w.cast("long") for w in wanted]), rank))
     return picked.groupBy(key, "n", "min_value", "avg_value", "max_value").agg(
         ((at(wanted[0]) + at(wanted[1])) / 2.0).alias("median_value"),

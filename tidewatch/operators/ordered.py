@@ -208,7 +208,7 @@ def ordered_scan(pieces: DataFrame, key: str, *, summary_columns: list[str],
         return pd.DataFrame(out, columns=["_piece", key, *state_cols])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, state = None, None
+        name, state = object(), None  # unlike any key, null included
         for pdf in batches:
             done = []
             for value, rows in runs(pdf):
@@ -226,9 +226,11 @@ def ordered_scan(pieces: DataFrame, key: str, *, summary_columns: list[str],
     summaries = narrow.mapInPandas(edges, f"_piece int, {key} string, {summary_schema}")
     carries = (summaries.groupBy(key)
                .applyInPandas(chain, f"_piece int, {key} string, {state_schema}")
-               .select("_piece", key, F.lit(True).alias("_carried"),
+               .select(F.col("_piece").alias("_c_piece"), F.col(key).alias("_c_key"),
+                       F.lit(True).alias("_carried"),
                        *[F.col(c).alias(f"_s_{c}") for c in state_cols]))
     # at most two rows per piece, whatever the data: always small enough to broadcast
-    started = (pieces.join(F.broadcast(carries), ["_piece", key], "left")
+    same = (F.col("_piece") == F.col("_c_piece")) & F.col(key).eqNullSafe(F.col("_c_key"))
+    started = (pieces.join(F.broadcast(carries), same, "left").drop("_c_piece", "_c_key")
                .withColumn("_carried", F.coalesce("_carried", F.lit(False))))
     return started.mapInPandas(scan, output_schema)
