@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import language, quality, toxicity
+from tidewatch.llm import fingerprint, language, licenses, line_dedup, mixing, quality, toxicity
 from tidewatch.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,26 @@ def _language(table):
     return language.language(table("documents"))
 
 
+@query("op5_licenses")
+def _licenses(table):
+    return licenses.licenses(table("documents"))
+
+
+@query("op7_fingerprints")
+def _fingerprints(table):
+    return fingerprint.fingerprints(table("documents"))
+
+
+@query("op8_line_dedup", line_dedup.SQL)
+def _line_dedup(table):
+    return line_dedup.line_dedup(table("documents"))
+
+
+@query("op9_mixing", mixing.SQL)
+def _mixing(table):
+    return mixing.mixed(table("documents"))
+
+
 @query("op10_quality")
 def _quality(table):
     return quality.quality(table("documents"), table("labels"))
