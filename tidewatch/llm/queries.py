@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import fingerprint, language, licenses, line_dedup, mixing, quality, toxicity
+from tidewatch.llm import fingerprint, language, licenses, line_dedup, mixing, near_dedup, quality, toxicity
 from tidewatch.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def _licenses(table):
     return licenses.licenses(table("documents"))
 
 
+@query("op6_near_dedup")
+def _near_dedup(table):
+    return near_dedup.near_duplicates(table("documents"), similarity=0.85)
+
+
 @query("op7_fingerprints")
 def _fingerprints(table):
     return fingerprint.fingerprints(table("documents"))
