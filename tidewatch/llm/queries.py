@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import fingerprint, language, licenses, line_dedup, mixing, near_dedup, quality, toxicity
+from tidewatch.llm import decontaminate, fingerprint, language, licenses, line_dedup, mixing, near_dedup, quality, toxicity
 from tidewatch.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def _toxicity(table):
     return toxicity.toxicity(table("documents"), table("labels"))
 
 
+@query("op3_decontaminate")
+def _decontaminate(table):
+    return decontaminate.contaminated(table("documents"), table("benchmark"))
+
+
 @query("op4_language")
 def _language(table):
     return language.language(table("documents"))
