@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import decontaminate, fingerprint, language, licenses, line_dedup, mixing, near_dedup, quality, toxicity
+from tidewatch.llm import decontaminate, fingerprint, language, licenses, line_dedup, mixing, near_dedup, pii, quality, toxicity
 from tidewatch.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_pii")
+def _pii(table):
+    return pii.pii(table("documents"))
+
+
 @query("op2_toxicity")
 def _toxicity(table):
     return toxicity.toxicity(table("documents"), table("labels"))
