@@ -1,11 +1,14 @@
-"""Corpus pipeline: each stage takes what its predecessor kept and is written before the next."""
+"""Corpus pipeline: each stage takes what its predecessor kept and is written before the next.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
+that they were given. A null text counts as an empty one and passes the filters.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import toxicity
-
+from tidewatch.llm import decontaminate, line_dedup, mixing, near_dedup, toxicity
 from tidewatch.session import configure, fresh_path
 
 
@@ -15,12 +18,35 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity.fit_toxicity(docs, labels))
 
 
-STAGES = [("toxicity", drop_toxic)]
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found on several sites go, but for their first occurrence; no document goes."""
+    return line_dedup.cleaned(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return near_dedup.keep_one(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the words that the mix takes of each document; documents it takes nothing of go."""
+    return mixing.with_portions(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_boilerplate),
+          ("near_dedup", drop_near_copies), ("decontamination", drop_leaks),
+          ("mixing", mix_sources)]
 ORACLE_SQL = None  # a trained score cannot be said in SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; each result is written to the shared folder and reread."""
+    configure(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         kept = stage(spark, docs, sf_dir)

@@ -183,24 +183,29 @@ def build(rows: list[tuple], edit_rate: float = EDIT_RATE, min_chars: int = MIN_
                  place[order].astype(np.int64), table)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE,
-                 min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, item_id, start, end, edits and similarity of every benchmark passage in the texts.
+def indexes(benchmark: DataFrame, edit_rate: float = EDIT_RATE, min_chars: int = MIN_CHARS,
+            block_chars: int = BLOCK_CHARS) -> Iterator[Index]:
+    """One index after the other, each of about ``block_chars`` characters of items.
 
-    Rows of the benchmark without an id or text are not looked for; of repeated rows one counts.
+    Rows of the benchmark without an id or text are left out; of repeated rows one counts.
     """
     items = (core(benchmark, "item_id", "text").where(F.col("text").isNotNull())
              .where(F.col("item_id").isNotNull()).distinct())
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     number = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    for k in range(blocks):
+        yield build(sorted(map(tuple, items.where(number == k).collect()), key=str), edit_rate,
+                    min_chars)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE,
+                 min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, item_id, start, end, edits and similarity of every benchmark passage in the texts."""
     kind = benchmark.schema["item_id"].dataType.simpleString()
     own = docs.schema["doc_id"].dataType.simpleString()
     found = None
-    for k in range(blocks):
-        part = items.where(number == k)
-        index = build(sorted(map(tuple, part.collect()), key=str), edit_rate, min_chars)
-
+    for index in indexes(benchmark, edit_rate, min_chars, block_chars):
         def run(batches: Iterator[pd.DataFrame], index: Index = index) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 out = [(d, *m, 1 - m[3] / max(1, m[2] - m[1]))
@@ -211,3 +216,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_
             run, f"doc_id {own}, item_id {kind}, start long, end long, edits long, similarity double")
         found = rows if found is None else found.unionByName(rows)
     return found
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE,
+               min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text holds no benchmark passage; no shuffle."""
+    def clean(index: Index):
+        @F.pandas_udf("boolean")
+        def run(texts: pd.Series) -> pd.Series:
+            return pd.Series([not (t and index.matches(t)) for t in texts], dtype=bool)
+        return run
+
+    for index in indexes(benchmark, edit_rate, min_chars, block_chars):
+        docs = docs.where(clean(index)(docs["text"]))
+    return docs

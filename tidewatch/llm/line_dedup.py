@@ -84,8 +84,18 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
         F.array_join(F.transform(kept, lambda p: F.element_at(parts, p + 1)), "\n"))
     others = [text.alias(c) if c == "text" else row[c] for c in docs.columns]
     return joined.select(*others,
-                         F.when(row["text"].isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
-                         F.coalesce(F.size(again[g]), F.lit(0)).cast("long").alias("n_removed"))
+                         F.when(row["text"].isNull(), 0).otherwise(n).cast("long")
+                         .alias(unused(docs, "n_lines")),
+                         F.coalesce(F.size(again[g]), F.lit(0)).cast("long")
+                         .alias(unused(docs, "n_removed")))
+
+
+def cleaned(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """``docs`` with the same columns, boilerplate lines taken out and n_chars, if there, counted anew."""
+    out = remove_boilerplate(docs, min_sites)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:

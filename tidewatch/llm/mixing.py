@@ -15,10 +15,10 @@ without words and empty tables get targets of 0.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import core
+from tidewatch.llm.common import core, unused
 from tidewatch.sources.tables import staged
 
 WEIGHTS = (3, 1, 2)
@@ -49,6 +49,13 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[st
         "_range", *[f"_{n}" for n in sums.values()])
 
 
+def key_of(doc_id: Column, text: Column, seed: int) -> Column:
+    """The hash-random key of a row."""
+    empty = F.lit("")
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), empty),
+                             F.coalesce(text, empty)))
+
+
 def sized(docs: DataFrame, seed: int) -> DataFrame:
     """Key, source and size of every row, without its text."""
     text = F.coalesce("text", F.lit(""))
@@ -56,8 +63,7 @@ def sized(docs: DataFrame, seed: int) -> DataFrame:
         "doc_id", F.col("source").isNull().alias("no_source"),
         F.coalesce("source", F.lit("")).alias("src"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
-        F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
-                          text)).alias("key"))
+        key_of(F.col("doc_id"), F.col("text"), seed).alias("key"))
 
 
 def targets(sizes: DataFrame, share: float, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
@@ -85,9 +91,9 @@ def targets(sizes: DataFrame, share: float, weights: tuple[int, ...], max_epochs
                           .otherwise(F.lit(common or 0.0) * F.col("weight")).alias("target"))
 
 
-def mixed(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS,
-          max_epochs: int = 2, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words, repeats counted) of every row."""
+def portions(docs: DataFrame, share: float, weights: tuple[int, ...], max_epochs: int, seed: int
+             ) -> DataFrame:
+    """key, doc_id, size, source_size, target and taken of every row."""
     rows = staged(sized(docs, seed), "sizes")
     sizes = rows.groupBy(*SOURCE).agg(F.sum("size").alias("source_size"))
     goal = targets(sizes, share, weights, max_epochs)
@@ -98,10 +104,31 @@ def mixed(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHT
     rest = budget - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
     return placed.join(goal, SOURCE).select(
-        "doc_id", "size", "source_size", "target",
+        "key", "doc_id", "size", "source_size", "target",
         (epochs * F.col("size") + part).cast("long").alias("taken"))
 
 
+def mixed(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS,
+          max_epochs: int = 2, seed: int = 7) -> DataFrame:
+    """doc_id, size, source_size, target and taken (words, repeats counted) of every row."""
+    return portions(docs, share, weights, max_epochs, seed).drop("key")
+
+
+def with_portions(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS,
+                  max_epochs: int = 2, seed: int = 7) -> DataFrame:
+    """The rows of ``docs`` that the mix takes words of, all columns, with size, source_size, target
+    and taken; where ``docs`` has such a name already, the new one gets an underscore.
+
+    Rows that repeat an id and its text carry the largest portion of them.
+    """
+    names = ["size", "source_size", "target", "taken"]
+    took = (portions(docs, share, weights, max_epochs, seed).where(F.col("taken") > 0)
+            .groupBy("key").agg(F.max(F.struct("taken", *names[:3])).alias("m"))
+            .select(F.col("key").alias("_key"), *[F.col(f"m.{n}").alias(unused(docs, n))
+                                                  for n in names]))
+    return docs.join(took, key_of(docs["doc_id"], docs["text"], seed) == took["_key"]).drop("_key")
+
+
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS src,

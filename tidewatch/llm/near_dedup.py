@@ -324,8 +324,8 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.drop("was")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id of the group) and kept of every row."""
+def decided(docs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """doc_id, text_key (hash of the text), n_shingles, component_id and kept of every row."""
     matches = least_matches(similarity)
     rows = staged(signed(docs, words), "signed")
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "sig")
@@ -345,8 +345,25 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = WORDS
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     groups_of = named.join(names, "root").select("class", "component_id")
     full = rows.where(F.col("class").isNotNull()).join(groups_of, "class").select(
-        "doc_id", "n_shingles", "component_id")
+        "doc_id", "text_key", "n_shingles", "component_id")
     empty = rows.where(F.col("class").isNull()).select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        "doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(empty).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id of the group) and kept of every row."""
+    return decided(docs, similarity, words).drop("text_key")
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that are not their group's first document.
+
+    Rows that repeat an id and its text are one document: they stay or go together. So do rows
+    without an id, which go only if their group has an id.
+    """
+    gone = decided(docs, similarity, words).where(~F.col("kept")).select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"])
+                     & (F.xxhash64(docs["text"]) == gone["_key"]), "left_anti")
