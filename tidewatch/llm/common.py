@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -54,18 +54,22 @@ def per_text(docs: DataFrame, columns: list[str], schema: str,
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, usable: Column,
                    per_class: int) -> tuple[list[str], list]:
-    """A bounded sample of labelled texts: ``per_class`` documents of each label, by hash order.
+    """A bounded sample of labelled texts: at most ``per_class`` documents of each label, by hash
+    order.
 
     The only thing that is bounded by a row count, and only for fitting. Ids are picked on the
-    narrow columns; a label per id is the greatest one given. Spark limits the groups in each task
-    before the shuffle, so a label that holds most rows stays small. Of rows that share an id, one
-    text counts. Labels and ids without a value are not used.
+    narrow columns; a label per id is the greatest one given. A label's ids are dealt into shares of
+    which up to 1,000 rows are taken each: so far Spark limits the groups inside every task before the
+    shuffle, and a label that holds most rows stays small. Of rows that share an id, one text counts.
+    Labels and ids without a value are not used.
     """
+    shares = -(-per_class // 1000)
     marked = (labels.where(usable & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
               .groupBy("doc_id").agg(F.max(label).alias("label")))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    marked = marked.withColumn("share", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(shares)))
+    order = Window.partitionBy("label", "share").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = (marked.withColumn("nth", F.row_number().over(order))
-              .where(F.col("nth") <= per_class).drop("nth"))
+              .where(F.col("nth") <= per_class // shares).select("doc_id", "label"))
     texts = (core(docs, "doc_id", "text").where(F.col("text").isNotNull())
              .join(F.broadcast(picked), "doc_id")
              .groupBy("doc_id").agg(F.max("label").alias("label"), F.max("text").alias("text")))
@@ -73,31 +77,6 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, usable: Colum
     return [r["text"] for r in rows], [r["label"] for r in rows]
 
 
-def runs(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Groups of neighbouring rows with equal keys, across batch borders, one group at a time."""
-    held: list[pd.DataFrame] = []
-    last = None
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        pdf = pdf.reset_index(drop=True)
-        change = np.zeros(len(pdf), dtype=bool)
-        for k in keys:
-            values = pdf[k].to_numpy()
-            change[1:] |= values[1:] != values[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), len(pdf)]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            part = pdf.iloc[a:b]
-            key = tuple(part[k].iat[0] for k in keys)
-            if key != last and held:
-                yield last, held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
-                held = []
-            held.append(part)
-            last = key
-    if held:
-        yield last, held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
-
-
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
 
