@@ -117,3 +117,32 @@ def test_null_key_is_a_group_of_its_own(spark, pieces):
     assert got == {None: (500, 249.5, 499.0), "a": (1, 1.0, 1.0)}
     ranks = sorted(r["rank"] for r in metrics.ranked(df, "k", "v").filter("k IS NULL").collect())
     assert ranks == list(range(500))
+
+
+def test_incomplete_times_are_null(spark):
+    from tidewatch.functions.codecs import parse_iso
+    texts = ["12:30", "T10:00", "2024", "2024-01-01", "yesterday", "", "2024-02-30T10:00:00Z", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.where(parse_iso(F.col("t")).isNotNull()).count() == 0
+    good = spark.createDataFrame([("2024-01-01T00:02:00Z",), ("2024-01-01 00:02:00,5+01:00",)], "t string")
+    assert good.where(parse_iso(F.col("t")).isNotNull()).count() == 2
+
+
+def test_article_time_falls_back_to_the_record(spark):
+    from tidewatch.operators import enrich
+    value = json.dumps({"news_id": "1", "headline": "h", "url": "u", "published": "12:30"})
+    raw = spark.createDataFrame([(value, "2024-05-01 00:00:00")], "value string, timestamp string")
+    news = ingest.parse_news(raw)
+    got = news.select(enrich.article_time(news).alias("t")).first()
+    assert str(got.t) == "2024-05-01 00:00:00"
+    plan = news._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
+def test_only_a_missing_path_counts_as_nothing_written(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+    from tidewatch.sources.tables import BatchTable
+    assert BatchTable(str(tmp_path / "none"), ("k",)).versions(spark) is None
+    (tmp_path / "bad").mkdir()  # there, but without any readable file
+    with pytest.raises(AnalysisException):
+        BatchTable(str(tmp_path / "bad"), ("k",)).versions(spark)

@@ -113,3 +113,16 @@ def test_ensemble(spark):
     assert got[1] == (pytest.approx(0.3), 0.5)
     assert got[2] == (pytest.approx(0.3), pytest.approx(0.6))
     assert got[3] == (None, None)
+
+
+def test_one_bad_text_costs_no_other_text_its_answer(spark):
+    def picky():
+        def score(batch):
+            if any("bad" in t for t in batch):
+                raise ValueError("cannot read this")
+            return [("positive", 0.5)] * len(batch)
+        return score
+    rows = texts(spark, ["one", "two", "a bad one", "three", "four", "five"]).coalesce(1)
+    got = {r.text: r.model_score for r in scorers.model_scores(rows, picky).collect()}
+    assert got.pop("a bad one") is None
+    assert set(got.values()) == {0.5}

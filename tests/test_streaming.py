@@ -6,6 +6,7 @@ import pytest
 from helpers import at, mentions
 from pyspark.sql import functions as F
 
+from tidewatch.functions.codecs import event_time
 from tidewatch.operators import alerts, features, ingest, shocks
 from tidewatch.plans.stream_queries import finish, to_parquet
 from tidewatch.sources import tables as T
@@ -171,7 +172,7 @@ def test_text_source_to_mentions_and_dead_letters(spark, tmp_path):
 def test_event_time_falls_back(spark):
     df = spark.createDataFrame([("2024-01-01T00:00:00Z", at(5)), ("x", at(5)), (None, None)],
                                "t string, r timestamp")
-    got = [r.e for r in df.select(jobs.event_time(F.col("t"), F.col("r")).alias("e")).collect()]
+    got = [r.e for r in df.select(event_time(F.col("t"), F.col("r")).alias("e")).collect()]
     assert got[:2] == [at(0), at(5)] and got[2] > at(5)
 
 

@@ -10,9 +10,19 @@ RFC3339 = (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}([.,][0-9]+)?
            r"(Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])$")
 
 
+# a whole date and a time, seconds and zone optional; nothing that Spark would fill up from today
+ISO_TIME = (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?"
+            r"(Z|[+-][0-9]{2}(:?[0-9]{2})?)?$")
+
+
 def parse_iso(text: Column) -> Column:
-    """ISO-8601 text to timestamp; null when malformed."""
-    return F.try_to_timestamp(text)
+    """ISO-8601 date and time to timestamp; null when malformed or not complete."""
+    return F.when(text.rlike(ISO_TIME), F.try_to_timestamp(F.replace(text, F.lit(","), F.lit("."))))
+
+
+def event_time(text: Column, record_time: Column) -> Column:
+    """Event time from its text, else the record's time, else now."""
+    return F.coalesce(parse_iso(text), record_time, F.current_timestamp())
 
 
 def is_rfc3339(text: Column) -> Column:

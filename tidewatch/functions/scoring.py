@@ -67,6 +67,7 @@ def severity(risk: Column) -> Column:
 def alert_message(ticker: Column, risk: Column) -> Column:
     value = F.format_string("%.3f", risk)
     level = severity(risk)
+    # fixed values: message per severity
     start = (F.when(level == "high", "CRITICAL: High supply chain risk detected for ")
              .when(level == "medium", "WARNING: Medium supply chain risk for ")
              .otherwise("NOTICE: Supply chain risk alert for "))
@@ -85,6 +86,7 @@ def notification_payload(ticker: Column, risk: Column, threshold: Column, window
     def field(title: str, value: Column, short: bool) -> Column:
         return F.struct(F.lit(title).alias("title"), value.alias("value"), F.lit(short).alias("short"))
 
+    # fixed values: titles, footer and field order of the document
     attachment = F.struct(
         color.alias("color"),
         F.concat(name, F.lit(" Risk Alert: "), ticker).alias("title"),

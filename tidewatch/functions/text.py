@@ -107,7 +107,7 @@ def word_pattern_column(keyword: Column) -> Column:
     word_end = keyword.rlike(f"[{WORD}]$")
     return F.concat(
         F.when(word_start, F.lit(f"(?<![{WORD}])")).otherwise(F.lit(f"(?<=[{WORD}])")),
-        F.lit("\\Q"), keyword, F.lit("\\E"),
+        F.regexp_replace(keyword, r"([^\p{L}\p{N}\s_])", r"\\$1"),
         F.when(word_end, F.lit(f"(?![{WORD}])")).otherwise(F.lit(f"(?=[{WORD}])")))
 
 

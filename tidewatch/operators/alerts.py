@@ -169,6 +169,7 @@ def alert_history(decisions: DataFrame, triggered_at: Column | None = None) -> D
         alert_message(F.col("ticker"), risk).alias("alert_message"))
 
 
+# fixed values: channel and user name
 def outbox(decisions: DataFrame, channel: str = "#supply-chain-alerts", username: str = "RiskBot"
            ) -> DataFrame:
     """Notifications to deliver, one row per fired alert."""

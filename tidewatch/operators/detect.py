@@ -23,6 +23,15 @@ def _keyword_table(keywords) -> str:
     return f"array({', '.join(rows)})"
 
 
+def _folded(keywords) -> list[tuple]:
+    """Keywords in the texts' folded form; of equal ones the first in order counts."""
+    rows: dict[str, tuple] = {}
+    for keyword, ticker, ord_ in sorted(keywords, key=lambda r: r[2]):
+        low = keyword.lower().translate(str.maketrans("\u017f\u0131", "si"))
+        rows.setdefault(low, (low, ticker, ord_))
+    return list(rows.values())
+
+
 def with_keyword_hits(news: DataFrame, keywords=None) -> DataFrame:
     """Adds ``_hits``: array<struct<keyword, ticker, ord, role>> in matching order.
 
@@ -30,7 +39,7 @@ def with_keyword_hits(news: DataFrame, keywords=None) -> DataFrame:
     one-word keyword matches exactly where it is a token; the others run a regular expression, and
     only where their anchor word is a token.
     """
-    keywords = dims.keyword_rows() if keywords is None else keywords
+    keywords = _folded(dims.keyword_rows() if keywords is None else keywords)
     anchors = F.array(*[F.lit(a) for a in sorted({anchor_word(k) for k, _, _ in keywords})])
     text = full_text(F.col("headline"), F.col("full_text"))
     lowered = once(news, "_low", F.struct(fold(text).alias("text"),
@@ -69,17 +78,22 @@ def detect_companies(news: DataFrame, keywords=None) -> DataFrame:
 def detect_companies_by_dim(news: DataFrame, keyword_dim: DataFrame) -> DataFrame:
     """The same for a keyword table of any size: (keyword, ticker, ord).
 
-    Tokens meet anchor words in an equi-join (no nested loop over articles x keywords), and only
-    the candidates run a regular expression.
+    Keywords are folded like the texts; of equal ones the first in order counts. Tokens meet anchor
+    words in an equi-join (no nested loop over articles x keywords), and only the candidates run a
+    regular expression. Tokens that are no anchor, the frequent words above all, are dropped before
+    they are joined; where the anchors are few, Spark broadcasts them and no token is shuffled.
     """
-    words = keyword_dim.select(
+    folded = (keyword_dim.groupBy(fold(F.col("keyword")).alias("keyword"))
+              .agg(F.min_by(F.struct("ticker", "ord"), "ord").alias("first"))
+              .select("keyword", "first.ticker", "first.ord"))
+    words = folded.select(
         "keyword", "ticker", "ord", anchor_word_column(F.col("keyword")).alias("token"),
         word_pattern_column(F.col("keyword")).alias("_pattern"))
     text = fold(full_text(F.col("headline"), F.col("full_text")))
     low = once(news, "_low", F.struct(text.alias("text"), fold(F.col("headline")).alias("head")))
     low = low.select("news_id", "_low")
     seen = low.select("news_id", F.explode_outer(F.array_distinct(tokens(F.col("_low.text"))))
-                      .alias("token"))
+                      .alias("token")).join(words.select("token").distinct(), "token", "left_semi")
     candidates = seen.join(words, "token").select("news_id", "keyword", "ticker", "ord", "_pattern")
     hits = (low.join(candidates, "news_id").filter(F.expr("_low.text rlike _pattern"))
             .select("news_id", "ticker", "keyword", "ord",

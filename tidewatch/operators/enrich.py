@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import schemas
-from tidewatch.functions.codecs import from_record, parse_iso
+from tidewatch.functions.codecs import event_time, from_record
 from tidewatch.functions.scoring import sentiment_result
 from tidewatch.functions.text import full_text
 from tidewatch.operators.common import once
@@ -52,9 +52,16 @@ def drop_unmentioned(enriched: DataFrame) -> DataFrame:
     return enriched.filter(F.size("companies") > 0)
 
 
+def article_time(articles: DataFrame) -> Column:
+    """Publication time; where that is malformed the record's time (``record_ts``, if the articles
+    have it), else now. No article loses its place in the windows."""
+    record = F.col("record_ts") if "record_ts" in articles.columns else F.lit(None).cast("timestamp")
+    return event_time(F.col("published"), record)
+
+
 def to_mention_events(enriched: DataFrame) -> DataFrame:
-    """One event per mention; the event time is the article's publication time."""
-    return (enriched.select("news_id", parse_iso(F.col("published")).alias("event_ts"),
+    """One event per mention, at the article's time."""
+    return (enriched.select("news_id", article_time(enriched).alias("event_ts"),
                             F.explode_outer("companies").alias("c"))
             .filter(F.col("c").isNotNull())
             .select("news_id", "event_ts", "c.ticker", "c.role", "c.sentiment"))
@@ -62,7 +69,7 @@ def to_mention_events(enriched: DataFrame) -> DataFrame:
 
 def to_shock_events(enriched: DataFrame, threshold: float = -0.5) -> DataFrame:
     """Mentions below the shock threshold, with the headline."""
-    return (enriched.select("news_id", parse_iso(F.col("published")).alias("event_ts"),
+    return (enriched.select("news_id", article_time(enriched).alias("event_ts"),
                             F.explode_outer("companies").alias("c"), "headline")
             .filter(F.col("c.sentiment") < threshold)
             .select("news_id", "event_ts", "c.ticker", "c.sentiment", "headline"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch import schemas
 from tidewatch.functions.codecs import is_rfc3339
 from tidewatch.functions.text import is_blank, strip
+from tidewatch.operators.common import once
 
 # fixed values: rejection messages
 HEADLINE_REQUIRED = "headline is required"
@@ -27,15 +28,19 @@ def _decoded(raw: DataFrame, value: str) -> DataFrame:
     complete = F.lit(True)
     for name in schemas.NEWS_REQUIRED:
         complete = complete & F.col(f"_news.{name}").isNotNull()
-    return (raw.withColumn("_news", news)
+    return (once(raw, "_news", news)
             .withColumn("_good", F.coalesce(F.col("_news._corrupt_record").isNull() & complete,
                                             F.lit(False))))
 
 
-def parse_news(raw: DataFrame, value: str = "value") -> DataFrame:
-    """JSON records -> articles; broken or incomplete records are left out."""
+def parse_news(raw: DataFrame, value: str = "value", time: str = "timestamp") -> DataFrame:
+    """JSON records -> articles; broken or incomplete records are left out.
+
+    If the records have a time of their own (``time``), it is kept as ``record_ts``.
+    """
+    kept = [F.col(time).cast("timestamp").alias("record_ts")] if time in raw.columns else []
     return _decoded(raw, value).filter("_good").select(
-        *[F.col(f"_news.{c.split(' ')[0]}") for c in schemas.NEWS.split(", ")])
+        *[F.col(f"_news.{c.split(' ')[0]}") for c in schemas.NEWS.split(", ")], *kept)
 
 
 def rejected_news(raw: DataFrame, value: str = "value") -> DataFrame:

@@ -56,6 +56,18 @@ def score_lexicon(df: DataFrame, lexicon: DataFrame, key: str | list[str] = "new
             .drop("score", "confidence"))
 
 
+def _answers(model: Callable, texts: list[str]) -> list[tuple[str, float] | None]:
+    """The model's answers. A batch that fails is halved until the failing texts stand alone; those
+    get None, so a bad text costs no other text its answer and no job its run."""
+    try:
+        return list(model(texts))
+    except Exception:  # whatever a user's model may raise
+        if len(texts) == 1:
+            return [None]
+        half = len(texts) // 2
+        return _answers(model, texts[:half]) + _answers(model, texts[half:])
+
+
 def model_output(text: Column, factory: ModelFactory, wanted: Column | None = None,
                  max_chars: int | None = None) -> Column:
     """struct<label, confidence> from a user-supplied batch scorer; null where it failed.
@@ -71,12 +83,10 @@ def model_output(text: Column, factory: ModelFactory, wanted: Column | None = No
             rows = texts[flags.fillna(False).astype(bool) & texts.notna()]
             if len(rows):
                 cut = rows if max_chars is None else rows.str.slice(0, max_chars)
-                try:
-                    answers = model(cut.tolist())
-                    out.loc[rows.index, "label"] = [a[0] for a in answers]
-                    out.loc[rows.index, "confidence"] = [float(a[1]) for a in answers]
-                except Exception:  # a failing scorer must not stop the job
-                    pass
+                answers = _answers(model, cut.tolist())
+                out.loc[rows.index, "label"] = [a and a[0] for a in answers]
+                out.loc[rows.index, "confidence"] = [float(a[1]) if a else float("nan")
+                                                     for a in answers]
             yield out
     return run(text, F.lit(True) if wanted is None else wanted)
 

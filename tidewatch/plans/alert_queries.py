@@ -12,6 +12,7 @@ from tidewatch.plans import views as V
 from tidewatch.plans.catalog import query
 from tidewatch.plans.ingest_queries import SHOCK_WINDOWS, shock_windows
 from tidewatch.plans.views import Tables
+from tidewatch.sources.tables import staged
 
 FEATURES = V.FEATURES_CTE.replace("WITH ", "WITH RECURSIVE ", 1)
 OWN = S.values(list(V.THRESHOLDS.items()), "ticker, own", "own")
@@ -106,7 +107,7 @@ def alert_stats(t: Tables) -> DataFrame:
 
 @query("alert_log_union", f"""{HISTORY} SELECT ticker, window_end, notification_sent, suppressed, notification_error FROM history""")
 def alert_log_union(t: Tables) -> DataFrame:
-    rows = history(t)
+    rows = staged(history(t), "history")  # three filters, one ordered scan
     sent = rows.filter("notification_sent")
     suppressed = rows.filter("suppressed")
     failed = rows.filter("notification_error IS NOT NULL")

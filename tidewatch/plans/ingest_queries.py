@@ -14,6 +14,7 @@ from tidewatch.plans.views import Tables
 
 NEWS = f"WITH {V.NEWS_SQL}"
 REQUESTS = f"{NEWS},\n{V.REQUESTS_SQL}"
+# fixed values: rejection messages
 REJECTION = """CASE WHEN coalesce(headline, '') = '' THEN 'headline is required'
   WHEN coalesce(url, '') = '' THEN 'url is required'
   WHEN coalesce(published, '') = '' THEN 'published is required'
@@ -31,9 +32,9 @@ def parse_news(t: Tables) -> DataFrame:
     return ingest.parse_news(V.raw_records(t))
 
 
-@query("st_dead_letter", f"""{NEWS}
+@query("rejected_news", f"""{NEWS}
 SELECT news_id AS record_id, doc_id % 11 AS fault FROM news WHERE doc_id % 11 IN (1, 2, 3, 4, 5, 7)""")
-def dead_letter(t: Tables) -> DataFrame:
+def rejected_news(t: Tables) -> DataFrame:
     return ingest.rejected_news(V.raw_records(t)).select(
         "record_id", (F.col("record_id").cast("long") % 11).alias("fault"))
 

@@ -125,9 +125,17 @@ def f_context_bias(t: Tables) -> DataFrame:
         F.col("score"), F.col("risk") - 0.5), 6).alias("sentiment"))
 
 
-@query("f_route_tier", f"{NEWS} SELECT news_id, {S.slow_test('headline', 'lower(headline)', None)} AS slow FROM news")
+ROUTED_TICKER = "CASE WHEN doc_id % 7 = 0 THEN 'aapl' ELSE 'T1' END"
+
+
+@query("f_route_tier", f"""{NEWS} SELECT news_id, {S.slow_test('headline', 'lower(headline)', ROUTED_TICKER)} AS headline_slow,
+  {S.slow_test('full_body', 'low', None)} AS slow FROM texts""")
 def f_route_tier(t: Tables) -> DataFrame:
-    return V.news(t).select("news_id", scoring.needs_slow_scorer(F.col("headline")).alias("slow"))
+    ticker = F.when(F.col("news_id").cast("long") % 7 == 0, "aapl").otherwise("T1")
+    whole = text.full_text(F.col("headline"), F.col("full_text"))
+    return V.news(t).select(
+        "news_id", scoring.needs_slow_scorer(F.col("headline"), ticker).alias("headline_slow"),
+        scoring.needs_slow_scorer(whole).alias("slow"))
 
 
 # fixed list of labels to score, chosen by event

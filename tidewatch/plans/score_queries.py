@@ -110,14 +110,18 @@ def score_model(t: Tables) -> DataFrame:
                    "model_used")
 
 
-@query("score_tiered", f"""WITH {V.NEWS_SQL.replace("headline || ' ' || full_text AS full_body", "headline AS full_body").replace("lower(headline || ' ' || full_text) AS low", "lower(headline) AS low")}, {S.CONTEXT}, {LEXICON}, {MODEL},
-routed AS (SELECT *, {S.slow_test("full_body", "low", None)} AS slow FROM texts)
+# every seventh article is about a company that is routed to the slow scorer
+TICKER = "CASE WHEN doc_id % 7 = 0 THEN 'aapl' ELSE 'T1' END"
+
+
+@query("score_tiered", f"""{NEWS}, {LEXICON}, {MODEL},
+routed AS (SELECT *, {S.slow_test("full_body", "low", TICKER)} AS slow FROM texts)
 SELECT r.news_id, r.slow, round(CASE WHEN slow THEN {SHIFT.format("stars")} ELSE {SHIFT.format("score")} END, 6) AS sentiment,
   round(CASE WHEN slow THEN c ELSE abs(score) END, 6) AS confidence, CASE WHEN slow THEN 'model' ELSE 'lexicon_fast' END AS model_used
 FROM routed r JOIN modelled USING (news_id) JOIN lexed USING (news_id) JOIN context USING (news_id)""")
 def score_tiered(t: Tables) -> DataFrame:
-    headlines = V.news(t).select("news_id", F.col("headline").alias("text"))
-    scored = scorers.score_tiered(headlines, star_model, lexicon(t), ticker=None)
+    ticker = F.when(F.col("news_id").cast("long") % 7 == 0, "aapl").otherwise("T1")
+    scored = scorers.score_tiered(texts(t).withColumn("ticker", ticker), star_model, lexicon(t))
     return scored.select(
         "news_id", "slow", F.round("result.sentiment", 6).alias("sentiment"),
         F.round("result.confidence", 6).alias("confidence"), F.col("result.model_used").alias("model_used"))

@@ -117,6 +117,7 @@ def severity(risk: str) -> str:
     return f"CASE WHEN {risk} >= 0.8 THEN 'high' WHEN {risk} >= 0.6 THEN 'medium' ELSE 'low' END"
 
 
+# fixed values in the two functions below: message texts, emoji, colours, titles
 def message(ticker: str, risk: str) -> str:
     return (f"CASE WHEN {risk} >= 0.8 THEN 'CRITICAL: High supply chain risk detected for ' "
             f"WHEN {risk} >= 0.6 THEN 'WARNING: Medium supply chain risk for ' "

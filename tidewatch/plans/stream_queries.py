@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from tidewatch.functions.codecs import event_time
 from tidewatch.operators import alerts, enrich, ingest
 from tidewatch.plans import sqlparts as S
 from tidewatch.plans import views as V
@@ -27,12 +28,13 @@ UNTIL_DONE = {"availableNow": True}
 
 
 class StreamedTables(Tables):
-    """The same tables, read as streams."""
+    """The same tables, read as streams. The one-name glob reads a file as well as a folder of part
+    files."""
 
     def __getattr__(self, name: str) -> DataFrame:
-        schema = self.spark.read.parquet(f"{self.path.rstrip('/')}/{name}.parquet").schema
-        return (self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-                .parquet(self.path))
+        folder = self.path.rstrip("/")
+        schema = self.spark.read.parquet(f"{folder}/{name}.parquet").schema
+        return self.spark.readStream.schema(schema).parquet(f"{folder}/{{{name}.parquet}}")
 
 
 def streamed(t: Tables) -> StreamedTables:
@@ -73,7 +75,7 @@ def st_event_time(t: Tables) -> DataFrame:
     d = F.col("news_id").cast("long")
     text = F.when(d % 3 == 1, "yesterday").otherwise(F.col("published"))
     record = F.lit("2024-06-01").cast("timestamp")
-    rows = V.news(streamed(t)).select("news_id", jobs.event_time(text, record).alias("event_ts"))
+    rows = V.news(streamed(t)).select("news_id", event_time(text, record).alias("event_ts"))
     return to_parquet(rows)
 
 
@@ -171,6 +173,48 @@ def st_state_read(t: Tables) -> DataFrame:
                         F.col("value.count").alias("mentions"))
 
 
+def dated_records(t: Tables) -> DataFrame:
+    """The articles as JSON records with a time of their own; some publication times do not parse."""
+    d = F.col("news_id").cast("long")
+    rows = V.news(t).withColumn("published", F.when(d % 5 == 1, "yesterday").when(d % 5 == 2, "12:30")
+                                .when(d % 5 == 3, "").otherwise(F.col("published")))
+    return rows.select(
+        F.to_json(F.struct("news_id", "headline", "url", "published", "full_text")).alias("value"),
+        V.after_start(d * 7 + F.when((d % 5).between(1, 3), 3600).otherwise(0)).alias("timestamp"))
+
+
+ARRIVED = """CASE WHEN doc_id % 5 BETWEEN 1 AND 3 THEN event_ts + INTERVAL 1 HOUR ELSE event_ts END"""
+
+
+@query("st_news_job", f"""{ENRICHED},
+arrived AS (SELECT d.news_id, {ARRIVED} AS event_ts, d.ticker, {SCORE} AS sentiment
+  FROM detected d JOIN context USING (news_id) JOIN news n USING (news_id)),
+{V.windows_sql("arrived")}
+SELECT ticker, window_end, CAST(count(*) FILTER (sentiment < 0) AS INTEGER) AS negative,
+       CAST(count(*) FILTER (sentiment > 0) AS INTEGER) AS positive
+FROM spread GROUP BY ticker, window_end""")
+def st_news_job(t: Tables) -> DataFrame:
+    """The standard job from raw records: an article whose publication time does not parse is taken
+    at its record's time and reaches its windows."""
+    stream = jobs.mention_stream(dated_records(streamed(t)))
+    writer, tables = jobs.feature_job(stream, *_root(t), UNTIL_DONE)
+    finish(writer)
+    return tables.windows.read(t.spark).select(
+        "ticker", "window_end", F.col("neg_news_count_5m").alias("negative"),
+        F.col("pos_news_count_5m").alias("positive"))
+
+
+@query("st_dead_letter", f"""WITH {V.NEWS_SQL}
+SELECT news_id AS record_id, doc_id % 11 AS fault FROM news WHERE doc_id % 11 IN (1, 2, 3, 4, 5, 7)""")
+def st_dead_letter(t: Tables) -> DataFrame:
+    """Broken records go to the quarantine folder."""
+    records = V.raw_records(streamed(t))
+    path, checkpoint = _root(t)
+    finish(jobs.quarantine_job(records, path, checkpoint, UNTIL_DONE))
+    return t.spark.read.schema(records.schema).parquet(path).select(
+        "record_id", (F.col("record_id").cast("long") % 11).alias("fault"))
+
+
 @query("sink_fanout", f"""{FEATURES},
 rated AS (SELECT ticker, window_end, risk_score_5m, 0.7::DOUBLE AS threshold FROM features WHERE {CLOSED}),
 {S.cooldown("rated")}
@@ -184,7 +228,6 @@ def sink_fanout(t: Tables) -> DataFrame:
 
 
 
-
 @query("st_sliding", f"{COUNTED} SELECT * FROM counted")
 def st_sliding(t: Tables) -> DataFrame:
     """Sliding counts in update mode: every refined row is upserted."""

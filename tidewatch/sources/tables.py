@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tidewatch.session import fresh_path
 
 HOUR = "yyyyMMddHH"
+MOST_LISTED = dt.timedelta(days=30)  # longer spans are pruned by a filter, not listed hour by hour
+
 
 @dataclass
 class BatchTable:
@@ -27,8 +29,10 @@ class BatchTable:
     time: str = "window_end"
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
+        """The hint gathers an hour's rows, so a batch writes a file per hour and size, not per task."""
         (rows.withColumns({"_hour": F.date_format(self.time, HOUR),
                            "_batch": F.lit(batch_id).cast("long")})
+         .hint("rebalance", "_hour")
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("_hour", "_batch").parquet(self.path))
 
@@ -40,14 +44,18 @@ class BatchTable:
         the hours listed and read, so a long-running job does not touch its whole past.
         """
         path = self.path
-        if between is not None:
+        if between is not None and between[1] - between[0] < MOST_LISTED:
             hours = pd.date_range(between[0].replace(minute=0, second=0, microsecond=0),
                                   between[1], freq="h")
             path += "/_hour={" + ",".join(f"{h:%Y%m%d%H}" for h in hours) + "}"
         try:
             rows = spark.read.option("basePath", self.path).parquet(path)
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
+        if between is not None:
+            rows = rows.filter(F.col("_hour").cast("string").between(*(f"{b:%Y%m%d%H}" for b in between)))
         rows = rows.withColumns({"_hour": F.col("_hour").cast("string"),
                                  "_batch": F.col("_batch").cast("long")})
         if upto is not None:

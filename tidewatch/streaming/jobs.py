@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tidewatch.functions.codecs import parse_iso
 from tidewatch.functions.scoring import shock_risk
 from tidewatch.operators import alerts, enrich, ingest, shocks, store
 from tidewatch.operators.features import clean_mentions, combine_partials, seconds
@@ -30,11 +29,6 @@ STREAM_CONF = {
 }
 
 
-def event_time(text: Column, record_time: Column) -> Column:
-    """Event time from its text, else the record's time, else now."""
-    return F.coalesce(parse_iso(text), record_time, F.current_timestamp())
-
-
 def watermarked(df: DataFrame, time: str = "event_ts", delay: str = DELAY,
                 lateness: str = LATENESS) -> DataFrame:
     configure(df.sparkSession)
@@ -44,7 +38,7 @@ def watermarked(df: DataFrame, time: str = "event_ts", delay: str = DELAY,
 
 
 def mention_stream(records: DataFrame, enricher: str = "full") -> DataFrame:
-    """Raw records -> mention events; broken records fall out (see ``ingest.rejected_news``)."""
+    """Raw records -> mention events; broken records fall out (see ``quarantine_job``)."""
     return enrich.to_mention_events(enrich.ENRICHERS[enricher](ingest.parse_news(records)))
 
 
@@ -128,10 +122,16 @@ class WindowTables:
         finally:
             batch.unpersist()
 
-    def live_records(self, spark) -> DataFrame:
-        """The keyed records as they stand: newest window, then newest batch, per key."""
+    def live_records(self, spark, now: Column | None = None) -> DataFrame:
+        """The keyed records as they stand and have not expired: newest window, then newest batch.
+
+        The batch decides before the clock, which may have been set back.
+        """
         rows = self.records.versions(spark).drop("_hour")
-        return store.last_write_wins(rows, "_batch").drop("_batch")
+        newest = (rows.groupBy("key")
+                  .agg(F.max_by(F.struct(*rows.columns), F.struct("window_end", "_batch")).alias("r"))
+                  .select("r.*").drop("_batch"))
+        return store.live(newest, F.current_timestamp() if now is None else now)
 
 
 def feature_tables(root: str, alpha: float = 0.1) -> WindowTables:
@@ -145,23 +145,33 @@ def shock_tables(root: str, headlines: int = 3) -> WindowTables:
 class AlertTables:
     """``foreachBatch`` target for the slices of *closed* windows (append mode): history and outbox.
 
-    Append mode emits all slices of a window at once and the windows in watermark order, so the last sent alert of every ticker, read from
-    the history, is all the state a batch needs.
+    Append mode emits all slices of a window at once and the windows in watermark order, so the
+    last sent alert of every ticker, read from the history, is all the state a batch needs.
+    ``delivered`` tells by ticker, window_end and risk whether a notification arrived; one that did
+    not is recorded as failed and starts no cooldown.
     """
 
     def __init__(self, root: str, thresholds=None, default_threshold: float = 0.7,
-                 cooldown_minutes: int = 30, alpha: float = 0.1):
+                 cooldown_minutes: int = 30, alpha: float = 0.1, delivered: Column | None = None):
         self.alpha = alpha
+        self.delivered = delivered
         self.history = BatchTable(f"{root}/history", ("ticker", "window_end"))
         self.outbox = BatchTable(f"{root}/outbox", ("ticker", "window_end"))
         self.thresholds, self.default = thresholds, default_threshold
         self.cooldown = cooldown_minutes
 
     def __call__(self, slices: DataFrame, batch_id: int) -> None:
+        slices = slices.persist()  # else each pass below runs the stateful plan again
+        try:
+            span = span_of(slices, "window_end")
+            if span is not None:
+                self._decide(slices, batch_id, span)
+        finally:
+            slices.unpersist()
+
+    def _decide(self, slices: DataFrame, batch_id: int, span: tuple[dt.datetime, dt.datetime]
+                ) -> None:
         spark = slices.sparkSession
-        span = span_of(slices, "window_end")
-        if span is None:
-            return
         features = combine_partials(slices, self.alpha)
         rows = (alerts.lookup_threshold(features, self.thresholds, self.default)
                 .select("ticker", "window_end", "risk_score_5m", "threshold",
@@ -174,7 +184,9 @@ class AlertTables:
             rows = rows.unionByName(last.select(
                 "ticker", "window_end", F.lit(1.0).alias("risk_score_5m"),
                 F.lit(0.0).alias("threshold"), F.lit(True).alias("earlier")))
-        decisions = alerts.alert_decisions(rows, cooldown_minutes=self.cooldown)
+        arrived = F.lit(True) if self.delivered is None else self.delivered
+        decisions = alerts.alert_decisions(rows, delivered=F.col("earlier") | arrived,
+                                           cooldown_minutes=self.cooldown)
         decisions = decisions.filter(~F.col("earlier")).drop("earlier").persist()
         try:
             self.history.write(alerts.alert_history(decisions), batch_id)
@@ -206,13 +218,61 @@ def shock_job(events: DataFrame, root: str, checkpoint: str, trigger: dict | Non
 
 
 def alert_job(mentions: DataFrame, root: str, checkpoint: str, trigger: dict | None = None,
-              thresholds=None, default_threshold: float = 0.7, cooldown_minutes: int = 30
-              ) -> tuple[DataStreamWriter, AlertTables]:
+              thresholds=None, default_threshold: float = 0.7, cooldown_minutes: int = 30,
+              delivered: Column | None = None) -> tuple[DataStreamWriter, AlertTables]:
     """Closed windows -> alert history and outbox."""
-    tables = AlertTables(root, thresholds, default_threshold, cooldown_minutes)
+    tables = AlertTables(root, thresholds, default_threshold, cooldown_minutes, delivered=delivered)
     return _writer(feature_slices(mentions), tables, checkpoint, "append", trigger), tables
 
 
+class ShockAlertTables:
+    """``foreachBatch`` target for the slices of closed shock windows: alerts under a cooldown."""
+
+    def __init__(self, root: str, min_count: int = 3, cooldown_minutes: int = 30, headlines: int = 3):
+        self.alerts = BatchTable(f"{root}/shock-alerts", ("ticker", "window_end"))
+        self.min_count, self.cooldown, self.headlines = min_count, cooldown_minutes, headlines
+
+    def __call__(self, slices: DataFrame, batch_id: int) -> None:
+        slices = slices.persist()
+        try:
+            span = span_of(slices, "window_end")
+            if span is None:
+                return
+            windows = combine_shock_partials(slices, self.headlines).withColumn(
+                "earlier", F.lit(False))
+            since = span[0] - dt.timedelta(minutes=self.cooldown)
+            past = self.alerts.versions(slices.sparkSession, batch_id - 1, (since, span[1]))
+            if past is not None:  # the last alert of every ticker enters the scan as an open cooldown
+                last = past.groupBy("ticker").agg(F.max("window_end").alias("window_end"))
+                windows = windows.unionByName(last.withColumns({
+                    "shock_count_5m": F.lit(self.min_count), "earlier": F.lit(True)}),
+                    allowMissingColumns=True)
+            rows = windows.filter(F.col("shock_count_5m") >= self.min_count).withColumn(
+                "threshold", F.lit(-1.0)).withColumn("risk_score_5m", F.coalesce(
+                    "risk_score_5m", F.lit(1.0)))
+            decided = alerts.alert_decisions(rows, cooldown_minutes=self.cooldown)
+            fired = decided.filter((F.col("status") == "sent") & ~F.col("earlier"))
+            self.alerts.write(fired.drop("status", "reason", "threshold", "earlier"), batch_id)
+        finally:
+            slices.unpersist()
+
+
+def shock_alert_job(events: DataFrame, root: str, checkpoint: str, trigger: dict | None = None,
+                    min_count: int = 3, cooldown_minutes: int = 30, **params
+                    ) -> tuple[DataStreamWriter, ShockAlertTables]:
+    """Closed shock windows -> shock alerts."""
+    tables = ShockAlertTables(root, min_count, cooldown_minutes, params.get("headlines", 3))
+    return _writer(shock_windows(events, **params), tables, checkpoint, "append", trigger), tables
+
+
+def quarantine_job(records: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+                   ) -> DataStreamWriter:
+    """The records that ``parse_news`` leaves out, as they came, into a parquet folder."""
+    return (ingest.rejected_news(records).writeStream.format("parquet").option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "10 seconds"})))
+
+
 def fan_out(*targets: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """One stream into several targets, computed once per batch."""
     def run(batch: DataFrame, batch_id: int) -> None:
