@@ -209,3 +209,50 @@ def test_reading_by_hour_sees_only_those_hours(spark, tmp_path):
                 .withColumn("risk_score_5m", F.lit(0.123)), 1)
     assert sorted(r.risk_score_5m == 0.123 for r in table.read(spark).collect()) == [False, False, True]
     assert table.versions(spark, upto=0).count() == 3
+
+
+@pytest.mark.parametrize("seed", ["zero", "first"])
+def test_running_job_equals_batch_and_splits_a_hot_ticker(spark, tmp_path, pieces, seed):
+    feed = Feed(spark, tmp_path / "in")
+    rows = spread(300, lambda i: "HOT" if i % 3 else f"T{i % 5}", 20)
+    for part in (rows[:100], rows[100:150], rows[150:]):
+        feed.add(part)
+        writer, tables = jobs.running_job(feed.stream(), str(tmp_path / "out"), str(tmp_path / "cp"),
+                                          NOW, seed=seed)
+        finish(writer)
+    got = tables.features.read(spark).withColumn("sentiment_ewm_7d", F.round("sentiment_ewm_7d", 9))
+    want = features.running_features(feed.batch(), seed=seed).withColumn(
+        "sentiment_ewm_7d", F.round("sentiment_ewm_7d", 9))
+    assert sorted(got.select(*want.columns).collect()) == sorted(want.collect())
+
+
+def test_failed_delivery_starts_no_cooldown(spark, tmp_path):
+    schema = "ticker string, window_end timestamp, risk_score_5m double, threshold double"
+    feed = Feed(spark, tmp_path / "in", schema)
+    failed = F.minute("window_end") != 3
+    for minutes in ((1, 3), (5, 40)):
+        feed.add([("A", at(m), 0.9, 0.5) for m in minutes])
+        writer, tables = jobs.cooldown_job(feed.stream(), str(tmp_path / "out"), str(tmp_path / "cp"),
+                                           NOW, delivered=failed)
+        finish(writer)
+    got = {r.window_end: (r.notification_sent, r.notification_error is not None, r.suppressed)
+           for r in tables.history.read(spark).collect()}
+    assert got == {at(1): (True, False, False), at(3): (False, False, True),
+                   at(5): (False, False, True), at(40): (True, False, False)}
+
+
+def test_shock_alerts_equal_batch(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in", MENTION + ", headline string")
+    rows = [r + (f"h{r[0]}",) for r in spread(400, lambda i: f"T{i % 2}", 15)]
+    for part in (rows[:200], rows[200:]):
+        feed.add(part)
+        writer, tables = jobs.shock_alert_job(feed.stream(), str(tmp_path / "out"), str(tmp_path / "cp"),
+                                              NOW, cooldown_minutes=9)
+        finish(writer)
+    closed = rows[-1][1] - (at(7) - at(0))
+    windows = shocks.shock_features(feed.batch()).filter(
+        F.col("window_end") <= F.lit(str(closed)).cast("timestamp"))
+    want = alerts.shock_alerts(windows, cooldown_minutes=9)
+    got = tables.alerts.read(spark).select(*want.columns)
+    assert want.count() > 2
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))

@@ -126,27 +126,39 @@ def simple_features(mentions: DataFrame) -> DataFrame:
         (s > 0).cast("int").alias("pos_news_count_24h"), s.alias("sentiment_ewm_7d"))
 
 
-def running_features(mentions: DataFrame, alpha: float = 0.1, seed: str = "zero") -> DataFrame:
+def running_features(mentions: DataFrame, alpha: float = 0.1, seed: str = "zero",
+                     before: DataFrame | None = None) -> DataFrame:
     """After every mention: the ticker's lifetime counts and exponentially weighted sentiment.
 
-    ``seed``: "zero" starts the mean from 0, "first" from the first value.
+    ``seed``: "zero" starts the mean from 0, "first" from the first value. ``before`` (ticker, neg,
+    pos, ewm; one row per ticker) holds what earlier mentions came to; it enters the scan as a row in
+    front of its ticker's mentions.
     """
     keep = 1.0 - alpha
 
+    def opening(first) -> dict | None:
+        """The state that the front row of a ticker brings, if this is one."""
+        return {"ewm": float(first["b_ewm"]), "neg": int(first["b_neg"]), "pos": int(first["b_pos"])} \
+            if not np.isnan(first["b_ewm"]) else None
+
     def stretch(parts: list[pd.DataFrame]) -> dict:
-        x = np.concatenate([p["sentiment"].to_numpy() for p in parts])
+        start = opening(parts[0].iloc[0])
+        x = np.concatenate([p["sentiment"].to_numpy() for p in parts])[1 if start else 0:]
         weights = alpha * np.power(keep, np.arange(len(x) - 1, -1, -1))
-        return {"n": len(x), "first_x": float(x[0]), "tail": float(np.dot(x, weights)),
-                "neg": int((x < 0).sum()), "pos": int((x > 0).sum())}
+        base = start or {"ewm": float(x[0]) if seed == "first" else 0.0, "neg": 0, "pos": 0}
+        return {"n": len(x), "tail": float(np.dot(x, weights)), "neg": int((x < 0).sum()),
+                "pos": int((x > 0).sum()), **{f"b_{k}": v for k, v in base.items()}}
 
     def advance(state: dict | None, s: dict) -> dict:
-        before = state or {"ewm": s["first_x"] if seed == "first" else 0.0, "neg": 0, "pos": 0}
+        before = state or {k: s[f"b_{k}"] for k in ("ewm", "neg", "pos")}
         return {"ewm": keep ** s["n"] * before["ewm"] + s["tail"],
                 "neg": int(before["neg"] + s["neg"]), "pos": int(before["pos"] + s["pos"])}
 
     def emit(rows: pd.DataFrame, state: dict | None) -> tuple[pd.DataFrame, dict]:
+        start = opening(rows.iloc[0])
+        rows = rows.iloc[1:] if start else rows
         x = rows["sentiment"].to_numpy()
-        before = state or {"ewm": float(x[0]) if seed == "first" else 0.0, "neg": 0, "pos": 0}
+        before = state or start or {"ewm": float(x[0]) if seed == "first" else 0.0, "neg": 0, "pos": 0}
         ewm = list(accumulate(x.tolist(), lambda e, v: alpha * v + keep * e,
                               initial=before["ewm"]))[1:]
         neg = before["neg"] + np.cumsum(x < 0)
@@ -155,15 +167,21 @@ def running_features(mentions: DataFrame, alpha: float = 0.1, seed: str = "zero"
             "news_id": rows["news_id"].to_numpy(), "ticker": rows["ticker"].to_numpy(),
             "window_end": rows["event_ts"].to_numpy(), "neg_news_count_24h": neg.astype("int32"),
             "pos_news_count_24h": pos.astype("int32"), "sentiment_ewm_7d": ewm})
-        return out, {"ewm": ewm[-1], "neg": int(neg[-1]), "pos": int(pos[-1])}
+        return out, {"ewm": ewm[-1], "neg": int(neg[-1]), "pos": int(pos[-1])} if len(x) else before
 
     rows = clean_mentions(mentions).select(
         "ticker", "event_ts", F.col("news_id").cast("string").alias("news_id"),
-        F.col("sentiment").cast("double").alias("sentiment"))
+        F.col("sentiment").cast("double").alias("sentiment"),
+        *[F.lit(None).cast("double").alias(f"b_{k}") for k in ("ewm", "neg", "pos")])
+    if before is not None:  # null times sort first
+        rows = rows.unionByName(before.where(F.col("ewm").isNotNull()).select(
+            "ticker", F.lit(None).cast("timestamp").alias("event_ts"),
+            F.lit(None).cast("string").alias("news_id"), F.lit(0.0).alias("sentiment"),
+            *[F.col(k).cast("double").alias(f"b_{k}") for k in ("ewm", "neg", "pos")]))
     return ordered_scan(
         split_sorted(rows, ["ticker"], ["event_ts", "news_id"]), "ticker",
-        summary_columns=["sentiment"],
-        summary_schema="n long, first_x double, tail double, neg long, pos long",
+        summary_columns=["sentiment", "b_ewm", "b_neg", "b_pos"],
+        summary_schema="n long, tail double, neg long, pos long, b_ewm double, b_neg long, b_pos long",
         state_schema="ewm double, neg long, pos long",
         summarize=stretch, advance=advance, emit=emit,
         output_schema="news_id string, ticker string, window_end timestamp, "

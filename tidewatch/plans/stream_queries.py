@@ -20,9 +20,8 @@ from tidewatch.plans.feature_queries import FEATURES_SQL
 from tidewatch.plans.views import Tables
 from tidewatch.session import fresh_path
 from tidewatch.sources.news import read_news_stream
-from tidewatch.sources.tables import BatchTable
+from tidewatch.sources.tables import BatchTable, staged
 from tidewatch.streaming import jobs
-from tidewatch.streaming.state import cooldown_stream, running_features_stream
 
 UNTIL_DONE = {"availableNow": True}
 
@@ -131,16 +130,31 @@ def st_unordered_enrich(t: Tables) -> DataFrame:
 
 @query("st_running_features", SQL["running_features"])
 def st_running_features(t: Tables) -> DataFrame:
-    rows = running_features_stream(V.mentions(streamed(t)))
-    return to_parquet(rows).withColumn("sentiment_ewm_7d", F.round("sentiment_ewm_7d", 6))
+    writer, tables = jobs.running_job(V.mentions(streamed(t)), *_root(t), UNTIL_DONE)
+    finish(writer)
+    return tables.features.read(t.spark).withColumn(
+        "sentiment_ewm_7d", F.round("sentiment_ewm_7d", 6))
 
 
 @query("st_cooldown", SQL["alert_cooldown_default"])
 def st_cooldown(t: Tables) -> DataFrame:
+    """Two batches, the later windows in the second; the history carries the cooldown over."""
     folder = fresh_path(t.spark, "features")
-    alerts.lookup_threshold(V.company_windows(t)).write.parquet(folder)
-    schema = t.spark.read.parquet(folder).schema
-    return to_parquet(cooldown_stream(t.spark.readStream.schema(schema).parquet(folder)))
+    rated = staged(alerts.lookup_threshold(V.company_windows(t)), "rated")
+    low, high = rated.agg(F.min(F.unix_seconds("window_end")), F.max(F.unix_seconds("window_end"))).first()
+    middle = ((low or 0) + (high or 0)) // 2
+    late = F.unix_seconds("window_end") > middle
+    root, checkpoint = _root(t)
+    for part in (rated.filter(~late), rated.filter(late)):
+        part.write.mode("append").parquet(folder)
+        stream = t.spark.readStream.schema(rated.schema).parquet(folder)
+        writer, tables = jobs.cooldown_job(stream, root, checkpoint, UNTIL_DONE)
+        finish(writer)
+    return tables.history.read(t.spark).select(
+        "ticker", "window_end", F.col("risk_score").cast("double").alias("risk_score_5m"),
+        F.col("threshold").cast("double").alias("threshold"),
+        F.when(F.col("notification_sent"), "sent").otherwise("suppressed").alias("status"),
+        F.col("suppression_reason").alias("reason"))
 
 
 # a window is closed once the newest event is 7 minutes past its end

@@ -17,7 +17,8 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tidewatch.functions.scoring import shock_risk
 from tidewatch.operators import alerts, enrich, ingest, shocks, store
-from tidewatch.operators.features import clean_mentions, combine_partials, seconds
+from tidewatch.operators.features import (clean_mentions, combine_partials, running_features,
+                                          seconds)
 from tidewatch.operators.ordered import ewm_partials_grouped
 from tidewatch.session import configure
 from tidewatch.sources.tables import BatchTable, span_of
@@ -142,6 +143,42 @@ def shock_tables(root: str, headlines: int = 3) -> WindowTables:
     return WindowTables(root, lambda p: combine_shock_partials(p, headlines), "shock", "v1_shock")
 
 
+class RunningTables:
+    """``foreachBatch`` target for mentions: lifetime features after every mention.
+
+    A batch is scanned in ordered pieces (``features.running_features``), so that a ticker with a
+    third of its rows spans many tasks; the scan starts from the last state per ticker. Each batch
+    writes that state for all tickers under its own number, so a replay starts from what the first
+    try saw. Mentions are folded batch after batch, in time order inside a batch.
+    """
+
+    def __init__(self, root: str, alpha: float = 0.1, seed: str = "zero"):
+        self.features = BatchTable(f"{root}/running", ("news_id", "ticker"))
+        self.states = BatchTable(f"{root}/running-state", ("ticker",))
+        self.alpha, self.seed = alpha, seed
+
+    def __call__(self, mentions: DataFrame, batch_id: int) -> None:
+        past = self.states.versions(mentions.sparkSession, batch_id - 1)
+        if past is not None:
+            last = past.agg(F.max("_batch")).first()[0]
+            past = past.filter(F.col("_batch") == last).select("ticker", "window_end", "neg", "pos", "ewm")
+        rows = running_features(mentions, self.alpha, self.seed, past).persist()
+        try:
+            self.features.write(rows, batch_id)
+            now = rows.select("ticker", "window_end", "news_id", F.lit(1).alias("later"),
+                              F.col("neg_news_count_24h").alias("neg"),
+                              F.col("pos_news_count_24h").alias("pos"),
+                              F.col("sentiment_ewm_7d").alias("ewm"))
+            if past is not None:
+                now = now.unionByName(past.withColumns({"later": F.lit(0), "news_id": F.lit("")}))
+            state = F.struct("window_end", "neg", "pos", "ewm")
+            newest = now.groupBy("ticker").agg(F.max_by(
+                state, F.struct("later", "window_end", "news_id")).alias("s"))
+            self.states.write(newest.select("ticker", "s.*"), batch_id)
+        finally:
+            rows.unpersist()
+
+
 class AlertTables:
     """``foreachBatch`` target for the slices of *closed* windows (append mode): history and outbox.
 
@@ -169,13 +206,16 @@ class AlertTables:
         finally:
             slices.unpersist()
 
+    def rated(self, slices: DataFrame) -> DataFrame:
+        """Windows with risk and threshold."""
+        return alerts.lookup_threshold(combine_partials(slices, self.alpha), self.thresholds,
+                                       self.default)
+
     def _decide(self, slices: DataFrame, batch_id: int, span: tuple[dt.datetime, dt.datetime]
                 ) -> None:
         spark = slices.sparkSession
-        features = combine_partials(slices, self.alpha)
-        rows = (alerts.lookup_threshold(features, self.thresholds, self.default)
-                .select("ticker", "window_end", "risk_score_5m", "threshold",
-                        F.lit(False).alias("earlier")))
+        rows = self.rated(slices).select("ticker", "window_end", "risk_score_5m", "threshold",
+                                         F.lit(False).alias("earlier"))
         since = span[0] - dt.timedelta(minutes=self.cooldown)
         past = self.history.versions(spark, batch_id - 1, (since, span[1]))
         if past is not None:
@@ -195,6 +235,13 @@ class AlertTables:
             decisions.unpersist()
 
 
+class RatedAlertTables(AlertTables):
+    """The same for a stream of finished windows that have a risk and a threshold already."""
+
+    def rated(self, slices: DataFrame) -> DataFrame:
+        return slices
+
+
 # ---- jobs ----
 
 def _writer(df: DataFrame, target: Callable[[DataFrame, int], None], checkpoint: str, mode: str,
@@ -273,6 +320,22 @@ def quarantine_job(records: DataFrame, path: str, checkpoint: str, trigger: dict
             .trigger(**(trigger or {"processingTime": "10 seconds"})))
 
 
+def running_job(mentions: DataFrame, root: str, checkpoint: str, trigger: dict | None = None,
+                alpha: float = 0.1, seed: str = "zero") -> tuple[DataStreamWriter, RunningTables]:
+    """Mentions -> lifetime features."""
+    tables = RunningTables(root, alpha, seed)
+    return _writer(mentions, tables, checkpoint, "append", trigger), tables
+
+
+def cooldown_job(rated: DataFrame, root: str, checkpoint: str, trigger: dict | None = None,
+                 cooldown_minutes: int = 30, delivered: Column | None = None
+                 ) -> tuple[DataStreamWriter, AlertTables]:
+    """Finished windows (ticker, window_end, risk_score_5m, threshold), batches in time order ->
+    alert history and outbox, by ordered scans and the history as state."""
+    tables = RatedAlertTables(root, cooldown_minutes=cooldown_minutes, delivered=delivered)
+    return _writer(rated, tables, checkpoint, "append", trigger), tables
+
+
 def fan_out(*targets: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """One stream into several targets, computed once per batch."""
     def run(batch: DataFrame, batch_id: int) -> None:
