@@ -24,7 +24,7 @@ def db():
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="needs the test tables")
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_query_equals_sql(spark, db, name):
     df = entry.queries()[name](spark, SF)
     rel = db.sql(entry.oracle_sql()[name])
