@@ -5,8 +5,9 @@ A place in a text that matches a benchmark item of m characters within k edits s
 most k apart. Shared q-grams are counted in overlapping diagonal bands; bands that reach the bound
 give regions, which a banded alignment verifies: the item must match there within k edits.
 
-Both sides are compared in lower case with every white space character as a space, one character for
-one, so that places are places of the original text. k is ``edit_rate`` of the item's length, but
+Both sides are compared as letters and digits in lower case, with one space for each run of anything
+else, so that case, punctuation and white space hide nothing; places are those of the original text.
+k is ``edit_rate`` of the item's length, but
 never so much that the bound falls under one q-gram. Items shorter than ``min_chars`` are not looked
 for. Nulls count as empty texts, and texts and items without a match give no row. Repeated rows give
 a row each. Of an item's overlapping matches in a text, the one with the fewest edits counts.
@@ -34,16 +35,20 @@ BLOCK_CHARS = 4_000_000  # characters of benchmark text in one index
 PART = 1 << 16  # characters of a text looked up at once
 FACTOR = np.uint32(0x9E3779B1)
 TABLE_BITS = 20
-SPACE = np.array([chr(k).isspace() for k in range(0x3001)] + [False])
+# characters beyond the first 65,536 count as letters
+WORD = np.array([chr(k).isalnum() for k in range(0xFFFF)] + [True])
 
 
-def plain(text: str) -> np.ndarray:
-    """Code points, lower case where that is one character, white space as spaces."""
+def plain(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code points that are compared, and the place of each in the text."""
     low = text.lower()
-    if len(low) != len(text):
+    if len(low) != len(text):  # a few capitals grow in lower case; keep the places
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     codes = code_points(low)
-    return np.where(SPACE[np.minimum(codes, len(SPACE) - 1)], np.uint32(32), codes)
+    word = WORD[np.minimum(codes, len(WORD) - 1)]
+    after_word = np.append(False, word[:-1])
+    place = np.flatnonzero(word | after_word)
+    return np.where(word, codes, np.uint32(32))[place], place
 
 
 def grams(codes: np.ndarray) -> np.ndarray:
@@ -114,7 +119,7 @@ class Index:
         """Item, start, end and edits of every match, overlapping ones of an item reduced to one."""
         if not self.names or len(text) < Q:
             return []
-        codes = plain(text)
+        codes, origin = plain(text)
         where, gram = [], []
         for at in range(0, len(codes) - Q + 1, PART):
             h = grams(codes[at:at + PART + Q - 1])
@@ -130,8 +135,9 @@ class Index:
         at, where = at[real], where[real]
         count = self.starts[at + 1] - self.starts[at]
         entry = np.repeat(self.starts[at] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        return self._regions(codes, self.owner[entry], self.place[entry],
-                             np.repeat(where, count) - self.place[entry])
+        found = self._regions(codes, self.owner[entry], self.place[entry],
+                              np.repeat(where, count) - self.place[entry])
+        return [(name, int(origin[a]), int(origin[b - 1]) + 1, n) for name, a, b, n in found]
 
     def _regions(self, codes, owner, place, diagonal) -> list[tuple]:
         """Bands of 2k + 2 diagonals, each sharing half with the next, so that any k + 1 neighbours
@@ -165,9 +171,12 @@ class Index:
 def build(rows: list[tuple], edit_rate: float = EDIT_RATE, min_chars: int = MIN_CHARS) -> Index:
     names, items = [], []
     for name, text in rows:
-        if text is not None and len(text.strip()) >= max(min_chars, Q):
+        codes = plain(text.strip())[0] if text is not None else ()
+        if len(codes) and codes[-1] == 32:
+            codes = codes[:-1]
+        if len(codes) >= max(min_chars, Q):
             names.append(name)
-            items.append(plain(text.strip()))
+            items.append(codes)
     hashes = [grams(i) for i in items]
     owner = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
     place = np.concatenate([np.arange(len(h)) for h in hashes]) if items else np.zeros(0, int)
