@@ -146,3 +146,15 @@ def test_only_a_missing_path_counts_as_nothing_written(spark, tmp_path):
     (tmp_path / "bad").mkdir()  # there, but without any readable file
     with pytest.raises(AnalysisException):
         BatchTable(str(tmp_path / "bad"), ("k",)).versions(spark)
+
+
+def test_point_reads_open_the_keys_own_folder(spark, tmp_path):
+    rows = [(f"feat:T{k}:{e}", "v") for k in range(300) for e in ("latest", "170")]
+    path = str(tmp_path / "store")
+    store.write_store(spark.createDataFrame(rows, "key string, value string"), path)
+    found = store.lookup_stored(spark, path, "feat:T7:latest")
+    assert [tuple(r) for r in found.collect()] == [("feat:T7:latest", "v")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "_kind" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert store.scan_stored(spark, path, "feat:T1*:latest").count() == 111

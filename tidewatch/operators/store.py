@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.codecs import format_iso, latest_key, store_key
@@ -56,3 +56,44 @@ def scan(records: DataFrame, pattern: str) -> DataFrame:
     """Records by key pattern, ``*`` standing for anything."""
     like = pattern.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%")
     return records.filter(F.col("key").like(like))
+
+
+# ---- stored tables for point reads ----
+
+BUCKETS = 64
+
+
+def _kind(key: Column) -> Column:
+    """``latest`` or ``timed``."""
+    return F.when(F.endswith(key, F.lit(":latest")), "latest").otherwise("timed")
+
+
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def write_store(records: DataFrame, path: str) -> None:
+    """Writes keyed records by key kind and key hash, so that a point read opens one folder."""
+    (records.withColumns({"_kind": _kind(F.col("key")), "_bucket": _bucket(F.col("key"))})
+     .hint("rebalance", "_kind", "_bucket")
+     .write.partitionBy("_kind", "_bucket").parquet(path))
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def lookup_stored(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """One record by key; reads the key's own folder only."""
+    at = F.lit(key)
+    own = (F.col("_kind") == _kind(at)) & (F.col("_bucket") == _bucket(at))
+    return read_store(spark, path).filter(own & (F.col("key") == key)).drop("_kind", "_bucket")
+
+
+def scan_stored(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """Records by key pattern (``*`` for any run); a pattern that ends in ``:latest`` reads the
+    folders of those records only."""
+    rows = scan(read_store(spark, path), pattern)
+    if pattern.endswith(":latest"):
+        rows = rows.filter(F.col("_kind") == "latest")
+    return rows.drop("_kind", "_bucket")

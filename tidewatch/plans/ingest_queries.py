@@ -11,6 +11,7 @@ from tidewatch.plans import sqlparts as S
 from tidewatch.plans import views as V
 from tidewatch.plans.catalog import query
 from tidewatch.plans.views import Tables
+from tidewatch.session import fresh_path
 
 NEWS = f"WITH {V.NEWS_SQL}"
 REQUESTS = f"{NEWS},\n{V.REQUESTS_SQL}"
@@ -251,12 +252,16 @@ def kv_expire(t: Tables) -> DataFrame:
 
 @query("kv_lookup", f"""{STORED} SELECT key, value, window_end, ingest_ts, expires_at FROM stored WHERE key = 'feat:T7:latest'""")
 def kv_lookup(t: Tables) -> DataFrame:
-    return store.lookup(stored(t), "feat:T7:latest")
+    path = fresh_path(t.spark, "store")
+    store.write_store(stored(t), path)
+    return store.lookup_stored(t.spark, path, "feat:T7:latest")
 
 
 @query("kv_scan", f"""{STORED} SELECT key, value, window_end, ingest_ts, expires_at FROM stored WHERE key LIKE 'feat:T1%:latest'""")
 def kv_scan(t: Tables) -> DataFrame:
-    return store.scan(stored(t), "feat:T1*:latest")
+    path = fresh_path(t.spark, "store")
+    store.write_store(stored(t), path)
+    return store.scan_stored(t.spark, path, "feat:T1*:latest")
 
 
 @query("batch_enrich_io", f"""WITH {V.NEWS_SQL}, {S.hits()},
