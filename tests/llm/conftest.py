@@ -24,4 +24,4 @@ def labels(spark):
 
 
 ODD_ROWS = [(1, None), (2, ""), (3, " \n \n"), (None, "no id at all here"), (4, "same text here again ok"),
-            (4, "same text here again ok"), (5, "word " * 30_000), (6, "\U0001F600 ünï ß")]
+            (4, "same text here again ok"), (5, "word " * 30_000), (6, "\U0001F600 ünï ß"), (2 ** 62 + 1, "an id beyond exact floats")]

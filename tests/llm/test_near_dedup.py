@@ -68,7 +68,7 @@ def test_odd_rows(docs, spark):
     for r in got:
         by.setdefault(r.doc_id, []).append((r.n_shingles, r.component_id, r.kept))
     assert by[1] == [(0, 1, True)] and by[2] == [(0, 2, True)]
-    assert by[None] == [(1, None, True)]
+    assert by[None] == [(1, None, True)] and by[2 ** 62 + 1] == [(1, 2 ** 62 + 1, True)]
     assert by[4] == [(1, 4, True)] * 2
     assert by[5] == [(1, 5, True)]
     assert nd.near_duplicates(docs([])).count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,26 +30,47 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(),
+         "binary": pa.binary()}
+
+
+def record_batch(schema: str, rows: list[tuple], kept: dict[str, pa.Array] | None = None
+                 ) -> pa.RecordBatch:
+    """Rows of Python values under ``schema`` ("name kind, ..."), after the ``kept`` columns.
+
+    Arrow, not pandas, so that an id next to a null id stays an integer.
+    """
+    fields = [f.split() for f in schema.split(", ")]
+    columns = dict(kept or {})
+    for k, (name, kind) in enumerate(fields):
+        columns[name] = pa.array([r[k] for r in rows], ARROW[kind])
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def kind_of(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def per_text(docs: DataFrame, columns: list[str], schema: str,
-             score: Callable[[], Callable[[str], tuple]]) -> DataFrame:
-    """Applies a function of one text (null: empty) to every row, in Arrow batches.
+             build: Callable[[], Callable[[list[str]], list[tuple]]]) -> DataFrame:
+    """Applies a function of texts (null: empty) to every row, in Arrow batches.
 
-    ``columns`` are kept, ``schema`` names what the function returns. ``score`` builds the function
-    once per task. Only the text and the kept columns reach Python.
+    ``columns`` are kept, ``schema`` names what the function returns for each text. ``build`` makes
+    the function once per task. Only the text and the kept columns reach Python.
     """
-    names = [c.split()[0] for c in schema.split(",")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one = score()
-        for pdf in batches:
-            found = [one("" if t is None else t) for t in pdf["text"]]
-            out = pdf[columns].copy()
-            for k, name in enumerate(names):
-                out[name] = pd.Series([f[k] for f in found], index=out.index, dtype=object)
-            yield out
-
-    kept = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return core(docs, *columns, "text").mapInPandas(run, f"{kept}, {schema}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = build()
+        for batch in batches:
+            rows = score([t or "" for t in batch.column("text").to_pylist()])
+            yield record_batch(schema, rows, {c: batch.column(c) for c in columns})
+
+    kept = ", ".join(f"{c} {kind_of(docs, c)}" for c in columns)
+    return core(docs, *columns, "text").mapInArrow(run, f"{kept}, {schema}")
+
+
+def each(one: Callable[[str], tuple]) -> Callable[[list[str]], list[tuple]]:
+    """A function of one text as one of many."""
+    return lambda texts: [one(t) for t in texts]
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, usable: Column,

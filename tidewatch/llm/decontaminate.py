@@ -23,16 +23,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import code_points, core
+from tidewatch.llm.common import code_points, core, kind_of, record_batch
 
 Q = 8  # characters in a q-gram
 EDIT_RATE = 0.08
 MIN_CHARS = 50
 BLOCK_CHARS = 4_000_000  # characters of benchmark text in one index
 PART = 1 << 16  # characters of a text looked up at once
+ITEM = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}  # kinds of item ids
 FACTOR = np.uint32(0x9E3779B1)
 TABLE_BITS = 20
 # characters beyond the first 65,536 count as letters
@@ -211,18 +213,19 @@ def indexes(benchmark: DataFrame, edit_rate: float = EDIT_RATE, min_chars: int =
 def contaminated(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE,
                  min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, start, end, edits and similarity of every benchmark passage in the texts."""
-    kind = benchmark.schema["item_id"].dataType.simpleString()
-    own = docs.schema["doc_id"].dataType.simpleString()
+    kind, own = kind_of(benchmark, "item_id"), kind_of(docs, "doc_id")
+    rest = "start long, end long, edits long, similarity double"
     found = None
     for index in indexes(benchmark, edit_rate, min_chars, block_chars):
-        def run(batches: Iterator[pd.DataFrame], index: Index = index) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                out = [(d, *m, 1 - m[3] / max(1, m[2] - m[1]))
-                       for d, t in zip(pdf["doc_id"], pdf["text"]) if t for m in index.matches(t)]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "start", "end", "edits",
-                                                 "similarity"])
-        rows = core(docs, "doc_id", "text").mapInPandas(
-            run, f"doc_id {own}, item_id {kind}, start long, end long, edits long, similarity double")
+        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+                out = [(k, *m, 1 - m[3] / max(1, m[2] - m[1]))
+                       for k, t in enumerate(texts) if t for m in index.matches(t)]
+                yield record_batch(rest, [r[2:] for r in out], {
+                    "doc_id": ids.take(pa.array([r[0] for r in out], pa.int64())),
+                    "item_id": pa.array([r[1] for r in out], ITEM[kind])})
+        rows = core(docs, "doc_id", "text").mapInArrow(run, f"doc_id {own}, item_id {kind}, {rest}")
         found = rows if found is None else found.unionByName(rows)
     return found
 

@@ -19,11 +19,12 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import core
+from tidewatch.llm.common import core, kind_of, record_batch
 
 PIECE = re.compile(r"\s*(?:\S+\s*){1,5}|\s+")
 CUT = 8  # a section ends at one in so many paragraphs
@@ -110,19 +111,22 @@ def chained(docs: DataFrame, rows_per_range: int = 20_000) -> DataFrame:
     last = max(0, len(bounds) - 1)
 
     @F.pandas_udf("part int, head boolean")
-    def place(ids: pd.Series) -> pd.DataFrame:
+    def place(ids: pd.Series, some: pd.Series) -> pd.DataFrame:
         """Number of the id's range, the greatest ids first, and whether the id leads the range."""
-        some = ids.notna()
+        values, some = ids.to_numpy(), some.to_numpy(dtype=bool)
         part = np.full(len(ids), last)
         head = np.zeros(len(ids), dtype=bool)
-        values = ids[some].astype("int64").to_numpy() if ids.dtype.kind in "fi" else \
-            ids[some].to_numpy()
-        k = np.minimum(np.searchsorted(bounds, values), last)
-        part[some] = last - k
-        head[some] = np.asarray(bounds, dtype=values.dtype)[k] == values
+        if len(bounds):
+            tops = np.asarray(bounds, dtype=values.dtype)
+            k = np.minimum(np.searchsorted(tops, values), last)
+            part[some] = last - k[some]
+            head[some] = (tops[k] == values)[some]
         return pd.DataFrame({"part": part.astype("int32"), "head": head})
 
-    placed = core(docs, "doc_id", "text").withColumn("_p", place("doc_id"))
+    kind = docs.schema["doc_id"].dataType
+    known = F.coalesce("doc_id", F.lit("" if kind.typeName() == "string" else 0).cast(kind))
+    placed = core(docs, "doc_id", "text").withColumn(
+        "_p", place(known, F.col("doc_id").isNotNull()))
     own = F.struct(F.col("_p.part").alias("part"), F.lit(True).alias("own"))
     copy = F.struct(F.when(F.col("_p.part") == 0, last).otherwise(F.col("_p.part") - 1)
                     .cast("int").alias("part"), F.lit(False).alias("own"))
@@ -143,8 +147,8 @@ def _row(doc_id, text: str, tree: Tree, after: str, after_tree: Tree) -> tuple:
             tree.encoded(), new_tree.encoded(), likeness(tree, new_tree), likeness(tree, after_tree))
 
 
-COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
-           "near_next"]
+COLUMNS = ("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+           "near_edited double, near_next double")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -154,11 +158,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     greatest, and rows without an id come last, in the order of their texts' hashes. A single
     document follows itself.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = first = None  # (range, doc_id, text, tree) that waits for its follower
-        for pdf in batches:
+    def told(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        return record_batch(COLUMNS, [r[1:] for r in rows],
+                            {"doc_id": pa.array([r[0] for r in rows], kind)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = first = kind = None  # held: (range, doc_id, text, tree) that waits for its follower
+        for batch in batches:
             out = []
-            for part, own, doc_id, text in zip(pdf["_range"], pdf["_own"], pdf["doc_id"], pdf["text"]):
+            kind = batch.schema.field("doc_id").type
+            for part, own, doc_id, text in zip(*(batch.column(c).to_pylist() for c in (
+                    "_range", "_own", "doc_id", "text"))):
                 text = "" if text is None else text
                 now = (part, doc_id, text, None) if held is None and not own else \
                     (part, doc_id, text, Tree(text))
@@ -169,11 +179,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 if own and (first is None or first[0] != part):
                     first = now
                 held = now if own else None
-            yield pd.DataFrame(out, columns=COLUMNS)
+            yield told(out, kind)
         if held:
-            yield pd.DataFrame([_row(*held[1:], first[2], first[3])], columns=COLUMNS)
+            yield told([_row(*held[1:], first[2], first[3])], kind)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return chained(docs).mapInPandas(
-        run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, "
-             "edited_fingerprint string, near_edited double, near_next double")
+    return chained(docs).mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, {COLUMNS}")

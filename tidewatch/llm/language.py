@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import code_points, id_checksum, labelled_texts, per_text
+from tidewatch.llm.common import code_points, each, id_checksum, labelled_texts, per_text
 
 PLACES = 1 << 12
 BLOCK = 1 << 16  # characters hashed at once
@@ -104,7 +104,7 @@ def train(texts: list[str], langs: list[str], clusters: int = 4, rounds: int = 1
 def score_language(docs: DataFrame, model: Centroids, keep: list[str] = ["doc_id"]  # noqa: B006
                    ) -> DataFrame:
     return per_text(docs, keep, "lang_pred string, score double, rejected boolean",
-                    lambda: model.predict)
+                    lambda: each(model.predict))
 
 
 def fit_language(docs: DataFrame, per_class: int = 600, mod: int = 5, held: int = 0) -> Centroids:

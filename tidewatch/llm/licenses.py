@@ -18,7 +18,7 @@ import re
 import ahocorasick
 from pyspark.sql import DataFrame
 
-from tidewatch.llm.common import UPPER, per_text
+from tidewatch.llm.common import UPPER, each, per_text
 
 # The base phrases and their labels.
 BASE = {
@@ -166,4 +166,4 @@ def licenses(docs: DataFrame, keep: list[str] = ["doc_id"], base: dict[str, str]
     return per_text(docs, keep,
                     "n_words long, n_base long, first_word long, last_word long, base_labels string, "
                     "labels string, score double, permitted boolean",
-                    lambda: Scanner(base, notices, tag).scan)
+                    lambda: each(Scanner(base, notices, tag).scan))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import core
+from tidewatch.llm.common import core, each, per_text
 from tidewatch.sources.tables import staged
 
 WORDS = 5  # words in a shingle
@@ -98,19 +98,16 @@ def least_matches(similarity: float, miss: float = MISS) -> int:
 def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Every row's doc_id and text hash, set size, class (hash of the set; null if empty) and
     signature."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build():
         known = WordHashes()
-        for pdf in batches:
-            out = []
-            for doc_id, key, text in zip(pdf["doc_id"], pdf["text_key"], pdf["text"]):
-                found = shingles(text, known, words)
-                out.append((doc_id, key, len(found), _name(found), signature(found).tobytes())
-                           if len(found) else (doc_id, key, 0, None, None))
-            yield pd.DataFrame(out, columns=["doc_id", "text_key", "n_shingles", "class", "sig"],
-                               dtype=object)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return (core(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text"))
-            .mapInPandas(run, f"doc_id {kind}, text_key long, n_shingles long, class long, sig binary"))
+
+        def one(text: str) -> tuple:
+            found = shingles(text, known, words)
+            return (len(found), _name(found), signature(found).tobytes()) if len(found) else (
+                0, None, None)
+        return each(one)
+    return per_text(core(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text")),
+                    ["doc_id", "text_key"], "n_shingles long, class long, sig binary", build)
 
 
 def _name(found: np.ndarray) -> int:

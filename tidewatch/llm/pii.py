@@ -22,11 +22,10 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import code_points, core
+from tidewatch.llm.common import code_points, core, per_text
 from tidewatch.llm.tagger import Tagger, fit
 
 KINDS = ("email", "ip", "card", "phone")
@@ -282,11 +281,8 @@ def tagged(texts: list[str], net: Tagger) -> list[list[tuple[float, str, int, in
 
 def personal_data(docs: DataFrame, net: Tagger, keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
     """Counts by kind and digest of the rules' spans, all spans, and how many the tagger added."""
-    names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = ["" if t is None else t for t in pdf["text"]]
+    def build():
+        def score(texts: list[str]) -> list[tuple]:
             rows = []
             for text, found in zip(texts, tagged(texts, net)):
                 base = rule_spans(text)
@@ -295,14 +291,10 @@ def personal_data(docs: DataFrame, net: Tagger, keep: list[str] = ["doc_id"]) ->
                 rows.append((*[kinds.count(k) for k in KINDS],
                              hashlib.sha256(encoded(base).encode()).hexdigest(),
                              encoded(base + more), len(more)))
-            out = pdf[keep].copy()
-            out[names] = pd.DataFrame(rows, columns=names, index=out.index)
-            yield out
-
-    kept = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return core(docs, *keep, "text").mapInPandas(
-        run, f"{kept}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-             "spans string, n_added long")
+            return rows
+        return score
+    return per_text(docs, keep, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
+                                "spans string, n_added long", build)
 
 
 def pii(docs: DataFrame, max_texts: int = 1500) -> DataFrame:

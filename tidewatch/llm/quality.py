@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import id_checksum, labelled_texts, per_text, sigmoid
+from tidewatch.llm.common import each, id_checksum, labelled_texts, per_text, sigmoid
 
 CHUNK, STEP, WIDTH = 256, 192, 5  # bytes; neighbouring chunks share 64
 FILTERS, DEPTH = 12, 6
@@ -141,7 +141,7 @@ def score_quality(docs: DataFrame, net: Network, keep: list[str] = ["doc_id"],
     """Adds ``score`` (0 to 1) and ``predicted`` (1 at the threshold or above) to the kept columns."""
     def build():
         tables = net.tables()
-        return lambda text: (net.score(text, tables),)
+        return each(lambda text: (net.score(text, tables),))
     scored = per_text(docs, keep, "score double", build)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import id_checksum, labelled_texts, per_text, sigmoid
+from tidewatch.llm.common import each, id_checksum, labelled_texts, per_text, sigmoid
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+|\n|$)")
@@ -129,7 +129,7 @@ def score_toxicity(docs: DataFrame, model: Model, keep: list[str] = ["doc_id"],
                    threshold: float = 0.7) -> DataFrame:
     """Adds score, predicted, the count of offending sentences and the worst one's span."""
     scored = per_text(docs, keep, "score double, n_offending long, worst_start long, worst_end long",
-                      lambda: model.score)
+                      lambda: each(model.score))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
