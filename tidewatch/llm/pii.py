@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import code_points, core, per_text
+from tidewatch.llm.common import code_points, core, labelled_texts, per_text
 from tidewatch.llm.tagger import Tagger, fit
 
 KINDS = ("email", "ip", "card", "phone")
@@ -248,11 +248,11 @@ def labelled_windows(texts: list[str], seed: int = 13, per_text: int = 3
 
 
 def fit_tagger(docs: DataFrame, max_texts: int = 1500) -> Tagger:
-    """Trains on at most ``max_texts`` texts that hold a digit or an at sign, by hash order."""
-    picked = (core(docs, "doc_id", "text").where(F.col("text").rlike("[0-9@]"))
-              .select("text", F.xxhash64("doc_id", "text").alias("h"))
-              .orderBy("h", "text").limit(max_texts))
-    codes, tags = labelled_windows([r["text"] for r in picked.collect()])
+    """Trains on at most ``max_texts`` texts that hold a digit or an at sign, by the ids' hash order."""
+    telling = (core(docs, "doc_id", "text").where(F.col("text").rlike("[0-9@]"))
+               .select("doc_id", F.lit(1).alias("telling")))
+    texts, _ = labelled_texts(docs, telling, "telling", F.lit(True), max_texts)
+    codes, tags = labelled_windows(texts)
     return fit(codes, tags, CLASSES, 2 * len(KINDS) + 1)
 
 
