@@ -98,13 +98,13 @@ def chained(docs: DataFrame, rows_per_range: int = 20_000) -> DataFrame:
     Ranges are cut on the ids alone: a narrow pass range-partitions them and takes the greatest id
     of every range. The full rows are then shuffled once; the rows holding the greatest ids, one
     per range, go to the range before as well (``_own`` false), the very first one to the last
-    range. The driver holds one id per range, of which there are as many as shuffle partitions or
-    one per ``rows_per_range`` rows. Rows of one id, and rows without one, share a range.
+    range. There are sixteen ranges per shuffle partition, which evens out what the partitions get, or
+    one per ``rows_per_range`` rows if that is more; the driver holds one id per range. Rows of one id, and rows without one, share a range.
     """
     ids = core(docs, "doc_id").where(F.col("doc_id").isNotNull()).distinct()
     rows = ids.count()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(1, min(-(-rows // 200), max(parts, -(-rows // rows_per_range))))
+    n = max(1, min(-(-rows // 200), max(16 * parts, -(-rows // rows_per_range))))
     tops = (ids.repartitionByRange(n, F.col("doc_id").desc())
             .groupBy(F.spark_partition_id().alias("p")).agg(F.max("doc_id").alias("top")))
     bounds = sorted(r["top"] for r in tops.collect())
@@ -134,7 +134,7 @@ def chained(docs: DataFrame, rows_per_range: int = 20_000) -> DataFrame:
         F.when(F.col("_p.head"), F.array(own, copy)).otherwise(F.array(own))).alias("_at"))
     return (spread.select(F.col("_at.part").alias("_range"), F.col("_at.own").alias("_own"),
                           "doc_id", "text")
-            .repartition(n, "_range")
+            .repartition(max(1, min(n, max(parts, n // 16))), "_range")
             .sortWithinPartitions("_range", F.col("_own").desc(), F.col("doc_id").desc_nulls_last(),
                                   F.xxhash64("text")))
 
