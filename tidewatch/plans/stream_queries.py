@@ -65,7 +65,8 @@ def _root(t: Tables) -> tuple[str, str]:
 def src_news_stream(t: Tables) -> DataFrame:
     folder = fresh_path(t.spark, "records")
     V.raw_records(t).select("value").write.text(folder)
-    return to_parquet(ingest.parse_news(read_news_stream(t.spark, "text", folder)))
+    articles = ingest.parse_news(read_news_stream(t.spark, "text", folder))
+    return to_parquet(articles.drop("record_ts"))  # the time the file was read at
 
 
 @query("st_event_time", f"""WITH {V.NEWS_SQL}
