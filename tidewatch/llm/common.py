@@ -17,8 +17,19 @@ def id_checksum(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
 
 
+ROWS_PER_BATCH = 1_000  # rows handed to Python at once; texts may be long
+
+
+def small_batches(docs: DataFrame) -> None:
+    """Sets the session's Arrow batches to ``ROWS_PER_BATCH`` rows if they are larger."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ROWS_PER_BATCH:
+        conf.set(name, str(ROWS_PER_BATCH))
+
+
 def core(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra columns of any name cannot clash with an operator's."""
+    small_batches(docs)
     return docs.select(*[docs[c] for c in columns])
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import code_points, core, kind_of, record_batch
+from tidewatch.llm.common import code_points, core, kind_of, record_batch, small_batches
 
 Q = 8  # characters in a q-gram
 EDIT_RATE = 0.08
@@ -239,6 +239,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RA
             return pd.Series([not (t and index.matches(t)) for t in texts], dtype=bool)
         return run
 
+    small_batches(docs)
     for index in indexes(benchmark, edit_rate, min_chars, block_chars):
         docs = docs.where(clean(index)(docs["text"]))
     return docs

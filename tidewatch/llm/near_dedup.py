@@ -8,9 +8,9 @@
    so the long posting lists are skipped: a class is posted under its rarest pairs only.
 3. A posting list is led by the class whose pairs are the most frequent, the middle of its
    neighbourhood. A leader's lists merge into one group, cut into blocks of ``BLOCK`` members with
-   the leader in each. A block counts the collisions of its classes' whole signatures, takes the
-   pairs with ``T`` or more and confirms them on the full shingle sets, leaving out pairs that
-   confirmed links already join.
+   the leader in each. A block first counts the collisions of its classes' whole signatures; only
+   classes with ``T`` or more in some pair go on. Their texts are fetched, and the pairs confirmed on
+   the full shingle sets, leaving out pairs that confirmed links already join.
 4. In groups of several blocks, classes not joined to the leader are compared with all other blocks
    in the same way. All pairs of a posting list are thus decided, but no list is ever one task's and
    only links that join are emitted, at most one less than a block's members.
@@ -43,6 +43,7 @@ COORDS = 64
 MISS = 1e-6  # chance that a pair at the very threshold has fewer equal coordinates
 BLOCK = 200
 COUNTERS = 1 << 16
+ROWS_OUT = 5_000  # rows that a task gathers before it hands them on
 _seeds = np.random.default_rng(11)
 MULTIPLY = _seeds.integers(0, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _seeds.integers(0, 1 << 63, COORDS, dtype=np.uint64)
@@ -54,7 +55,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept for words met again; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -168,6 +169,17 @@ def groups(posted: DataFrame) -> DataFrame:
             .select("leader", F.col("class").alias("member")).distinct())
 
 
+def likely(sigs: np.ndarray, free: np.ndarray, matches: int) -> list[tuple[int, int]]:
+    """Pairs with enough equal coordinates, one of them free; those with the most come first."""
+    pairs, equal = [], []
+    for a in range(len(sigs) - 1):
+        agree = (sigs[a + 1:] == sigs[a]).sum(axis=1)
+        for k in np.flatnonzero((agree >= matches) & (free[a + 1:] | free[a])):
+            pairs.append((a, a + 1 + int(k)))
+            equal.append(int(agree[k]))
+    return [pairs[k] for k in np.argsort(-np.array(equal, dtype=int), kind="stable")]
+
+
 class Block:
     """Classes of one task's group with their sets and signatures, and the links found."""
 
@@ -200,17 +212,8 @@ class Block:
 
     def join(self, free: np.ndarray) -> list[tuple[int, int]]:
         """Links that join something, likeliest pairs first; one class of each pair must be free."""
-        sigs = np.stack(self.sigs)
-        size = np.array([len(s) for s in self.sets])
-        pairs, equal = [], []
-        for a in range(len(size) - 1):
-            agree = (sigs[a + 1:] == sigs[a]).sum(axis=1)
-            for k in np.flatnonzero((agree >= self.matches) & (free[a + 1:] | free[a])):
-                pairs.append((a, a + 1 + int(k)))
-                equal.append(int(agree[k]))
         found = []
-        for k in np.argsort(-np.array(equal, dtype=int), kind="stable"):
-            a, b = pairs[k]
+        for a, b in likely(np.stack(self.sigs), free, self.matches):
             i, j = self.top(a), self.top(b)
             if i != j and self.linked(a, b):
                 self.parent[max(i, j)] = min(i, j)
@@ -218,56 +221,83 @@ class Block:
         return found
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, bool, list]]:
-    """Leader, mark and members (class, text, free) of each block, from rows sorted by block."""
-    last, mark, members = None, False, []
+def _blocks(batches: Iterator[pd.DataFrame], what: str) -> Iterator[tuple[int, int, dict]]:
+    """Leader, block and members (class: [``what``, free]) of each block, from sorted rows."""
+    last, members = None, {}
     for pdf in batches:
-        for leader, block, is_marked, *member in zip(*(pdf[c] for c in (
-                "leader", "block", "mark", "member", "text", "free"))):
+        for leader, block, name, value, free in zip(*(pdf[c] for c in (
+                "leader", "block", "member", what, "free"))):
             if (leader, block) != last:
                 if members:
-                    yield last[0], mark, members
-                last, mark, members = (leader, block), is_marked, []
-            members.append(member)
+                    yield *last, members
+                last, members = (leader, block), {}
+            # a class that is both in the free and in the other block is free
+            members.setdefault(name, [value, False])[1] |= bool(free)
     if members:
-        yield last[0], mark, members
+        yield *last, members
 
 
-def compare(rows: DataFrame, texts: DataFrame, matches: int, similarity: float, words: int
-            ) -> DataFrame:
-    """Links inside every block: leader, a, b.
+def _by_block(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """The members with their values, each block's rows together in one task."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.join(values, rows["member"] == values["class"]).drop("class")
+            .repartition(n, "leader", "block").sortWithinPartitions("leader", "block"))
 
-    ``rows`` has leader, block, member, free (pairs of two members that are not free are left out)
-    and mark: where true, a row (leader, class, null) is added for each member that the block's
-    links do not join to the leader.
+
+def screened(rows: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
+    """The members of every block that have enough equal coordinates with another one.
+
+    ``rows`` has leader, block, member and free; pairs of two members that are not free do not count.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
-        for leader, mark, members in _blocks(batches):
-            block, free, place = Block(matches, similarity), [], {}
-            for name, text, is_free in members:
-                if name in place:  # a class that is both in the free and in the other block
-                    free[place[name]] |= bool(is_free)
-                else:
-                    place[name] = len(free)
-                    free.append(bool(is_free))
-                    block.add(int(name), shingles(text, known, words))
-            out = [(leader, a, b) for a, b in block.join(np.array(free, dtype=bool))]
-            if mark and leader in place:
-                top = block.top(place[leader])
-                out += [(leader, name, None) for k, name in enumerate(block.names)
-                        if block.top(k) != top]
-            if out:
+        out = []
+        for leader, block, members in _blocks(batches, "sig"):
+            sigs = np.frombuffer(b"".join(v for v, _ in members.values()), np.uint32)
+            free = np.array([f for _, f in members.values()])
+            live = {k for pair in likely(sigs.reshape(-1, COORDS), free, matches) for k in pair}
+            names = list(members)
+            out += [(leader, block, names[k], free[k]) for k in sorted(live)]
+            if len(out) > ROWS_OUT:
+                yield pd.DataFrame(out, columns=["leader", "block", "member", "free"])
+                out = []
+        yield pd.DataFrame(out, columns=["leader", "block", "member", "free"])
+    return (_by_block(rows, classes.select("class", "sig"))
+            .mapInPandas(run, "leader long, block long, member long, free boolean"))
+
+
+def compare(rows: DataFrame, texts: DataFrame, matches: int, similarity: float, words: int
+            ) -> DataFrame:
+    """Confirmed links of the screened rows, block by block: leader, a, b. A row (leader, class,
+    null) is added for each member that a block's links join to its leader."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, out = WordHashes(), []
+        for leader, _, members in _blocks(batches, "text"):
+            block = Block(matches, similarity)
+            for name, (text, _) in members.items():
+                block.add(int(name), shingles(text, known, words))
+            free = np.array([f for _, f in members.values()])
+            out += [(leader, a, b) for a, b in block.join(free)]
+            if leader in members:
+                top = block.top(list(members).index(leader))
+                out += [(leader, n, None) for k, n in enumerate(block.names) if block.top(k) == top]
+            if len(out) > ROWS_OUT:
                 yield pd.DataFrame(out, columns=["leader", "a", "b"], dtype=object)
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (rows.join(texts, rows["member"] == texts["class"])
-            .select("leader", "block", "mark", "member", "text", "free")
-            .repartition(n, "leader", "block").sortWithinPartitions("leader", "block")
-            .mapInPandas(run, "leader long, a long, b long"))
+                out = []
+        yield pd.DataFrame(out, columns=["leader", "a", "b"], dtype=object)
+    return _by_block(rows, texts).mapInPandas(run, "leader long, a long, b long")
 
 
-def links(members: DataFrame, texts: DataFrame, matches: int, similarity: float, words: int
-          ) -> DataFrame:
+def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class and text of the wanted classes: one document's text for each."""
+    first = (wanted.distinct().join(classes, "class")
+             .select("class", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")))
+    source = core(docs, "doc_id", "text").withColumn("_own", F.xxhash64("text"))
+    same = (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return staged(source.join(first, same).select("class", "text"), "texts")
+
+
+def links(docs: DataFrame, classes: DataFrame, members: DataFrame, matches: int, similarity: float,
+          words: int) -> DataFrame:
     """Confirmed links that join the classes of every group: a, b."""
     sizes = members.groupBy("leader").agg(F.count("*").alias("n"))
     dealt = (members.join(sizes, "leader")
@@ -275,26 +305,29 @@ def links(members: DataFrame, texts: DataFrame, matches: int, similarity: float,
     own = F.pmod(F.xxhash64("member"), F.col("blocks"))
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     first = dealt.select("leader", "member", F.lit(True).alias("free"),
-                         (F.col("blocks") > 1).alias("mark"),
                          F.explode(F.when(F.col("leader") == F.col("member"), every)
                                    .otherwise(F.array(own))).alias("block"))
-    found = staged(compare(first, texts, matches, similarity, words), "block-links")
-    apart = found.where(F.col("b").isNull()).select("leader", F.col("a").alias("member")).distinct()
+    live = staged(screened(first, classes, matches), "live")
+    large = dealt.where(F.col("blocks") > 1)
+    texts = texts_of(docs, classes, live.select(F.col("member").alias("class")).union(
+        large.select("member")))
+    found = staged(compare(live, texts, matches, similarity, words), "block-links")
+    joined = found.where(F.col("b").isNull()).select("leader", F.col("a").alias("member"))
     # what its leader did not join meets all blocks of the group: one row per block of either side
+    apart = large.join(joined, ["leader", "member"], "left_anti").select("leader", "member")
     loose = apart.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("loose"))
-    wide = dealt.where(F.col("blocks") > 1).join(loose, "leader")
+    wide = large.join(loose, "leader")
     cell = F.col("x") * F.col("blocks") + F.col("y")
     others = wide.select("leader", "member", "blocks", own.alias("y"), F.explode(
         F.sequence(F.lit(0).cast("long"), F.col("loose") - 1)).alias("x")).select(
-        "leader", "member", F.lit(False).alias("free"), F.lit(False).alias("mark"),
-        cell.alias("block"))
+        "leader", "member", F.lit(False).alias("free"), cell.alias("block"))
     free = (apart.join(wide, ["leader", "member"])
             .select("leader", "member", "blocks",
                     F.pmod(F.xxhash64(F.lit(3), "member"), F.col("loose")).alias("x"),
                     F.explode(every).alias("y"))
-            .select("leader", "member", F.lit(True).alias("free"), F.lit(False).alias("mark"),
-                    cell.alias("block")))
-    second = compare(free.unionByName(others), texts, matches, similarity, words)
+            .select("leader", "member", F.lit(True).alias("free"), cell.alias("block")))
+    second = compare(screened(free.unionByName(others), classes, matches), texts, matches,
+                     similarity, words)
     return (found.where(F.col("b").isNotNull()).select("a", "b")
             .unionByName(second.select("a", "b")))
 
@@ -330,13 +363,7 @@ def decided(docs: DataFrame, similarity: float, words: int) -> DataFrame:
                      .agg(F.min(best).alias("m"))
                      .select("class", "m.doc_id", "m.text_key", "m.sig"), "classes")
     members = staged(groups(postings(classes, matches)), "groups")
-    wanted = (members.select(F.col("member").alias("class")).distinct().join(classes, "class")
-              .select("class", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")))
-    source = core(docs, "doc_id", "text").withColumn("_own", F.xxhash64("text"))
-    texts = staged(source.join(wanted, (F.col("_own") == F.col("_key"))
-                               & F.col("doc_id").eqNullSafe(F.col("_id")))
-                   .select("class", "text"), "texts")
-    roots = components(links(members, texts, matches, similarity, words))
+    roots = components(links(docs, classes, members, matches, similarity, words))
     named = (classes.select("class", "doc_id").join(roots, F.col("class") == F.col("node"), "left")
              .select("class", "doc_id", F.coalesce("root", "class").alias("root")))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

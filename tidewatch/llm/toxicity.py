@@ -19,7 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import each, id_checksum, labelled_texts, per_text, sigmoid
+from tidewatch.llm.common import (each, id_checksum, labelled_texts, per_text, sigmoid,
+                                  small_batches)
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+|\n|$)")
@@ -153,4 +154,5 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series([model.score(t or "")[0] for t in texts], dtype=float)
+    small_batches(docs)
     return docs.where(score(docs["text"]) < threshold)
