@@ -121,12 +121,12 @@ def with_portions(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...]
 
     Rows that repeat an id and its text carry the largest portion of them.
     """
-    names = ["size", "source_size", "target", "taken"]
+    names, key = ["size", "source_size", "target", "taken"], unused(docs, "_key")
     took = (portions(docs, share, weights, max_epochs, seed).where(F.col("taken") > 0)
             .groupBy("key").agg(F.max(F.struct("taken", *names[:3])).alias("m"))
-            .select(F.col("key").alias("_key"), *[F.col(f"m.{n}").alias(unused(docs, n))
+            .select(F.col("key").alias(key), *[F.col(f"m.{n}").alias(unused(docs, n))
                                                   for n in names]))
-    return docs.join(took, key_of(docs["doc_id"], docs["text"], seed) == took["_key"]).drop("_key")
+    return docs.join(took, key_of(docs["doc_id"], docs["text"], seed) == took[key]).drop(key)
 
 
 SQL = r"""
