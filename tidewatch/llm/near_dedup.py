@@ -328,8 +328,7 @@ def links(docs: DataFrame, classes: DataFrame, members: DataFrame, matches: int,
             .select("leader", "member", F.lit(True).alias("free"), cell.alias("block")))
     second = compare(screened(free.unionByName(others), classes, matches), texts, matches,
                      similarity, words)
-    return (found.where(F.col("b").isNotNull()).select("a", "b")
-            .unionByName(second.select("a", "b")))
+    return found.unionByName(second).where(F.col("b").isNotNull()).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
