@@ -45,7 +45,7 @@ def varied(seed=1, copies=60):
     return rows
 
 
-@pytest.mark.parametrize("block", [200, 8])
+@pytest.mark.parametrize("block", [500, 8])
 def test_groups_equal_all_pairs(docs, monkeypatch, block):
     monkeypatch.setattr(nd, "BLOCK", block)  # small blocks: groups span several
     rows = varied()

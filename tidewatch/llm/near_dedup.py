@@ -41,7 +41,7 @@ from tidewatch.sources.tables import staged
 WORDS = 5  # words in a shingle
 COORDS = 64
 MISS = 1e-6  # chance that a pair at the very threshold has fewer equal coordinates
-BLOCK = 200
+BLOCK = 500
 COUNTERS = 1 << 16
 ROWS_OUT = 5_000  # rows that a task gathers before it hands them on
 _seeds = np.random.default_rng(11)
