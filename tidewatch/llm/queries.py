@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import decontaminate, fingerprint, language, licenses, line_dedup, mixing, near_dedup, pii, quality, toxicity
+from tidewatch.llm import audit, decontaminate, fingerprint, language, licenses, line_dedup, mixing, near_dedup, pii, prefix_trie, quality, records, toxicity
 from tidewatch.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,19 @@ def _mixing(table):
 @query("op10_quality")
 def _quality(table):
     return quality.quality(table("documents"), table("labels"))
+
+
+@query("op11_prefix_trie", prefix_trie.SQL)
+def _prefix_trie(table):
+    return prefix_trie.prefix_trie(table("conversations"))
+
+
+@query("op12_token_records")
+def _token_records(table):
+    from public_tokenizers import path
+    return records.token_records(table("documents"), path("word_bpe_49k.json"))
+
+
+@query("op13_filter_audit", audit.SQL)
+def _filter_audit(table):
+    return audit.filter_audit(table("documents"), table("labels"))
