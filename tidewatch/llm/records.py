@@ -30,7 +30,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,9 +172,8 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end: int | No
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     """shard and content of every record file."""
-    return spark.read.format("binaryFile").schema(
-        "path string, modificationTime timestamp, length long, content binary, shard string").load(
-            f"{path}/data").select("shard", "content")
+    return spark.read.format("binaryFile").load(f"{path}/data").select(
+        F.regexp_extract("path", "/shard=([^/]+)/", 1).alias("shard"), "content")
 
 
 def _index(spark: SparkSession, path: str) -> None:
@@ -193,13 +191,7 @@ def _index(spark: SparkSession, path: str) -> None:
                 yield pa.RecordBatch.from_pydict(
                     {n: pa.array(list(c), k) for n, c, k in zip(names, columns, kinds)})
 
-    try:
-        files = _files(spark, path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        files = spark.createDataFrame([], "shard string, content binary")
-    files.mapInArrow(run, INDEX).write.parquet(f"{path}/index")
+    _files(spark, path).mapInArrow(run, INDEX).write.parquet(f"{path}/index")
 
 
 # ---- reading ----
