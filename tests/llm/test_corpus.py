@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import duckdb
 import pandas as pd
@@ -50,6 +51,15 @@ def test_lines_against_sql(docs, min_sites):
     assert spark_rows(got, columns) == want
 
 
+def test_a_text_of_many_lines_is_split_once(docs):
+    n = 200_000
+    rows = [(k, "\n".join(["boilerplate here", *(f"{k} own {j}" for j in range(n))]), "en", f"s{k}") for k in range(3)]
+    start = time.time()
+    got = line_dedup.line_dedup(docs(rows)).where("doc_id = 2").collect()[0]
+    assert (got.n_lines, got.n_removed, got.text.count("\n")) == (n + 1, 1, n - 1)
+    assert time.time() - start < 90  # quadratic work would take hours
+
+
 def test_lines_far_from_the_threshold_are_decided_by_sketch(docs):
     rows = [(k, f"common\nown {k}", "en", f"site{k}") for k in range(200)] + [
         (1000 + k, "rare\nown", "en", "one") for k in range(50)]

@@ -120,17 +120,20 @@ def code_points(text: str) -> np.ndarray:
 HEAVY_SHARE = 1_000
 
 
-def join_by_size(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
-    """Left join of ``rows`` with ``groups``, which has one row per key and counts the key's rows.
+def join_by_size(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str,
+                 how: str = "left") -> DataFrame:
+    """Left (or inner) join of ``rows`` with ``groups``, which has one row per key and counts the
+    key's rows.
 
     Keys with more than a thousandth of all rows are fewer than a thousand, whatever the data: those
     are broadcast and their rows stay where they are. All other rows are shuffled by key, and no key
     among them is large. Both inputs should be written tables, as they are read more than once. The
     size column is left out.
     """
+    key = [key] if isinstance(key, str) else key
     limit = rows.count() // HEAVY_SHARE
     heavy = groups.where(F.col(size) > limit).drop(size)
     light = groups.where(F.col(size) <= limit).drop(size)
     hot = rows.join(F.broadcast(heavy), key)
-    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, "left")
-    return hot.unionByName(rest)
+    rest = rows.join(F.broadcast(heavy.select(*key)), key, "left_anti")
+    return hot.unionByName(rest.join(light, key, how))

@@ -17,7 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import core, unused
+from tidewatch.functions.text import bind
+from tidewatch.llm.common import core, join_by_size, unused
 from tidewatch.sources.tables import staged
 
 MIN_SITES = 3
@@ -30,18 +31,22 @@ def lines_of(text: Column) -> Column:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """Hashes of all lines that are not blank, without their texts."""
+    """Hashes of all lines that are not blank, without their texts.
+
+    The text is hashed in a step before its lines are spread, or it would be hashed once for each.
+    """
     line = F.trim(F.col("line"))
     return (core(docs, "doc_id", "text", "source").where(F.col("text").isNotNull())
-            .select("doc_id", "source", F.xxhash64("text").alias("text_hash"),
-                    F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+            .withColumn("text_hash", F.xxhash64("text"))
+            .select("doc_id", "source", "text_hash", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
             .where(line != "")
             .select("doc_id", "text_hash", "pos", "source", F.xxhash64(line).alias("h1"),
                     F.xxhash64(F.lit(7), line).alias("h2")))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, bits: int = SKETCH_BITS) -> DataFrame:
-    """Hashes and first occurrence of the lines found on ``min_sites`` sites or more.
+    """Hashes, number of places (n) and first occurrence of the lines found on ``min_sites`` sites or
+    more.
 
     The standard error of a sketch is 1.04 / sqrt(2 ** bits); within five of them, and one site, of
     the threshold the distinct sites are counted exactly.
@@ -49,17 +54,17 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, bits: int = SKETCH
     margin = 5 * 1.04 / math.sqrt(2 ** bits) * min_sites + 1
     spread = (lines.groupBy(*LINE)
               .agg(F.hll_sketch_agg(F.coalesce("source", F.lit("")), F.lit(bits)).alias("sketch"),
-                   F.min(F.struct("doc_id", "text_hash", "pos")).alias("first"))
-              .select(*LINE, "first", F.hll_sketch_estimate("sketch").alias("sites"))
+                   F.min(F.struct("doc_id", "text_hash", "pos")).alias("first"), F.count("*").alias("n"))
+              .select(*LINE, "n", "first", F.hll_sketch_estimate("sketch").alias("sites"))
               .where(F.col("sites") >= min_sites - margin))
     spread = staged(spread, "line-sites")
     near = F.col("sites") <= min_sites + margin
-    exact = (lines.join(spread.where(near).select(*LINE), LINE, "left_semi")
+    exact = (join_by_size(lines, spread.where(near).select(*LINE, "n"), LINE, "n", "inner")
              .where(F.col("source").isNotNull())
              .select(*LINE, "source").distinct()
              .groupBy(*LINE).count().where(F.col("count") >= min_sites))
-    return (spread.where(~near).select(*LINE, "first")
-            .unionByName(spread.where(near).join(exact, LINE, "left_semi").select(*LINE, "first")))
+    return (spread.where(~near).select(*LINE, "n", "first")
+            .unionByName(spread.where(near).join(exact, LINE, "left_semi").select(*LINE, "n", "first")))
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -69,7 +74,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
     Only hashes and places are shuffled by line; the texts are shuffled once, by document.
     """
     lines = staged(line_table(docs), "lines")
-    again = (lines.join(boilerplate(lines, min_sites), LINE)
+    found = staged(boilerplate(lines, min_sites), "boilerplate")
+    again = (join_by_size(lines, found, LINE, "n", "inner")
              .where(~F.struct("doc_id", "text_hash", "pos").eqNullSafe(F.col("first")))
              .groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone")))
     d, h, g = (unused(docs, c) for c in ("_doc", "_hash", "_gone"))
@@ -77,11 +83,14 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
     row = docs.withColumn(unused(docs, "_own"), F.xxhash64(docs["text"]))
     own = row[row.columns[-1]]
     joined = row.join(again, (own == again[h]) & row["doc_id"].eqNullSafe(again[d]), "left")
-    parts = lines_of(row["text"])
-    n = F.coalesce(F.size(parts), F.lit(0))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), again[g])
-    text = F.when(again[g].isNull(), row["text"]).otherwise(
-        F.array_join(F.transform(kept, lambda p: F.element_at(parts, p + 1)), "\n"))
+    n = F.coalesce(F.size(lines_of(row["text"])), F.lit(0))
+
+    def without(parts: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), again[g])
+        return F.array_join(F.transform(kept, lambda p: F.element_at(parts, p + 1)), "\n")
+
+    # the text is split once, not once for every line that stays
+    text = F.when(again[g].isNull(), row["text"]).otherwise(bind(lines_of(row["text"]), without))
     others = [text.alias(c) if c == "text" else row[c] for c in docs.columns]
     return joined.select(*others,
                          F.when(row["text"].isNull(), 0).otherwise(n).cast("long")
