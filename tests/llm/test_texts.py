@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -66,6 +67,13 @@ def test_licence_tags_and_odd_rows(docs):
     assert licenses.licenses(docs([])).count() == 0
 
 
+def test_a_tag_without_a_colon_is_prose(docs):
+    rows = [(1, "We use the SPDX license identifier in every file."), (2, "SPDX-License-Identifier : MIT"),
+            (3, "SPDX license identifier: \nMIT")]
+    got = {r.doc_id: (r.labels, r.score, r.permitted) for r in licenses.licenses(docs(rows)).collect()}
+    assert got == {1: ("", 0.0, None), 2: ("mit", 1.0, True), 3: ("", 1.0, False)}
+
+
 # ---- fingerprints ----
 
 def test_fingerprints_against_plain_chain(docs, monkeypatch):
@@ -110,6 +118,30 @@ def test_fingerprints_of_odd_rows(docs):
 
 # ---- personal data ----
 
+PLAIN_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+PLAIN_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+
+
+def test_linear_rules_match_as_the_plain_patterns_do():
+    rng = random.Random(8)
+    for letters in ("a.@-", "ab.@%é ", "12.", "1.@", "a@.b@c. "):
+        for _ in range(3000):
+            text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 24)))
+            assert list(pii.emails(text)) == [m.span() for m in PLAIN_EMAIL.finditer(text)], text
+            assert [m.span() for m in pii.IP.finditer(text)] == [m.span() for m in PLAIN_IP.finditer(text)], text
+
+
+@pytest.mark.parametrize("text", [
+    "7" * 1_000_000, "ab9_%" * 200_000 + "@", "a@" * 400_000, "1." * 500_000, "1.1.1.x" * 140_000,
+    "+1" + " " * 1_000_000, "x@y" + ".z" * 400_000, "1 " * 400_000, "a@b.cd 10.0.0.1 " * 60_000])
+def test_rules_end_on_a_megabyte(text):
+    start = time.process_time()
+    spans = pii.rule_spans(text)
+    pii.added(text, spans, [(1.0, "ip", k, k + 7) for k in range(0, 20_000, 10)])
+    assert time.process_time() - start < 10
+
+
+
 def base_spans(text):
     out = [("email", *m.span()) for m in re.finditer(
         r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]

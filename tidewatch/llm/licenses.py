@@ -7,8 +7,10 @@ against a set of permitted licences.
 
 Words are runs of ASCII letters and digits, after A-Z are lower-cased, and of all characters beyond
 ASCII. Nulls count as empty texts, which have no words and no labels. Every place of a phrase counts,
-also where phrases overlap. Repeated rows are scanned each. An expression that does not parse gives
-the identifiers read so far and is not permitted.
+also where phrases overlap. Repeated rows are scanned each. An expression stands after the tag and a
+colon, on the same line; without a colon the tag is mere prose. One that does not parse gives the
+identifiers read so far and is not permitted. An empty table gives an empty result, a very long text is read once, and
+columns beyond the kept ones and the text are not looked at.
 """
 
 from __future__ import annotations
@@ -52,6 +54,7 @@ PERMITTED = frozenset("mit apache-2.0 bsd-2-clause bsd-3-clause isc cc0-1.0 unli
                       .split())
 WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
 TOKEN = re.compile(r"[ \t]*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
+COLON = re.compile(r"[ \t]*:")
 BINDS = {"or": 1, "and": 2, "with": 3}
 LOWER = str.maketrans(UPPER, UPPER.lower())
 
@@ -146,12 +149,12 @@ class Scanner:
         if tags:
             ends = [m.end() for m in WORD.finditer(low)]
             for k in tags:  # the expression stands after the tag's last word and a colon
-                at = ends[k - 1]
-                colon = re.compile(r"[ \t]*:").match(low, at)
-                names, good = expression(low, colon.end() if colon else at)
-                labels |= names
-                permitted = good if permitted is None else permitted and good
-        score = 1.0 if base_labels or tags else 0.8 if labels else 0.0
+                colon = COLON.match(low, ends[k - 1])
+                if colon:
+                    names, good = expression(low, colon.end())
+                    labels |= names
+                    permitted = good if permitted is None else permitted and good
+        score = 1.0 if base_labels or permitted is not None else 0.8 if labels else 0.0
         return (len(words), n_base, first, last, ",".join(sorted(base_labels)),
                 ",".join(sorted(labels)), score, permitted)
 
