@@ -26,7 +26,6 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +42,13 @@ END = b"\n"
 HEAD, TAIL, DOC = "<QI", "<I", "<BqB"
 HEAD_SIZE, TAIL_SIZE, DOC_SIZE = map(struct.calcsize, (HEAD, TAIL, DOC))
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
-KNOWN_WORDS = 200_000  # entries of the memory, which is emptied when it is full
+# what else str.split takes for white space, some of which the tokenizer does not
+OTHER_SPACES = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# words of which the tokenizer's rules can be told: visible ASCII and Latin letters whose lower case is
+# one letter; and the pieces those rules cut them into
+PLAIN = re.compile("[\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017f]+")
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+KNOWN_WORDS = 400_000  # entries of the memory, which is emptied when it is full
 INDEX = "shard string, seq long, offset long, length long, doc_id long, n_tokens long, ids_crc32 long"
 
 
@@ -93,37 +98,54 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
 def encoder(definition: str, end: int | None) -> Callable[[list[str]], list[np.ndarray]]:
     """A function of texts to token ids. ``definition`` is the tokenizer's own JSON text.
 
-    Equal to encoding each text at once: pieces end at white space in such tokenizers. Unknown words
-    are encoded many at a time, and tokens go to the word that their offset lies in.
+    Equal to encoding each text at once: this kind of tokenizer has no token over white space, and
+    takes words in lower case apart at the edges of letters, digits and signs. Words met before are
+    looked up; of others, those of plain letters are put together from such pieces, which are fewer.
+    What is still unknown is encoded many at a time, and tokens go to where their offset lies.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is one
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_str(definition)
-    known: dict[str, tuple[int, ...]] = {"": ()}
+    known: dict[str, bytes] = {"": b""}  # the ids as 32-bit numbers
+    pieces: dict[str, bytes] = {}
 
-    def learn(words: list[str]) -> None:
+    def learn(words: list[str], into: dict[str, bytes]) -> None:
         for k in range(0, len(words), 1000):
             part = words[k:k + 1000]
             starts = np.cumsum([0, *(len(w) + 1 for w in part)])
             got = tokenizer.encode("\n".join(part), add_special_tokens=False)
             at = np.array([a for a, _ in got.offsets], dtype=np.int64)
-            cuts = np.searchsorted(at, starts)
-            for w, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist()):
-                known[w] = tuple(got.ids[a:b])
+            ids = np.array(got.ids, dtype="<u4").tobytes()
+            cuts = (4 * np.searchsorted(at, starts)).tolist()
+            for w, a, b in zip(part, cuts, cuts[1:]):
+                into[w] = ids[a:b]
+
+    def learn_words(words: set[str]) -> None:
+        odd, split = [], {}
+        for w in words:
+            if PLAIN.fullmatch(w) and "<|" not in w:
+                split[w] = PIECE.findall(w.lower())
+            else:
+                odd.append(w)
+        learn(odd, known)
+        if len(pieces) > KNOWN_WORDS:
+            pieces.clear()
+        learn([p for p in {p for s in split.values() for p in s} if p not in pieces], pieces)
+        for w, s in split.items():
+            known[w] = b"".join(map(pieces.__getitem__, s))
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        out, last = [], () if end is None else (end,)
+        out, last = [], b"" if end is None else struct.pack("<I", end)
         for text in texts:
-            words = SPACES.split(text)
-            new = set(words) - known.keys()
+            words = SPACES.split(text) if OTHER_SPACES.search(text) else text.split()
+            here = set(words)
+            new = here.difference(known)
             if len(new) + len(known) > KNOWN_WORDS:
                 known.clear()
-                known[""] = ()
-                new = set(words) - known.keys()
-            # a text's words are learnt block by block, so that a long text needs no more than itself
-            learn(sorted(new))
-            out.append(np.fromiter(chain(chain.from_iterable(map(known.__getitem__, words)), last),
-                                   dtype=np.uint32))
+                known[""] = b""
+                new = here - {""}
+            learn_words(new)
+            out.append(np.frombuffer(b"".join(map(known.__getitem__, words)) + last, dtype="<u4"))
         return out
 
     return encode
