@@ -126,3 +126,58 @@ def test_one_bad_text_costs_no_other_text_its_answer(spark):
     got = {r.text: r.model_score for r in scorers.model_scores(rows, picky).collect()}
     assert got.pop("a bad one") is None
     assert set(got.values()) == {0.5}
+
+
+def exchanged(df, capsys):
+    """Names of the columns that the plan shuffles."""
+    import re
+    df.explain("formatted")
+    out = capsys.readouterr().out
+    found = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", out)
+    assert found
+    return {re.sub(r"#\d+L?$", "", c.strip()) for f in found for c in f.split(",")}
+
+
+@pytest.mark.parametrize("kind", ["lexicon", "model", "tiered", "ensemble"])
+def test_no_text_is_shuffled(spark, tmp_path, capsys, kind):
+    rows = spark.createDataFrame([(str(i), f"text {i} with words", "X") for i in range(9)],
+                                 "news_id string, text string, ticker string")
+    rows.write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    words = spark.createDataFrame([("words", 1.0)], "word string, valence double")
+
+    def model():
+        return lambda batch: [("positive", 0.5)] * len(batch)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        if kind == "lexicon":
+            out = scorers.score_lexicon(rows, words)
+        elif kind == "model":
+            out = scorers.score_model(rows, model, words)
+        elif kind == "tiered":
+            out = scorers.score_tiered(rows, model, words)
+        else:
+            both = scorers.model_scores(scorers.with_context(rows), model).join(
+                scorers.lexicon_scores(rows, words), "news_id")
+            out = scorers.score_ensemble(both, [("lexicon", "score", "confidence"),
+                                                ("model", "model_score", "model_confidence")])
+        out = out.select("news_id", "result")
+        assert "text" not in exchanged(out, capsys)
+        assert out.filter("result.confidence > 0").count() == 9
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_a_model_that_answers_in_part_or_is_down():
+    def half(batch):
+        return [("positive", 0.5)] * (len(batch) if len(batch) < 3 else len(batch) - 1)
+    assert scorers.Answers(half)(["a"] * 7) == [("positive", 0.5)] * 7
+    asked = []
+
+    def down(batch):
+        asked.append(len(batch))
+        raise ConnectionError
+    answers = scorers.Answers(down)
+    assert answers(["a"] * 10_000) == [None] * 10_000
+    assert len(asked) < 400

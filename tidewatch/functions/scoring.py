@@ -157,9 +157,14 @@ def reasoning(categories: Column) -> Column:
     return F.when(F.size(categories) > 0, F.concat(F.lit("Categories: ["), listed, F.lit("]")))
 
 
-def sentiment_result(text: Column, base: Column | None = None, confidence: Column | None = None,
-                     model: Column | str | None = None) -> Column:
-    """struct<sentiment, confidence, risk_factor, model_used, reasoning>.
+def text_context(text: Column) -> Column:
+    """``category_context``, or null for a blank text: all that a result needs of the text."""
+    return F.when(~is_blank(text), category_context(text))
+
+
+def sentiment_from(context: Column, base: Column | None = None, confidence: Column | None = None,
+                   model: Column | str | None = None) -> Column:
+    """struct<sentiment, confidence, risk_factor, model_used, reasoning> from a ``text_context``.
 
     Without a scorer the category bias itself is the base score, with confidence 0.3.
     """
@@ -178,7 +183,13 @@ def sentiment_result(text: Column, base: Column | None = None, confidence: Colum
     empty = F.struct(F.lit(0.0).alias("sentiment"), F.lit(0.0).alias("confidence"),
                      F.lit(1.0).alias("risk_factor"), F.lit("none").alias("model_used"),
                      F.lit(None).cast("string").alias("reasoning"))
-    return F.when(is_blank(text), empty).otherwise(bind(category_context(text), result))
+    return bind(context, lambda ctx: F.when(ctx.isNull(), empty).otherwise(result(ctx)))
+
+
+def sentiment_result(text: Column, base: Column | None = None, confidence: Column | None = None,
+                     model: Column | str | None = None) -> Column:
+    """``sentiment_from`` the text itself."""
+    return sentiment_from(text_context(text), base, confidence, model)
 
 
 def needs_slow_scorer(text: Column, ticker: Column | None = None) -> Column:

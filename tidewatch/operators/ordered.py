@@ -128,6 +128,7 @@ def ewm_partials_grouped(mentions: DataFrame, alpha: float, *groups) -> DataFram
                  F.count_if(F.col("sentiment") > 0).alias("pos"))
             .withColumns({
                 "first_ts": one["event_ts"], "first_id": one["news_id"], "first_x": one["x"],
+                "last_ts": F.element_at("xs", -1)["event_ts"],
                 "n": F.size("xs").cast("long"),
                 "tail": F.aggregate("xs", F.lit(0.0),
                                     lambda e, r: e * (1.0 - alpha) + r["x"] * alpha)})

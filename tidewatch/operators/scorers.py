@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scoring import (ensemble, label_score, lexicon_norm, needs_slow_scorer,
-                                         sentiment_result)
+                                         sentiment_from, sentiment_result, text_context)
 from tidewatch.functions.text import tokens
+from tidewatch.operators.common import once
 
 # builds, once per task, a function: list of texts -> list of (label, confidence)
 ModelFactory = Callable[[], Callable[[list[str]], list[tuple[str, float]]]]
@@ -25,6 +26,15 @@ def _names(key: str | list[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+CONTEXT = "_context"
+
+
+def with_context(df: DataFrame, text: str = "text") -> DataFrame:
+    """Takes what a result needs of the text before scores are joined on, so that a plan which does
+    not return the text does not shuffle it."""
+    return df if CONTEXT in df.columns else once(df, CONTEXT, text_context(F.col(text)))
+
+
 def score_keyword(df: DataFrame, text: str = "text") -> DataFrame:
     """Category bias only; deterministic and without any model."""
     return df.withColumn("result", sentiment_result(F.col(text)))
@@ -50,22 +60,38 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, key: str | list[str] = "ne
 def score_lexicon(df: DataFrame, lexicon: DataFrame, key: str | list[str] = "news_id", text: str = "text"
                   ) -> DataFrame:
     scores = lexicon_scores(df, lexicon, key, text)
-    return (df.join(scores, _names(key), "left")
-            .withColumn("result", sentiment_result(F.col(text), F.col("score"),
-                                                   F.col("confidence"), "lexicon"))
-            .drop("score", "confidence"))
+    return (with_context(df, text).join(scores, _names(key), "left")
+            .withColumn("result", sentiment_from(F.col(CONTEXT), F.col("score"),
+                                                 F.col("confidence"), "lexicon"))
+            .drop("score", "confidence", CONTEXT))
+
 
+GIVE_UP = 100  # texts that fail one after the other, by themselves
 
-def _answers(model: Callable, texts: list[str]) -> list[tuple[str, float] | None]:
-    """The model's answers. A batch that fails is halved until the failing texts stand alone; those
-    get None, so a bad text costs no other text its answer and no job its run."""
-    try:
-        return list(model(texts))
-    except Exception:  # whatever a user's model may raise
-        if len(texts) == 1:
-            return [None]
-        half = len(texts) // 2
-        return _answers(model, texts[:half]) + _answers(model, texts[half:])
+
+class Answers:
+    """A model's answers. A batch that fails, or is answered in part, is halved until the failing
+    texts stand alone; those get None, so a bad text costs no other text its answer and no job its
+    run. After ``GIVE_UP`` failures in a row the model counts as down, and the task asks no more."""
+
+    def __init__(self, model: Callable):
+        self.model, self.failed = model, 0
+
+    def __call__(self, texts: list[str]) -> list[tuple[str, float] | None]:
+        if self.failed >= GIVE_UP:
+            return [None] * len(texts)
+        try:
+            answers = list(self.model(texts))
+            if len(answers) != len(texts):
+                raise ValueError(f"{len(answers)} answers to {len(texts)} texts")
+            self.failed = 0
+            return answers
+        except Exception:  # whatever a user's model may raise
+            if len(texts) == 1:
+                self.failed += 1
+                return [None]
+            half = len(texts) // 2
+            return self(texts[:half]) + self(texts[half:])
 
 
 def model_output(text: Column, factory: ModelFactory, wanted: Column | None = None,
@@ -77,13 +103,13 @@ def model_output(text: Column, factory: ModelFactory, wanted: Column | None = No
     """
     @F.pandas_udf("label string, confidence double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        model = factory()
+        answers_of = Answers(factory())
         for texts, flags in batches:
             out = pd.DataFrame({"label": None, "confidence": float("nan")}, index=texts.index)
             rows = texts[flags.fillna(False).astype(bool) & texts.notna()]
             if len(rows):
                 cut = rows if max_chars is None else rows.str.slice(0, max_chars)
-                answers = _answers(model, cut.tolist())
+                answers = answers_of(cut.tolist())
                 out.loc[rows.index, "label"] = [a and a[0] for a in answers]
                 out.loc[rows.index, "confidence"] = [float(a[1]) if a else float("nan")
                                                      for a in answers]
@@ -128,29 +154,33 @@ def score_tiered(df: DataFrame, factory: ModelFactory | None = None,
 def _with_fallback(scored: DataFrame, lexicon: DataFrame | None, key: str | list[str],
                    text: str, fast_name: Column) -> DataFrame:
     """Model score first, lexicon score second, category bias last."""
+    scored = with_context(scored, text)
     if lexicon is not None:
         scored = scored.join(lexicon_scores(scored, lexicon, key, text), _names(key), "left")
     else:
         scored = scored.withColumns({"score": F.lit(None).cast("double"),
                                      "confidence": F.lit(None).cast("double")})
     own = F.col("model_score").isNotNull()
-    return (scored.withColumn("result", sentiment_result(
-        F.col(text), F.coalesce("model_score", "score"),
+    return (scored.withColumn("result", sentiment_from(
+        F.col(CONTEXT), F.coalesce("model_score", "score"),
         F.when(own, F.col("model_confidence")).otherwise(F.col("confidence")),
         F.when(own, F.lit("model")).otherwise(fast_name)))
-        .drop("model_score", "model_confidence", "score", "confidence"))
+        .drop("model_score", "model_confidence", "score", "confidence", CONTEXT))
 
 
 def score_ensemble(df: DataFrame, scorers: list[tuple[str, str, str]], text: str = "text"
                    ) -> DataFrame:
-    """Confidence-weighted mean of scorer columns: (name, score column, confidence column)."""
+    """Confidence-weighted mean of scorer columns: (name, score column, confidence column).
+
+    Call ``with_context`` before the scores are joined, and the text need not come along.
+    """
     both = ensemble([F.col(s) for _, s, _ in scorers], [F.col(c) for _, _, c in scorers])
     names = F.array_join(F.array_compact(F.array(
         *[F.when(F.col(s).isNotNull(), n) for n, s, _ in scorers])), "+")
-    return (df.withColumn("_e", both)
-            .withColumn("result", sentiment_result(F.col(text), F.col("_e.score"),
-                                                   F.col("_e.confidence"), names))
-            .drop("_e"))
+    return (with_context(df, text).withColumn("_e", both)
+            .withColumn("result", sentiment_from(F.col(CONTEXT), F.col("_e.score"),
+                                                 F.col("_e.confidence"), names))
+            .drop("_e", CONTEXT))
 
 
 SCORERS: dict[str, Callable[..., DataFrame]] = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from tidewatch.plans import views as V
 from tidewatch.plans.catalog import query
 from tidewatch.plans.views import Tables
 from tidewatch.session import fresh_path
+from tidewatch.sources.tables import RecordTable, staged
 
 NEWS = f"WITH {V.NEWS_SQL}"
 REQUESTS = f"{NEWS},\n{V.REQUESTS_SQL}"
@@ -250,6 +253,23 @@ def kv_expire(t: Tables) -> DataFrame:
     return store.live(stored(t), F.lit("2024-01-08 01:00:00").cast("timestamp"))
 
 
+@query("kv_compaction", f"""{STORED}
+SELECT key, value, window_end, ingest_ts, expires_at FROM stored WHERE expires_at > TIMESTAMP '2024-01-08 01:00:00'""")
+def kv_compaction(t: Tables) -> DataFrame:
+    """Records written hour after hour, folded twice: the hours that are closed leave one record per
+    key, and none that has expired."""
+    spark, now = t.spark, F.lit("2024-01-08 01:00:00").cast("timestamp")
+    table = RecordTable(fresh_path(spark, "records"), ("key",))
+    records = store.keyed_records(V.company_windows(t), ingest_ts=_after(10))
+    hours = staged(records.withColumn("_h", F.hour("window_end") % 3), "hourly")
+    for batch in range(3):
+        rows = hours.filter(F.col("_h") == batch).drop("_h")
+        table.write(store.last_write_wins(rows), batch)
+    for closed in (dt.datetime(2024, 1, 1, 2), dt.datetime(2024, 1, 20)):
+        table.compact(spark, closed, now)
+    return store.live(table.current(table.versions(spark)), now).drop("_hour", "_batch")
+
+
 @query("kv_lookup", f"""{STORED} SELECT key, value, window_end, ingest_ts, expires_at FROM stored WHERE key = 'feat:T7:latest'""")
 def kv_lookup(t: Tables) -> DataFrame:
     path = fresh_path(t.spark, "store")

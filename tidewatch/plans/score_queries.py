@@ -144,10 +144,10 @@ def ensemble_sentiment(t: Tables) -> DataFrame:
 def _scorer_columns(t: Tables) -> DataFrame:
     """Two scorers with gaps and zero confidences put in by rule."""
     d = F.col("news_id").cast("long")
-    modelled = scorers.model_scores(texts(t), star_model)
+    modelled = scorers.model_scores(scorers.with_context(texts(t)), star_model)
     both = modelled.join(scorers.lexicon_scores(texts(t), lexicon(t)), "news_id")
     return both.select(
-        "news_id", "text", F.when(d % 4 != 0, F.col("score")).alias("s1"),
+        "news_id", scorers.CONTEXT, F.when(d % 4 != 0, F.col("score")).alias("s1"),
         F.when(d % 3 == 1, 0.0).otherwise(F.col("confidence")).alias("c1"),
         F.when(d % 8 != 0, F.col("model_score")).alias("s2"),
         F.when(d % 3 == 1, 0.0).otherwise(F.col("model_confidence")).alias("c2"))

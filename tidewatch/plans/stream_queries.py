@@ -5,12 +5,15 @@ The results must equal the batch results, so the SQL is the batch SQL.
 
 from __future__ import annotations
 
+import asyncio
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tidewatch.functions.codecs import event_time
 from tidewatch.operators import alerts, enrich, ingest
+from tidewatch.operators.concurrent import unordered_enrich
 from tidewatch.plans import sqlparts as S
 from tidewatch.plans import views as V
 from tidewatch.plans.alert_queries import FEATURES
@@ -22,6 +25,7 @@ from tidewatch.session import fresh_path
 from tidewatch.sources.news import read_news_stream
 from tidewatch.sources.tables import BatchTable, staged
 from tidewatch.streaming import jobs
+from tidewatch.streaming.batching import micro_batches
 
 UNTIL_DONE = {"availableNow": True}
 
@@ -123,9 +127,22 @@ def st_shocks(t: Tables) -> DataFrame:
 
 @query("st_unordered_enrich", f"""{ENRICHED}
 SELECT d.news_id, n.event_ts, d.ticker, d.role, {SCORE} AS sentiment
-FROM detected d JOIN context USING (news_id) JOIN news n USING (news_id)""")
+FROM detected d JOIN context USING (news_id) JOIN news n USING (news_id)
+WHERE doc_id % 97 <> 5 AND doc_id % 89 <> 3""")
 def st_unordered_enrich(t: Tables) -> DataFrame:
-    rows = enrich.to_mention_events(enrich.enrich_news(V.news(streamed(t))))
+    """A service that answers after up to a few milliseconds, in any order; it never answers some
+    articles and fails on others, which then mention nothing."""
+    async def answer(row: dict) -> list[dict]:
+        number = int(row["news_id"])
+        if number % 97 == 5:
+            await asyncio.sleep(3600)
+        if number % 89 == 3:
+            raise ConnectionError("no answer")
+        await asyncio.sleep(number % 7 / 1000)
+        return row["known"]
+
+    known = enrich.enrich_news(V.news(streamed(t))).withColumnRenamed("companies", "known")
+    rows = enrich.to_mention_events(unordered_enrich(known, lambda: answer, timeout=2.0))
     return to_parquet(rows.withColumn("sentiment", F.round("sentiment", 6)))
 
 
@@ -139,14 +156,18 @@ def st_running_features(t: Tables) -> DataFrame:
 
 @query("st_cooldown", SQL["alert_cooldown_default"])
 def st_cooldown(t: Tables) -> DataFrame:
-    """Two batches, the later windows in the second; the history carries the cooldown over."""
+    """Three batches: every other window of the last minutes of the first one comes late, in the
+    second; the third holds a row far ahead, behind which all others are decided."""
     folder = fresh_path(t.spark, "features")
     rated = staged(alerts.lookup_threshold(V.company_windows(t)), "rated")
-    low, high = rated.agg(F.min(F.unix_seconds("window_end")), F.max(F.unix_seconds("window_end"))).first()
+    end = F.unix_seconds("window_end")
+    low, high = rated.agg(F.min(end), F.max(end)).first()
     middle = ((low or 0) + (high or 0)) // 2
-    late = F.unix_seconds("window_end") > middle
+    second = (end > middle) | ((end > middle - 300) & (F.minute("window_end") % 2 == 0))
+    ahead = rated.limit(1).withColumns({"ticker": F.lit("ahead"), "risk_score_5m": F.lit(0.0),
+                                        "window_end": F.timestamp_seconds(F.lit((high or 0) + 86_400))})
     root, checkpoint = _root(t)
-    for part in (rated.filter(~late), rated.filter(late)):
+    for part in (rated.filter(~second), rated.filter(second), ahead):
         part.write.mode("append").parquet(folder)
         stream = t.spark.readStream.schema(rated.schema).parquet(folder)
         writer, tables = jobs.cooldown_job(stream, root, checkpoint, UNTIL_DONE)
@@ -233,24 +254,29 @@ def st_dead_letter(t: Tables) -> DataFrame:
 @query("sink_fanout", f"""{FEATURES},
 rated AS (SELECT ticker, window_end, risk_score_5m, 0.7::DOUBLE AS threshold FROM features WHERE {CLOSED}),
 {S.cooldown("rated")}
-SELECT ticker, window_end, CAST(risk_score_5m AS DECIMAL(6,3)) AS risk_score, status = 'sent' AS notification_sent, reason AS suppression_reason FROM decided""")
+SELECT 'history' AS sink, ticker, window_end, CAST(risk_score_5m AS DECIMAL(6,3)) AS risk_score, status = 'sent' AS notification_sent, reason AS suppression_reason FROM decided
+UNION ALL
+SELECT 'outbox' AS sink, ticker, window_end, CAST(risk_score_5m AS DECIMAL(6,3)) AS risk_score, true AS notification_sent, NULL AS suppression_reason FROM decided WHERE status = 'sent'""")
 def sink_fanout(t: Tables) -> DataFrame:
-    """Closed windows into the alert history and the outbox by one query."""
+    """Closed windows into the alert history and the outbox by one query, both under one manifest."""
     writer, tables = jobs.alert_job(V.mentions(streamed(t)), *_root(t), UNTIL_DONE)
     finish(writer)
-    return tables.history.read(t.spark).select(
-        "ticker", "window_end", "risk_score", "notification_sent", "suppression_reason")
-
+    history = tables.history.read(t.spark).select(
+        F.lit("history").alias("sink"), "ticker", "window_end", "risk_score", "notification_sent",
+        "suppression_reason")
+    risk = F.get_json_object("payload", "$.attachments[0].fields[0].value")
+    outbox = tables.outbox.read(t.spark).select(
+        F.lit("outbox").alias("sink"), "ticker", "window_end", risk.cast("decimal(6,3)").alias("risk_score"),
+        F.lit(True).alias("notification_sent"), F.lit(None).cast("string").alias("suppression_reason"))
+    return history.unionByName(outbox)
 
 
 @query("st_sliding", f"{COUNTED} SELECT * FROM counted")
 def st_sliding(t: Tables) -> DataFrame:
-    """Sliding counts in update mode: every refined row is upserted."""
-    root, checkpoint = _root(t)
-    table = BatchTable(root, ("ticker", "window_end"))
-    finish(_counts(t).writeStream.outputMode("update").foreachBatch(table.write)
-           .option("checkpointLocation", checkpoint).trigger(**UNTIL_DONE))
-    return table.read(t.spark)
+    """Sliding counts from slices: every refined window is upserted."""
+    writer, tables = jobs.count_job(V.mentions(streamed(t)), *_root(t), UNTIL_DONE)
+    finish(writer)
+    return tables.windows.read(t.spark)
 
 
 LATE = f"""WITH {V.MENTIONS_SQL},
@@ -280,19 +306,51 @@ def st_lateness(t: Tables) -> DataFrame:
     return tables.windows.read(t.spark)
 
 
-@query("st_batching", """SELECT CAST(5 AS BIGINT) AS batches, count(*) AS rows_total,
-  max(n) AS largest FROM (SELECT count(*) OVER (PARTITION BY event_id % 5) AS n FROM events)""")
+def arrivals(t: Tables) -> DataFrame:
+    """Events as articles that arrive in bursts on four lanes: sixty within 1.2 seconds, then a
+    pause."""
+    e = F.col("event_id")
+    ms = F.floor(e / 60) * 2300 + (e % 60) * 20
+    return t.events.select(
+        e.cast("string").alias("news_id"), (F.col("user_id") % 4).cast("int").alias("lane"),
+        F.timestamp_millis(F.lit(1_704_067_200_000) + ms).alias("arrived"))
+
+
+@query("st_batching", """WITH RECURSIVE arrived AS (
+  SELECT CAST(event_id AS VARCHAR) AS news_id, CAST(user_id % 4 AS INTEGER) AS lane,
+         (event_id // 60) * 2300 + (event_id % 60) * 20 AS ms FROM events),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY lane ORDER BY ms, news_id) AS i,
+         count(*) OVER (PARTITION BY lane ORDER BY ms RANGE BETWEEN CURRENT ROW AND 999 FOLLOWING) AS within,
+         rank() OVER (PARTITION BY lane ORDER BY ms) AS first_i FROM arrived),
+jumps AS (
+  SELECT *, least(10, within - (i - first_i)) AS n FROM numbered),
+groups AS (
+  SELECT lane, i, n, news_id FROM jumps WHERE i = 1
+  UNION ALL
+  SELECT j.lane, j.i, j.n, j.news_id FROM groups g JOIN jumps j ON j.lane = g.lane AND j.i = g.i + g.n)
+SELECT lane, news_id AS first_id, CAST(n AS INTEGER) AS size FROM groups""")
 def st_batching(t: Tables) -> DataFrame:
-    """Five files, one per micro-batch, as the source option asks."""
-    folder, out = fresh_path(t.spark, "mentions"), fresh_path(t.spark, "batches")
-    part = F.col("news_id").cast("long") % 5
-    (V.mentions(t).withColumn("part", part).repartition(5, "part")
-     .write.partitionBy("part").parquet(folder))
-    schema = t.spark.read.parquet(folder).schema
-    stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    table = BatchTable(out, ("news_id",), "event_ts")
-    finish(stream.writeStream.foreachBatch(table.write)
-           .option("checkpointLocation", fresh_path(t.spark, "checkpoint")).trigger(**UNTIL_DONE))
-    sizes = table.versions(t.spark).groupBy("_batch").agg(F.count("*").alias("n"))
-    return sizes.agg(F.count("*").alias("batches"), F.sum("n").alias("rows_total"),
-                     F.max("n").alias("largest"))
+    """Ten articles or 1,000 ms, whichever comes first, over several micro-batches; a last row far
+    ahead drains what is left."""
+    folder = fresh_path(t.spark, "arrivals")
+    rows = arrivals(t)
+    root, checkpoint = _root(t)
+    third = F.floor(F.unix_millis("arrived") / 2300) % 3
+    ahead = t.spark.range(4).select(F.lit("ahead").alias("news_id"), F.col("id").cast("int").alias("lane"),
+                                    F.lit("2124-01-01").cast("timestamp").alias("arrived"))
+    newest = F.max("arrived")
+    halves = rows.agg(F.min("arrived").alias("a"), newest.alias("b"))
+    middle = halves.select(F.timestamp_millis(((F.unix_millis("a") + F.unix_millis("b")) / 2).cast("long"))
+                           .alias("middle"))
+    marked = staged(rows.crossJoin(F.broadcast(middle)).select(
+        "*", (F.col("arrived") > F.col("middle")).alias("second")), "arrivals")
+    for part in (marked.filter("NOT second"), marked.filter("second"), ahead):
+        part.select(*rows.columns).write.mode("append").parquet(folder)
+        stream = t.spark.readStream.schema(rows.schema).parquet(folder)
+        groups = micro_batches(stream, ["lane"], "arrived")
+        table = BatchTable(root, ("lane", "first_at", "number"), "first_at")
+        finish(groups.writeStream.foreachBatch(table.write).option("checkpointLocation", checkpoint)
+               .trigger(**UNTIL_DONE))
+    return table.read(t.spark).select(
+        "lane", F.col("rows")[0]["news_id"].alias("first_id"), F.size("rows").alias("size"))

@@ -1,9 +1,12 @@
 """The standard and the shock job as streaming queries.
 
 Every job is: source -> columns -> one keyed, watermarked aggregation -> ``foreachBatch`` into
-batch-numbered tables. One watermark of delay + lateness has the same boundary as bounded
-out-of-orderness plus allowed lateness: a window takes late rows until its end + 7 minutes has been
-passed by the newest event.
+batch-numbered tables. A window takes late rows until its end + delay + lateness (7 minutes) has been
+passed by the newest event, which is the boundary of bounded out-of-orderness plus allowed lateness.
+
+Jobs that refine windows keep slices of a few seconds in their state, not windows: a mention is
+one row there, and is spread over the windows that hold it only when those are put together. Jobs
+that wait until a window is closed keep the window's own slices, which leave the state with it.
 """
 
 from __future__ import annotations
@@ -17,16 +20,17 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tidewatch.functions.scoring import shock_risk
 from tidewatch.operators import alerts, enrich, ingest, shocks, store
-from tidewatch.operators.features import (clean_mentions, combine_partials, running_features,
-                                          seconds)
+from tidewatch.operators.features import clean_mentions, combine_partials, seconds
 from tidewatch.operators.ordered import ewm_partials_grouped
 from tidewatch.session import configure
-from tidewatch.sources.tables import BatchTable, span_of
+from tidewatch.sources.tables import BatchTable, JointTables, Marks, RecordTable, span_of
+from tidewatch.streaming.state import STATE_CONF, cooldown_stream, running_features_stream
 
 DELAY, LATENESS = "2 minutes", "5 minutes"
 STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.encodingFormat": "unsaferow",
 }
 
 
@@ -49,33 +53,72 @@ def shock_stream(records: DataFrame, threshold: float = -0.5, enricher: str = "f
     return enrich.to_shock_events(enrich.ENRICHERS[enricher](kept), threshold)
 
 
-# ---- windows ----
+# ---- slices ----
 
-def feature_slices(mentions: DataFrame, window: str = "5 minutes", slide: str = "1 minute",
-                   alpha: float = 0.1, slice_seconds: int = 10) -> DataFrame:
-    """Mergeable partials per (window, ticker, slice), for update mode.
+SLICE = 10  # seconds; a hot ticker's state is cut by them, and a late mention refolds one of them
 
-    The state of a hot ticker is cut into slices of a few seconds; a late mention only refolds its
-    slice. Slices are put together in ``FeatureTables``.
-    """
-    rows = clean_mentions(watermarked(mentions))
-    slice_no = F.floor(F.unix_seconds("event_ts") / slice_seconds).alias("slice")
-    partials = ewm_partials_grouped(rows, alpha, F.window("event_ts", window, slide).alias("w"),
-                                    slice_no)
-    return partials.withColumn("window_end", F.col("w.end")).drop("w")
+
+def _closed_slices(rows: DataFrame, window: str, slide: str) -> tuple[DataFrame, list[Column]]:
+    """For append mode: every window has slices of its own."""
+    return watermarked(rows), [F.window("event_ts", window, slide).alias("w"),
+                               F.floor(F.unix_seconds("event_ts") / SLICE).alias("slice")]
+
+
+def _open_slices(rows: DataFrame, window: str) -> tuple[DataFrame, list[Column]]:
+    """For update mode: a slice stays until the last window that holds it is closed."""
+    lateness = f"{seconds(LATENESS) + seconds(window) - SLICE} seconds"
+    return watermarked(rows, lateness=lateness), [F.window("event_ts", f"{SLICE} seconds").alias("w")]
+
+
+def _mentions(mentions: DataFrame) -> DataFrame:
+    return clean_mentions(mentions)
 
 
-def shock_windows(events: DataFrame, window: str = "5 minutes", slide: str = "1 minute",
-                  headlines: int = 3, slice_seconds: int = 10) -> DataFrame:
-    """Shock partials per (window, ticker, slice): count, worst sentiment, first headlines."""
-    rows = clean_mentions(watermarked(events)).filter(F.col("headline").isNotNull())
+def _shocks(events: DataFrame) -> DataFrame:
+    return clean_mentions(events).filter(F.col("headline").isNotNull())
+
+
+def _shock_partials(rows: DataFrame, groups: list[Column], headlines: int) -> DataFrame:
+    """Count, worst sentiment and first headlines per ticker and group."""
     heads = F.array_sort(F.collect_list(F.struct(
         "event_ts", F.col("news_id").cast("string").alias("news_id"), "headline")))
-    slice_no = F.floor(F.unix_seconds("event_ts") / slice_seconds).alias("slice")
-    return (rows.groupBy("ticker", F.window("event_ts", window, slide).alias("w"), slice_no)
-            .agg(F.count("*").alias("n"), F.min("sentiment").alias("worst"),
-                 F.slice(heads, 1, headlines).alias("heads"))
-            .withColumn("window_end", F.col("w.end")).drop("w"))
+    return rows.groupBy("ticker", *groups).agg(
+        F.count("*").alias("n"), F.min("sentiment").alias("worst"),
+        F.slice(heads, 1, headlines).alias("heads"), F.max("event_ts").alias("last_ts"))
+
+
+def _named(slices: DataFrame) -> DataFrame:
+    return slices.withColumn("slice", F.col("w.start")).drop("w")
+
+
+def feature_slices(mentions: DataFrame, window: str = "5 minutes", alpha: float = 0.1) -> DataFrame:
+    """Mergeable partials per (ticker, slice), for update mode."""
+    rows, groups = _open_slices(_mentions(mentions), window)
+    return _named(ewm_partials_grouped(rows, alpha, *groups))
+
+
+def shock_slices(events: DataFrame, window: str = "5 minutes", headlines: int = 3) -> DataFrame:
+    rows, groups = _open_slices(_shocks(events), window)
+    return _named(_shock_partials(rows, groups, headlines))
+
+
+def count_slices(rows: DataFrame, window: str = "5 minutes") -> DataFrame:
+    rows, groups = _open_slices(rows, window)
+    return _named(rows.groupBy("ticker", *groups).agg(
+        F.count("*").alias("n"), F.max("event_ts").alias("last_ts")))
+
+
+def closed_features(mentions: DataFrame, window: str = "5 minutes", slide: str = "1 minute",
+                    alpha: float = 0.1) -> DataFrame:
+    """Mergeable partials per (window, ticker, slice), for append mode."""
+    rows, groups = _closed_slices(_mentions(mentions), window, slide)
+    return ewm_partials_grouped(rows, alpha, *groups).withColumn("window_end", F.col("w.end")).drop("w")
+
+
+def closed_shocks(events: DataFrame, window: str = "5 minutes", slide: str = "1 minute",
+                  headlines: int = 3) -> DataFrame:
+    rows, groups = _closed_slices(_shocks(events), window, slide)
+    return _shock_partials(rows, groups, headlines).withColumn("window_end", F.col("w.end")).drop("w")
 
 
 def combine_shock_partials(partials: DataFrame, headlines: int = 3) -> DataFrame:
@@ -89,94 +132,110 @@ def combine_shock_partials(partials: DataFrame, headlines: int = 3) -> DataFrame
                     "shock_headlines"))
 
 
+def combine_counts(partials: DataFrame) -> DataFrame:
+    return partials.groupBy("ticker", "window_end").agg(F.sum("n").alias("mentions"))
+
+
 class WindowTables:
     """``foreachBatch`` target: refined slices in, refined windows out, both upserted.
 
-    ``partials`` keeps the slices, ``windows`` the finished rows, ``records`` the keyed records.
+    ``partials`` keeps the slices, ``windows`` the finished rows, ``records`` the keyed records. Of
+    the windows that hold a refined slice those are put together anew that were open when the batch
+    began; closed ones stay as they are. ``clock`` keeps the newest event of each batch, from which
+    the next one tells which windows are open.
     """
 
-    def __init__(self, root: str, combine: Callable[[DataFrame], DataFrame],
-                 prefix: str = "feat", version: str = "v1"):
-        self.partials = BatchTable(f"{root}/partials", ("ticker", "window_end", "slice"))
+    def __init__(self, root: str, combine: Callable[[DataFrame], DataFrame], prefix: str | None = "feat",
+                 version: str = "v1", window: str = "5 minutes", slide: str = "1 minute"):
+        self.partials = BatchTable(f"{root}/partials", ("ticker", "slice"), "slice")
         self.windows = BatchTable(f"{root}/windows", ("ticker", "window_end"))
-        self.records = BatchTable(f"{root}/records", ("key",))
+        self.records = RecordTable(f"{root}/records", ("key",))
+        self.clock = Marks(f"{root}/clock")
         self.combine, self.prefix, self.version = combine, prefix, version
+        self.window, self.slide = window, slide
+
+    def spread(self, slices: DataFrame) -> DataFrame:
+        """Each slice once for every window that holds it."""
+        return slices.withColumn("window_end", F.window("slice", self.window, self.slide)["end"])
+
+    def still_open(self, newest: int | None) -> Column:
+        if newest is None:
+            return F.lit(True)
+        passed = newest // 1000 - (seconds(DELAY) + seconds(LATENESS)) * 1000  # as a watermark counts
+        return F.unix_millis("window_end") > passed
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
         try:
-            span = span_of(batch, "window_end")
-            if span is None:
-                return
-            self.partials.write(batch, batch_id)
-            changed = batch.select("ticker", "window_end").distinct()
-            slices = self.partials.versions(spark, batch_id, span)
-            touched = slices.join(changed, ["ticker", "window_end"], "left_semi")
-            windows = self.combine(self.partials.newest(touched)).persist()
-            try:
-                self.windows.write(windows, batch_id)
+            before = self.clock.last(spark, batch_id)
+            seen = [n for n in (before and before[1], batch.agg(
+                F.max(F.unix_micros("last_ts"))).first()[0]) if n is not None]
+            self._refine(batch, batch_id, self.still_open(before and before[1]))
+            if seen:
+                self.clock.put(spark, batch_id, max(seen))
+        finally:
+            batch.unpersist()
+
+    def _refine(self, batch: DataFrame, batch_id: int, still_open: Column) -> None:
+        span = span_of(batch, "slice")
+        if span is None:
+            return
+        spark, reach = batch.sparkSession, dt.timedelta(seconds=seconds(self.window))
+        self.partials.write(batch, batch_id)
+        changed = (self.spread(batch.select("ticker", "slice")).filter(still_open)
+                   .select("ticker", "window_end").distinct())
+        slices = self.partials.newest(self.partials.versions(
+            spark, batch_id, (span[0] - reach, span[1] + reach)))
+        touched = self.spread(slices).join(changed, ["ticker", "window_end"], "left_semi")
+        windows = self.combine(touched).persist()
+        try:
+            self.windows.write(windows, batch_id)
+            if self.prefix is not None:
                 keyed = store.keyed_records(windows, self.prefix, self.version)
                 self.records.write(store.last_write_wins(keyed), batch_id)
-            finally:
-                windows.unpersist()
         finally:
-            batch.unpersist()
+            windows.unpersist()
 
     def live_records(self, spark, now: Column | None = None) -> DataFrame:
-        """The keyed records as they stand and have not expired: newest window, then newest batch.
-
-        The batch decides before the clock, which may have been set back.
-        """
-        rows = self.records.versions(spark).drop("_hour")
-        newest = (rows.groupBy("key")
-                  .agg(F.max_by(F.struct(*rows.columns), F.struct("window_end", "_batch")).alias("r"))
-                  .select("r.*").drop("_batch"))
+        """The keyed records as they stand and have not expired."""
+        newest = self.records.current(self.records.versions(spark)).drop("_hour", "_batch")
         return store.live(newest, F.current_timestamp() if now is None else now)
 
+    def compact(self, spark, now: Column | None = None) -> None:
+        """Folds the records of closed hours into one per key and drops expired ones. Call it beside
+        the stream, every few hours."""
+        newest = self.clock.last(spark)
+        if newest is not None:
+            passed = newest[1] - (seconds(DELAY) + seconds(LATENESS)) * 1_000_000
+            closed = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=passed)
+            self.records.compact(spark, closed, F.current_timestamp() if now is None else now)
 
-def feature_tables(root: str, alpha: float = 0.1) -> WindowTables:
-    return WindowTables(root, lambda p: combine_partials(p, alpha))
 
+def feature_tables(root: str, alpha: float = 0.1, window: str = "5 minutes", slide: str = "1 minute"
+                   ) -> WindowTables:
+    return WindowTables(root, lambda p: combine_partials(p, alpha), window=window, slide=slide)
 
-def shock_tables(root: str, headlines: int = 3) -> WindowTables:
-    return WindowTables(root, lambda p: combine_shock_partials(p, headlines), "shock", "v1_shock")
 
+def shock_tables(root: str, headlines: int = 3, window: str = "5 minutes", slide: str = "1 minute"
+                 ) -> WindowTables:
+    return WindowTables(root, lambda p: combine_shock_partials(p, headlines), "shock", "v1_shock",
+                        window, slide)
 
-class RunningTables:
-    """``foreachBatch`` target for mentions: lifetime features after every mention.
 
-    A batch is scanned in ordered pieces (``features.running_features``), so that a ticker with a
-    third of its rows spans many tasks; the scan starts from the last state per ticker. Each batch
-    writes that state for all tickers under its own number, so a replay starts from what the first
-    try saw. Mentions are folded batch after batch, in time order inside a batch.
-    """
+class RunningTables:
+    """``foreachBatch`` target for the rows that ``running_features_stream`` makes."""
 
-    def __init__(self, root: str, alpha: float = 0.1, seed: str = "zero"):
+    def __init__(self, root: str):
         self.features = BatchTable(f"{root}/running", ("news_id", "ticker"))
-        self.states = BatchTable(f"{root}/running-state", ("ticker",))
-        self.alpha, self.seed = alpha, seed
 
-    def __call__(self, mentions: DataFrame, batch_id: int) -> None:
-        past = self.states.versions(mentions.sparkSession, batch_id - 1)
-        if past is not None:
-            last = past.agg(F.max("_batch")).first()[0]
-            past = past.filter(F.col("_batch") == last).select("ticker", "window_end", "neg", "pos", "ewm")
-        rows = running_features(mentions, self.alpha, self.seed, past).persist()
-        try:
-            self.features.write(rows, batch_id)
-            now = rows.select("ticker", "window_end", "news_id", F.lit(1).alias("later"),
-                              F.col("neg_news_count_24h").alias("neg"),
-                              F.col("pos_news_count_24h").alias("pos"),
-                              F.col("sentiment_ewm_7d").alias("ewm"))
-            if past is not None:
-                now = now.unionByName(past.withColumns({"later": F.lit(0), "news_id": F.lit("")}))
-            state = F.struct("window_end", "neg", "pos", "ewm")
-            newest = now.groupBy("ticker").agg(F.max_by(
-                state, F.struct("later", "window_end", "news_id")).alias("s"))
-            self.states.write(newest.select("ticker", "s.*"), batch_id)
-        finally:
-            rows.unpersist()
+    def __call__(self, rows: DataFrame, batch_id: int) -> None:
+        self.features.write(rows, batch_id)
+
+
+def alert_outputs(root: str) -> JointTables:
+    """Alert history and outbox, of which no reader sees one without the other."""
+    return JointTables(root, history=("ticker", "window_end"), outbox=("ticker", "window_end"))
 
 
 class AlertTables:
@@ -192,8 +251,8 @@ class AlertTables:
                  cooldown_minutes: int = 30, alpha: float = 0.1, delivered: Column | None = None):
         self.alpha = alpha
         self.delivered = delivered
-        self.history = BatchTable(f"{root}/history", ("ticker", "window_end"))
-        self.outbox = BatchTable(f"{root}/outbox", ("ticker", "window_end"))
+        self.joint = alert_outputs(root)
+        self.history, self.outbox = self.joint.tables["history"], self.joint.tables["outbox"]
         self.thresholds, self.default = thresholds, default_threshold
         self.cooldown = cooldown_minutes
 
@@ -229,39 +288,68 @@ class AlertTables:
                                            cooldown_minutes=self.cooldown)
         decisions = decisions.filter(~F.col("earlier")).drop("earlier").persist()
         try:
-            self.history.write(alerts.alert_history(decisions), batch_id)
-            self.outbox.write(alerts.outbox(decisions), batch_id)
+            self.joint.write(batch_id, history=alerts.alert_history(decisions),
+                             outbox=alerts.outbox(decisions))
         finally:
             decisions.unpersist()
 
 
-class RatedAlertTables(AlertTables):
-    """The same for a stream of finished windows that have a risk and a threshold already."""
+class DecisionTables:
+    """``foreachBatch`` target for decided rows (``cooldown_stream``): history and outbox."""
 
-    def rated(self, slices: DataFrame) -> DataFrame:
-        return slices
+    def __init__(self, root: str):
+        self.joint = alert_outputs(root)
+        self.history, self.outbox = self.joint.tables["history"], self.joint.tables["outbox"]
+
+    def __call__(self, decisions: DataFrame, batch_id: int) -> None:
+        decisions = decisions.persist()
+        try:
+            self.joint.write(batch_id, history=alerts.alert_history(decisions),
+                             outbox=alerts.outbox(decisions))
+        finally:
+            decisions.unpersist()
 
 
 # ---- jobs ----
 
 def _writer(df: DataFrame, target: Callable[[DataFrame, int], None], checkpoint: str, mode: str,
-            trigger: dict | None) -> DataStreamWriter:
-    return (df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-            .foreachBatch(target).trigger(**(trigger or {"processingTime": "10 seconds"})))
+            trigger: dict | None, conf: dict[str, str] = STREAM_CONF) -> DataStreamWriter:
+    """``conf`` is set when the stream is started, as other jobs may have been set up meanwhile."""
+    writer = (df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+              .foreachBatch(target).trigger(**(trigger or {"processingTime": "10 seconds"})))
+    start = writer.start
+
+    def start_with_conf(*args, **options):
+        for key, value in conf.items():
+            df.sparkSession.conf.set(key, value)
+        return start(*args, **options)
+
+    writer.start = start_with_conf
+    return writer
 
 
 def feature_job(mentions: DataFrame, root: str, checkpoint: str, trigger: dict | None = None,
                 **params) -> tuple[DataStreamWriter, WindowTables]:
     """The standard job: mentions -> refined feature windows and keyed records."""
-    tables = feature_tables(root, params.get("alpha", 0.1))
-    return _writer(feature_slices(mentions, **params), tables, checkpoint, "update", trigger), tables
+    tables = feature_tables(root, **params)
+    slices = feature_slices(mentions, tables.window, params.get("alpha", 0.1))
+    return _writer(slices, tables, checkpoint, "update", trigger), tables
 
 
 def shock_job(events: DataFrame, root: str, checkpoint: str, trigger: dict | None = None,
               **params) -> tuple[DataStreamWriter, WindowTables]:
     """The shock job: shock events -> refined shock windows and keyed records."""
-    tables = shock_tables(root, params.get("headlines", 3))
-    return _writer(shock_windows(events, **params), tables, checkpoint, "update", trigger), tables
+    tables = shock_tables(root, **params)
+    slices = shock_slices(events, tables.window, params.get("headlines", 3))
+    return _writer(slices, tables, checkpoint, "update", trigger), tables
+
+
+def count_job(rows: DataFrame, root: str, checkpoint: str, trigger: dict | None = None,
+              window: str = "5 minutes", slide: str = "1 minute"
+              ) -> tuple[DataStreamWriter, WindowTables]:
+    """Rows (ticker, event_ts) -> refined counts per sliding window."""
+    tables = WindowTables(root, combine_counts, None, window=window, slide=slide)
+    return _writer(count_slices(rows, window), tables, checkpoint, "update", trigger), tables
 
 
 def alert_job(mentions: DataFrame, root: str, checkpoint: str, trigger: dict | None = None,
@@ -269,7 +357,7 @@ def alert_job(mentions: DataFrame, root: str, checkpoint: str, trigger: dict | N
               delivered: Column | None = None) -> tuple[DataStreamWriter, AlertTables]:
     """Closed windows -> alert history and outbox."""
     tables = AlertTables(root, thresholds, default_threshold, cooldown_minutes, delivered=delivered)
-    return _writer(feature_slices(mentions), tables, checkpoint, "append", trigger), tables
+    return _writer(closed_features(mentions), tables, checkpoint, "append", trigger), tables
 
 
 class ShockAlertTables:
@@ -309,7 +397,7 @@ def shock_alert_job(events: DataFrame, root: str, checkpoint: str, trigger: dict
                     ) -> tuple[DataStreamWriter, ShockAlertTables]:
     """Closed shock windows -> shock alerts."""
     tables = ShockAlertTables(root, min_count, cooldown_minutes, params.get("headlines", 3))
-    return _writer(shock_windows(events, **params), tables, checkpoint, "append", trigger), tables
+    return _writer(closed_shocks(events, **params), tables, checkpoint, "append", trigger), tables
 
 
 def quarantine_job(records: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
@@ -322,18 +410,20 @@ def quarantine_job(records: DataFrame, path: str, checkpoint: str, trigger: dict
 
 def running_job(mentions: DataFrame, root: str, checkpoint: str, trigger: dict | None = None,
                 alpha: float = 0.1, seed: str = "zero") -> tuple[DataStreamWriter, RunningTables]:
-    """Mentions -> lifetime features."""
-    tables = RunningTables(root, alpha, seed)
-    return _writer(mentions, tables, checkpoint, "append", trigger), tables
+    """Mentions -> lifetime features, from keyed state."""
+    tables = RunningTables(root)
+    return _writer(running_features_stream(mentions, alpha, seed), tables, checkpoint, "append",
+                   trigger, STATE_CONF), tables
 
 
 def cooldown_job(rated: DataFrame, root: str, checkpoint: str, trigger: dict | None = None,
-                 cooldown_minutes: int = 30, delivered: Column | None = None
-                 ) -> tuple[DataStreamWriter, AlertTables]:
-    """Finished windows (ticker, window_end, risk_score_5m, threshold), batches in time order ->
-    alert history and outbox, by ordered scans and the history as state."""
-    tables = RatedAlertTables(root, cooldown_minutes=cooldown_minutes, delivered=delivered)
-    return _writer(rated, tables, checkpoint, "append", trigger), tables
+                 cooldown_minutes: int = 30, delivered: Column | None = None, delay: str = "7 minutes"
+                 ) -> tuple[DataStreamWriter, DecisionTables]:
+    """Finished windows (ticker, window_end, risk_score_5m, threshold), up to ``delay`` out of order
+    -> alert history and outbox, from keyed state."""
+    tables = DecisionTables(root)
+    decided = cooldown_stream(rated, cooldown_minutes, delay, delivered)
+    return _writer(decided, tables, checkpoint, "append", trigger, STATE_CONF), tables
 
 
 def fan_out(*targets: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:

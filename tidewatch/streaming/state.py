@@ -1,4 +1,10 @@
-"""Custom keyed state: lifetime features and the alert cooldown."""
+"""Keyed state in the state store: lifetime features and the alert cooldown.
+
+Both are ``transformWithState`` processors, so a micro-batch loads and writes the state of the
+tickers it has rows of, and nothing that it does not touch: its cost does not grow with the age of
+the stream. State is kept with its schema (Avro), so later versions may add fields. Several versions
+of the same batch start from the same state, so a replay gives the same rows.
+"""
 
 from __future__ import annotations
 
@@ -7,83 +13,153 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidewatch.operators.features import clean_mentions
-from tidewatch.streaming.jobs import watermarked
+from tidewatch.operators.features import clean_mentions, seconds
+from tidewatch.session import configure
 
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.encodingFormat": "avro",
+}
+RUNNING = ("news_id string, ticker string, window_end timestamp, neg_news_count_24h int, "
+           "pos_news_count_24h int, sentiment_ewm_7d double")
+DECIDED = ("ticker string, window_end timestamp, risk_score_5m double, threshold double, "
+           "status string, reason string")
 
-def running_features_stream(mentions: DataFrame, alpha: float = 0.1, seed: str = "zero"
-                            ) -> DataFrame:
-    """Lifetime counts and exponentially weighted sentiment after every mention.
 
-    State: two counts and the mean per ticker. Mentions are taken in time order within a
-    micro-batch, whose size the source's trigger limits bound.
-    """
-    keep = 1.0 - alpha
-
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
-               ) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["event_ts", "news_id"], kind="stable")
-        x = rows["sentiment"].to_numpy()
-        start = float(x[0]) if seed == "first" else 0.0
-        neg0, pos0, ewm0 = state.get if state.exists else (0, 0, start)
-        ewm = list(accumulate(x.tolist(), lambda e, v: alpha * v + keep * e, initial=ewm0))[1:]
+def with_state(df: DataFrame) -> DataFrame:
+    configure(df.sparkSession)
+    for key, value in STATE_CONF.items():
+        df.sparkSession.conf.set(key, value)
+    return df
+
+
+# ---- lifetime features ----
+
+class RunningState(StatefulProcessor):
+    """Two counts and the mean of a ticker."""
+
+    def __init__(self, alpha: float, seed: str):
+        self.alpha, self.seed = alpha, seed
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.so_far = handle.getValueState("so_far", "neg long, pos long, ewm double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["event_ts", "news_id"], kind="stable")
+        x = batch["sentiment"].to_numpy()
+        start = (0, 0, float(x[0]) if self.seed == "first" else 0.0)
+        neg0, pos0, ewm0 = self.so_far.get() if self.so_far.exists() else start
+        keep = 1.0 - self.alpha
+        ewm = list(accumulate(x.tolist(), lambda e, v: self.alpha * v + keep * e, initial=ewm0))[1:]
         neg, pos = neg0 + np.cumsum(x < 0), pos0 + np.cumsum(x > 0)
-        state.update((int(neg[-1]), int(pos[-1]), float(ewm[-1])))
+        self.so_far.update((int(neg[-1]), int(pos[-1]), float(ewm[-1])))
         yield pd.DataFrame({
-            "news_id": rows["news_id"].to_numpy(), "ticker": key[0],
-            "window_end": rows["event_ts"].to_numpy(), "neg_news_count_24h": neg.astype("int32"),
+            "news_id": batch["news_id"].to_numpy(), "ticker": key[0],
+            "window_end": batch["event_ts"].to_numpy(), "neg_news_count_24h": neg.astype("int32"),
             "pos_news_count_24h": pos.astype("int32"), "sentiment_ewm_7d": ewm})
 
-    rows = clean_mentions(mentions).select(
+    def close(self) -> None:
+        pass
+
+
+def running_features_stream(mentions: DataFrame, alpha: float = 0.1, seed: str = "zero"
+                            ) -> DataFrame:
+    """Lifetime counts and exponentially weighted sentiment after every mention.
+
+    Mentions are folded batch after batch, in time order inside a batch. A ticker's rows of one batch
+    meet in one task; the source's trigger limits bound them.
+    """
+    rows = clean_mentions(with_state(mentions)).select(
         "ticker", "event_ts", F.col("news_id").cast("string").alias("news_id"),
         F.col("sentiment").cast("double").alias("sentiment"))
-    return rows.groupBy("ticker").applyInPandasWithState(
-        update, "news_id string, ticker string, window_end timestamp, neg_news_count_24h int, "
-                "pos_news_count_24h int, sentiment_ewm_7d double",
-        "neg long, pos long, ewm double", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("ticker").transformWithStateInPandas(
+        RunningState(alpha, seed), RUNNING, "Append", "None")
+
+
+# ---- cooldown ----
+
+class CooldownState(StatefulProcessor):
+    """Rows wait until the watermark has passed them, so that they are decided in time order however
+    they arrive; ``blocked`` is the microsecond until which a ticker is blocked, and goes by a timer
+    once no row can fall before it."""
+
+    def __init__(self, cooldown_micros: int):
+        self.span = cooldown_micros
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.blocked = handle.getValueState("blocked", "until long")
+        self.waiting = handle.getListState(
+            "waiting", "at long, risk double, threshold double, ok boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        self.waiting.appendList([
+            (int(at), *(None if np.isnan(x) else float(x) for x in (risk, limit)), bool(ok))
+            for at, risk, limit, ok in zip(new["at"], new["risk_score_5m"].astype(float),
+                                           new["threshold"].astype(float), new["ok"])])
+        self.handle.registerTimer(-(-int(new["at"].min()) // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        until = self.blocked.get()[0] if self.blocked.exists() else None
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        due = sorted((tuple(r) for r in rows if r[0] <= passed),
+                     key=lambda r: (r[0], r[1] is not None, r[1] or 0.0, r[3]))
+        rest = [tuple(r) for r in rows if r[0] > passed]
+        if due:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+            status, reason = [], []
+            for at, risk, limit, ok in due:
+                if until is not None and at < until:
+                    status.append("suppressed")
+                    reason.append("cooldown")
+                elif risk is not None and limit is not None and risk > limit:
+                    status.append("sent" if ok else "failed")
+                    reason.append(None)
+                    until = at + self.span if ok else until
+                else:
+                    status.append("suppressed")
+                    reason.append("threshold_not_met")
+            if until is not None:
+                self.blocked.update((until,))
+            yield pd.DataFrame({
+                "ticker": key[0], "window_end": pd.to_datetime([r[0] for r in due], unit="us"),
+                "risk_score_5m": [r[1] for r in due], "threshold": [r[2] for r in due],
+                "status": status, "reason": reason})
+        if until is not None and until <= passed:
+            self.blocked.clear()
+            until = None
+        if rest or until is not None:  # look again when the next row, or else the block, is passed
+            moment = min(r[0] for r in rest) if rest else until
+            self.handle.registerTimer(max(-(-moment // 1000), passed // 1000 + 1))
+
+    def close(self) -> None:
+        pass
 
 
-def cooldown_stream(rated: DataFrame, cooldown_minutes: int = 30) -> DataFrame:
-    """Alert decisions over (ticker, window_end, risk_score_5m, threshold), final rows in order.
+def cooldown_stream(rated: DataFrame, cooldown_minutes: int = 30, delay: str = "7 minutes",
+                    delivered: Column | None = None) -> DataFrame:
+    """Alert decisions over (ticker, window_end, risk_score_5m, threshold), in any order up to
+    ``delay`` late. A row is decided once the newest window is ``delay`` ahead of it; rows that come
+    later still are dropped, as late rows are everywhere. Times count to the microsecond; rows of one
+    time are taken by risk.
 
-    State: until when the ticker is blocked; it expires with event time. Rows per ticker and
-    micro-batch are at most one per window.
+    ``delivered`` tells whether a row's notification arrived; one that did not is failed and starts
+    no cooldown. Rows without a ticker or a time are left out.
     """
-    span = cooldown_minutes * 60_000
-
-    def decide(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
-               ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(parts)).sort_values("window_end", kind="stable")
-        blocked = state.get[0] if state.exists else -1
-        times = rows["window_end"].astype("datetime64[ms]").astype("int64").to_numpy()
-        status, reason = [], []
-        for at, risk, limit in zip(times, rows["risk_score_5m"], rows["threshold"]):
-            if at < blocked:
-                status.append("suppressed")
-                reason.append("cooldown")
-            elif risk > limit:
-                status.append("sent")
-                reason.append(None)
-                blocked = int(at) + span
-            else:
-                status.append("suppressed")
-                reason.append("threshold_not_met")
-        if blocked >= 0:
-            state.update((blocked,))
-            state.setTimeoutTimestamp(max(blocked, state.getCurrentWatermarkMs() + 1))
-        yield rows[["ticker", "window_end", "risk_score_5m", "threshold"]].assign(
-            status=status, reason=reason)
-
-    columns = ["ticker", "window_end", "risk_score_5m", "threshold"]
-    return watermarked(rated.select(*columns), "window_end").groupBy(
-        "ticker").applyInPandasWithState(
-        decide, "ticker string, window_end timestamp, risk_score_5m double, threshold double, "
-                "status string, reason string",
-        "blocked long", "append", GroupStateTimeout.EventTimeTimeout)
+    ok = F.lit(True) if delivered is None else F.coalesce(delivered, F.lit(False))
+    rows = (with_state(rated).filter(F.col("ticker").isNotNull() & F.col("window_end").isNotNull())
+            .withColumn("ok", ok)
+            .select("ticker", "window_end", F.unix_micros("window_end").alias("at"),
+                    F.col("risk_score_5m").cast("double").alias("risk_score_5m"),
+                    F.col("threshold").cast("double").alias("threshold"), "ok"))
+    return rows.withWatermark("window_end", f"{seconds(delay)} seconds").groupBy(
+        "ticker").transformWithStateInPandas(
+            CooldownState(cooldown_minutes * 60_000_000), DECIDED, "Append", "EventTime")
