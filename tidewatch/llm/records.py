@@ -46,8 +46,9 @@ SPACES = re.compile(r"[\x20\x09-\x0D]+")
 OTHER_SPACES = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 # words of which the tokenizer's rules can be told: visible ASCII and Latin letters whose lower case is
 # one letter; and the pieces those rules cut them into
-PLAIN = re.compile("[\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017f]+")
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+PLAIN = re.compile("[\n\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017f]+")
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+|\n")
+MARK = b"\xff" * 4  # between words; no token has this id
 KNOWN_WORDS = 400_000  # entries of the memory, which is emptied when it is full
 INDEX = "shard string, seq long, offset long, length long, doc_id long, n_tokens long, ids_crc32 long"
 
@@ -106,8 +107,9 @@ def encoder(definition: str, end: int | None) -> Callable[[list[str]], list[np.n
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is one
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_str(definition)
+    model = tokenizer.model
     known: dict[str, bytes] = {"": b""}  # the ids as 32-bit numbers
-    pieces: dict[str, bytes] = {}
+    pieces: dict[str, bytes] = {"\n": MARK}
 
     def learn(words: list[str], into: dict[str, bytes]) -> None:
         for k in range(0, len(words), 1000):
@@ -120,19 +122,22 @@ def encoder(definition: str, end: int | None) -> Callable[[list[str]], list[np.n
             for w, a, b in zip(part, cuts, cuts[1:]):
                 into[w] = ids[a:b]
 
-    def learn_words(words: set[str]) -> None:
-        odd, split = [], {}
-        for w in words:
-            if PLAIN.fullmatch(w) and "<|" not in w:
-                split[w] = PIECE.findall(w.lower())
-            else:
-                odd.append(w)
-        learn(odd, known)
+    def learn_words(words: list[str]) -> None:
+        if not (PLAIN.fullmatch(lines := "\n".join(words)) and "<|" not in lines):
+            learn([w for w in words if not PLAIN.fullmatch(w) or "<|" in w], known)
+            words = [w for w in words if w not in known]
+            lines = "\n".join(words)
         if len(pieces) > KNOWN_WORDS:
             pieces.clear()
-        learn([p for p in {p for s in split.values() for p in s} if p not in pieces], pieces)
-        for w, s in split.items():
-            known[w] = b"".join(map(pieces.__getitem__, s))
+            pieces["\n"] = MARK
+        found = PIECE.findall(lines.lower())
+        new = set(found).difference(pieces)
+        learn([p for p in new if not p.isascii()], pieces)
+        for p in new:
+            if p.isascii():  # such a piece stands for itself before the model, too
+                ids = [t.id for t in model.tokenize(p)]
+                pieces[p] = struct.pack(f"<{len(ids)}I", *ids)
+        known.update(zip(words, b"".join(map(pieces.__getitem__, found)).split(MARK)))
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         out, last = [], b"" if end is None else struct.pack("<I", end)
@@ -144,7 +149,7 @@ def encoder(definition: str, end: int | None) -> Callable[[list[str]], list[np.n
                 known.clear()
                 known[""] = b""
                 new = here - {""}
-            learn_words(new)
+            learn_words(list(new))
             out.append(np.frombuffer(b"".join(map(known.__getitem__, words)) + last, dtype="<u4"))
         return out
 
