@@ -86,7 +86,7 @@ class BatchTable:
         try:
             rows = spark.read.option("basePath", self.path).parquet(path)
         except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # or no files
                 raise
             return None
         if between is not None:
