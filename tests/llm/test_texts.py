@@ -280,6 +280,39 @@ def test_toxicity_learns_and_locates(docs, labels):
             assert re.search("moron|scum", text[got[i].worst_start:got[i].worst_end])
 
 
+def test_a_handful_of_toxic_texts_teaches_something():
+    rng = random.Random(11)
+    plain = ["".join(rng.choice("aeioklmnrst") for _ in range(rng.randint(2, 6))) for _ in range(300)]
+    texts = [" ".join(rng.choice(plain) for _ in range(60)) + "." for _ in range(60)]
+    labels = [int(k < 5) for k in range(60)]
+    texts = [t + (f" you {['scum', 'moron'][k % 2]} there." if k < 5 else "") for k, t in enumerate(texts)]
+    model = toxicity.train(texts, labels)
+    new = [" ".join(rng.choice(plain) for _ in range(60)) for _ in range(40)]
+    scores = [model.score(t)[0] for t in new]
+    bad = [model.score(t + ". what scum. ")[0] for t in new]
+    assert min(bad) > max(scores)
+
+
+def plain_noisy_or(model, text):
+    """Every sentence by itself, and one bare one."""
+    safe = 1 / (1 + np.exp(model.base))
+    for sentence in re.split(r"(?<=[.!?\n])", text.lower()):
+        found = {m for w in re.findall(r"[^\W\d_]+", sentence) for m in [w, w[:4] + "-" if len(w) > 3 else "", w[:5] + "-" if len(w) > 4 else ""]
+                 if m in model.weights}
+        if found:
+            safe *= 1 / (1 + np.exp(model.base + sum(model.weights[m] for m in found)))
+    return 1 - safe
+
+
+def test_scores_equal_a_plain_noisy_or():
+    rng = random.Random(12)
+    words = ["scum", "scummy", "moron", "tree", "of", "Green", "moronic"]
+    model = toxicity.Model({"scum": 5.0, "scum-": 1.5, "moro-": 3.0, "moron": 1.0, "of": 0.25}, -4.5)
+    for _ in range(300):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", ". ", "!", "\n", "?? "]) for _ in range(rng.randint(0, 25)))
+        assert model.score(text)[0] == pytest.approx(plain_noisy_or(model, text), abs=1e-9)
+
+
 def test_labels_of_held_out_rows_change_nothing(docs, labels):
     rows, marks = corpus()
     table = docs(rows)

@@ -70,12 +70,21 @@ def marks(word: str) -> list[str]:
     return [word, *[f"{word[:n]}-" for n in STEMS if len(word) >= n]]
 
 
+def least_lift(toxic: int, clean: int, n_toxic: int, n_clean: int, sure: float) -> float:
+    """The logarithm of how many times as frequent a mark is in toxic texts, less ``sure`` standard
+    errors: few texts have to say it more clearly than many."""
+    a, b = toxic + 0.5, clean + 0.5
+    return float(np.log(a / (n_toxic + 1)) - np.log(b / (n_clean + 1)) - sure * np.sqrt(1 / a + 1 / b))
+
+
 def train(texts: list[str], labels: list[int], epochs: int = 400, rate: float = 0.3,
-          lasso: float = 2e-5, min_docs: int = 5, lift: float = 6.0) -> Model:
+          lasso: float = 2e-5, sure: float = 2.0, support: float = 10.0, at_least: int = 10) -> Model:
     """Fits mark weights by proximal Adam on the noisy-or likelihood, classes weighted alike.
 
-    Only marks found in ``min_docs`` toxic texts, and in ``lift`` times as large a share of the toxic
-    texts as of the others, take part. The lasso sets weights that explain nothing more to zero.
+    The marks that take part are those surely twice as frequent in toxic texts as in others, and
+    ``at_least`` those that come nearest to it, so that a handful of toxic texts teaches something.
+    The lasso sets weights that explain nothing more to zero; a mark of few texts is shrunk more, by
+    ``support`` over their number.
     """
     y = np.asarray(labels, dtype=float)
     known: dict[str, list[str]] = {}
@@ -88,8 +97,10 @@ def train(texts: list[str], labels: list[int], epochs: int = 400, rate: float =
             found.update(known[w])
         (toxic if label else clean).update(found)
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    names = sorted(w for w, n in toxic.items()
-                   if n >= min_docs and (n + 0.5) / n1 >= lift * (clean[w] + 0.5) / n0)
+    lifts = {w: least_lift(n, clean[w], n1, n0, sure) for w, n in toxic.items()}
+    nearest = sorted(lifts, key=lambda w: (-lifts[w], w))[:at_least]
+    names = sorted({w for w, x in lifts.items() if x >= np.log(2)} | set(nearest))
+    shrink = lasso * (1 + support / np.array([toxic[w] for w in names]))
     if not names or y.all():
         return Model({}, START)
     place = {w: k for k, w in enumerate(names)}
@@ -121,7 +132,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 400, rate: float =
         lr = rate / (1 + 3 * step / epochs)
         scale = lr * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step) / (np.sqrt(v) + 1e-8)
         w = w - scale[:-1] * m[:-1]
-        w = np.maximum(w - scale[:-1] * lasso, 0)
+        w = np.maximum(w - scale[:-1] * shrink, 0)
         base = min(base - scale[-1] * m[-1], -4.0)
     return Model({names[k]: float(w[k]) for k in np.flatnonzero(w)}, float(base))
 
