@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from helpers import START, at, mentions
@@ -158,3 +159,33 @@ def test_point_reads_open_the_keys_own_folder(spark, tmp_path):
     assert "_kind" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert "_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert store.scan_stored(spark, path, "feat:T1*:latest").count() == 111
+
+
+def plain_summary(values):
+    s, n = sorted(values), len(values)
+    return n, (s[(n - 1) // 2] + s[n // 2]) / 2, s[int(n * 0.95)], s[int(n * 0.99)]
+
+
+def test_latency_of_hot_keys_is_bracketed_by_sketches(spark, monkeypatch):
+    """Three keys above the limit, one of them nearly all ties, and small ones below it."""
+    monkeypatch.setattr(metrics, "MARGIN", 0.02)
+    monkeypatch.setattr(metrics, "LEAST", 50)
+    rnd = random.Random(1)
+    rows = [("hot", rnd.gauss(0, 5)) for _ in range(6000)] + [(None, round(rnd.random(), 2)) for _ in range(3000)]
+    rows += [("ties", 1.0)] * 2900 + [("ties", 2.0)] * 100 + [("small", float(k)) for k in range(7)] + [("one", 3.5)]
+    df = spark.createDataFrame(rows + [("hot", None)], "k string, v double")
+    got = {r.k: (r.n, r.median_value, r.p95_value, r.p99_value)
+           for r in metrics.latency_summary(df, "k", "v").collect()}
+    assert got == {k: plain_summary([v for x, v in rows if x == k]) for k in ("hot", None, "ties", "small", "one")}
+
+
+def test_a_bracket_that_misses_goes_back_to_the_side_that_holds_the_rank(spark):
+    rows = spark.range(1000).selectExpr("struct('a' AS k) AS key", "CAST(id AS double) AS value")
+    brackets = spark.createDataFrame(
+        [(0, 10, 0.0, 999.0, 500.0, 600.0), (1, 900, 0.0, 999.0, 500.0, 600.0), (2, 550, 0.0, 999.0, 500.0, 600.0)],
+        "which int, rank long, lo double, hi double, tried_lo double, tried_hi double").selectExpr(
+            "struct('a' AS k) AS key", "*")
+    got = {r.which: r for r in metrics._narrowed(rows, brackets).collect()}
+    assert (got[0].lo, got[0].hi) == (0.0, 500.0) and (got[1].lo, got[1].hi) == (600.0, 999.0)
+    assert (got[2].lo, got[2].hi, got[2].inside) == (500.0, 600.0, 101)
+    assert 500 <= got[2].tried_lo <= 550 <= got[2].tried_hi <= 600
