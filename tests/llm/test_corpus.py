@@ -174,6 +174,27 @@ def test_leak_places_and_long_texts(docs, spark):
     assert decontaminate.contaminated(docs([(1, text)]), bench.limit(0)).count() == 0
 
 
+def test_short_items_are_found_as_whole_words(docs, spark):
+    items = [(1, "42"), (2, "It is so!"), (3, "a bc"), (4, "The answer is forty two, as all know."), (5, "?!"),
+             (6, "no no")]
+    rows = [(1, "Was 42 seen? 142 or 42."), (2, "it... IS -- so? It is sorry."), (3, "a bc, a bcd; xa bc"),
+            (4, "Well: the answer is forty-two as all know"), (5, "the answer is forty two as all knows"), (6, "no no no no no")]
+    bench = spark.createDataFrame(items, "item_id smallint, text string")
+    got = [(r.doc_id, r.item_id, dict(rows)[r.doc_id][r.start:r.end], r.edits)
+           for r in decontaminate.contaminated(docs(rows), bench).collect()]
+    assert sorted(got) == [(1, 1, "42", 0), (1, 1, "42", 0), (2, 2, "it... IS -- so", 0), (3, 3, "a bc", 0),
+                           (4, 4, "the answer is forty-two as all know", 0), (6, 6, "no no", 0), (6, 6, "no no", 0)]
+    kept = decontaminate.keep_clean(docs(rows), bench)  # a filter leaves single words alone
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 5, 6]
+
+
+@pytest.mark.parametrize("kind", ["decimal(10,0)", "date", "binary", "tinyint"])
+def test_item_ids_of_any_kind(docs, spark, kind):
+    one = "DATE'2024-01-01'" if kind == "date" else f"CAST('1' AS {kind})"
+    bench = spark.createDataFrame([("some short words",)], "text string").selectExpr(f"{one} AS item_id", "text")
+    assert decontaminate.contaminated(docs([(1, "here are some short words")]), bench).count() == 1
+
+
 # ---- pipeline ----
 
 @pytest.fixture(scope="module")

@@ -8,9 +8,16 @@ give regions, which a banded alignment verifies: the item must match there withi
 Both sides are compared as letters and digits in lower case, with one space for each run of anything
 else, so that case, punctuation and white space hide nothing; places are those of the original text.
 k is ``edit_rate`` of the item's length, but
-never so much that the bound falls under one q-gram. Items shorter than ``min_chars`` are not looked
-for. Nulls count as empty texts, and texts and items without a match give no row. Repeated rows give
-a row each. Of an item's overlapping matches in a text, the one with the fewest edits counts.
+never so much that the bound falls under one q-gram. Items of fewer than ``SHORT`` characters must
+match without an edit and as whole words: by the same bands with k = 0, or, if they are shorter than
+a q-gram, by their words. ``min_chars`` leaves shorter items out, for filters that one common word
+should not empty; without it none is left out but items without a letter or digit.
+
+Nulls count as empty texts, and texts and items without a match give no row. Repeated rows give
+a row each. Of an item's overlapping matches in a text, the one with the fewest edits counts. An
+empty table on either side gives no rows, and a filter keeps all. A very long text is looked up part
+by part, each part's q-grams with those that reach into the next. Columns beyond ids and texts are
+not looked at.
 
 The benchmark is split into blocks of bounded size by the hash of the item; each block's q-gram index
 is built on the driver, sent with the tasks, and meets every document in one pass.
@@ -26,15 +33,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewatch.llm.common import code_points, core, kind_of, record_batch, small_batches
 
 Q = 8  # characters in a q-gram
 EDIT_RATE = 0.08
-MIN_CHARS = 50
+SHORT = 50
+FILTER_CHARS = 20  # what a filter looks for at least
 BLOCK_CHARS = 4_000_000  # characters of benchmark text in one index
 PART = 1 << 16  # characters of a text looked up at once
-ITEM = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}  # kinds of item ids
 FACTOR = np.uint32(0x9E3779B1)
 TABLE_BITS = 20
 # characters beyond the first 65,536 count as letters
@@ -69,7 +77,7 @@ def grams(codes: np.ndarray) -> np.ndarray:
 
 
 def budget(length: int, edit_rate: float = EDIT_RATE) -> int:
-    return max(0, min(int(length * edit_rate), (length - Q) // Q))
+    return 0 if length < SHORT else max(0, min(int(length * edit_rate), (length - Q) // Q))
 
 
 def align(item: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int, int] | None:
@@ -116,12 +124,34 @@ class Index:
     owner: np.ndarray
     place: np.ndarray
     table: np.ndarray  # which hash prefixes occur at all
+    words: dict[tuple[str, ...], list]  # items shorter than a q-gram, by their words
 
     def matches(self, text: str) -> list[tuple]:
         """Item, start, end and edits of every match, overlapping ones of an item reduced to one."""
-        if not self.names or len(text) < Q:
+        if not (self.names or self.words):
             return []
         codes, origin = plain(text)
+        found = [*self._by_words(codes), *self._by_grams(codes)]
+        return [(name, int(origin[a]), int(origin[b - 1]) + 1, n)
+                for name, a, b, n in sorted(found, key=lambda r: (r[1], str(r[0])))]
+
+    def _by_words(self, codes: np.ndarray) -> Iterator[tuple]:
+        if not self.words:
+            return
+        edges = np.diff(np.concatenate([[0], (codes != 32).astype(np.int8), [0]]))
+        starts, ends = np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()
+        tokens = [codes[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(starts, ends)]
+        for n in sorted({len(w) for w in self.words}):
+            done: dict = {}  # where the last match of an item ended
+            for k, run in enumerate(zip(*[tokens[j:] for j in range(n)])):
+                for name in self.words.get(run, ()):
+                    if done.get(name, 0) <= starts[k]:
+                        done[name] = ends[k + n - 1]
+                        yield name, starts[k], done[name], 0
+
+    def _by_grams(self, codes: np.ndarray) -> list[tuple]:
+        if not self.names or len(codes) < Q:
+            return []
         where, gram = [], []
         for at in range(0, len(codes) - Q + 1, PART):
             h = grams(codes[at:at + PART + Q - 1])
@@ -137,9 +167,8 @@ class Index:
         at, where = at[real], where[real]
         count = self.starts[at + 1] - self.starts[at]
         entry = np.repeat(self.starts[at] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        found = self._regions(codes, self.owner[entry], self.place[entry],
-                              np.repeat(where, count) - self.place[entry])
-        return [(name, int(origin[a]), int(origin[b - 1]) + 1, n) for name, a, b, n in found]
+        return self._regions(codes, self.owner[entry], self.place[entry],
+                             np.repeat(where, count) - self.place[entry])
 
     def _regions(self, codes, owner, place, diagonal) -> list[tuple]:
         """Bands of 2k + 2 diagonals, each sharing half with the next, so that any k + 1 neighbours
@@ -158,7 +187,7 @@ class Index:
             a = max(0, first - k)
             z = min(len(codes), first + 2 * (k + 1) + len(self.items[item]) + k)
             m = align(self.items[item], codes[a:z], k)
-            if m:
+            if m and (len(self.items[item]) >= SHORT or whole(codes, a + m[1], a + m[2])):
                 found.setdefault(item, []).append((m[0], a + m[1], a + m[2]))
         out = []
         for item, hits in found.items():
@@ -167,16 +196,27 @@ class Index:
                 if all(h[2] <= t[1] or h[1] >= t[2] for t in taken):
                     taken.append(h)
             out += [(self.names[item], s, e, n) for n, s, e in taken]
-        return sorted(out, key=lambda r: (r[1], str(r[0])))
+        return out
+
+
+def whole(codes: np.ndarray, start: int, end: int) -> bool:
+    """Does the stretch begin and end with words?"""
+    return (start == 0 or codes[start - 1] == 32) and (end == len(codes) or codes[end] == 32)
 
 
-def build(rows: list[tuple], edit_rate: float = EDIT_RATE, min_chars: int = MIN_CHARS) -> Index:
+def build(rows: list[tuple], edit_rate: float = EDIT_RATE, min_chars: int = 1) -> Index:
     names, items = [], []
+    words: dict[tuple[str, ...], list] = {}
     for name, text in rows:
         codes = plain(text.strip())[0] if text is not None else ()
         if len(codes) and codes[-1] == 32:
             codes = codes[:-1]
-        if len(codes) >= max(min_chars, Q):
+        if len(codes) < max(min_chars, 1):
+            continue
+        if len(codes) < Q:
+            short = codes.tobytes().decode("utf-32-le", "surrogatepass")
+            words.setdefault(tuple(short.split(" ")), []).append(name)
+        else:
             names.append(name)
             items.append(codes)
     hashes = [grams(i) for i in items]
@@ -191,10 +231,10 @@ def build(rows: list[tuple], edit_rate: float = EDIT_RATE, min_chars: int = MIN_
     budgets = np.array([budget(len(i), edit_rate) for i in items], dtype=np.int64)
     need = np.array([len(i) - Q + 1 for i in items], dtype=np.int64) - budgets * Q
     return Index(names, items, budgets, need, distinct, starts, owner[order].astype(np.int64),
-                 place[order].astype(np.int64), table)
+                 place[order].astype(np.int64), table, words)
 
 
-def indexes(benchmark: DataFrame, edit_rate: float = EDIT_RATE, min_chars: int = MIN_CHARS,
+def indexes(benchmark: DataFrame, edit_rate: float = EDIT_RATE, min_chars: int = 1,
             block_chars: int = BLOCK_CHARS) -> Iterator[Index]:
     """One index after the other, each of about ``block_chars`` characters of items.
 
@@ -211,9 +251,10 @@ def indexes(benchmark: DataFrame, edit_rate: float = EDIT_RATE, min_chars: int =
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE,
-                 min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+                 min_chars: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, start, end, edits and similarity of every benchmark passage in the texts."""
     kind, own = kind_of(benchmark, "item_id"), kind_of(docs, "doc_id")
+    item_kind = to_arrow_type(benchmark.schema["item_id"].dataType)
     rest = "start long, end long, edits long, similarity double"
     found = None
     for index in indexes(benchmark, edit_rate, min_chars, block_chars):
@@ -224,14 +265,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_
                        for k, t in enumerate(texts) if t for m in index.matches(t)]
                 yield record_batch(rest, [r[2:] for r in out], {
                     "doc_id": ids.take(pa.array([r[0] for r in out], pa.int64())),
-                    "item_id": pa.array([r[1] for r in out], ITEM[kind])})
+                    "item_id": pa.array([r[1] for r in out], item_kind)})
         rows = core(docs, "doc_id", "text").mapInArrow(run, f"doc_id {own}, item_id {kind}, {rest}")
         found = rows if found is None else found.unionByName(rows)
     return found
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE,
-               min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+               min_chars: int = FILTER_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no benchmark passage; no shuffle."""
     def clean(index: Index):
         @F.pandas_udf("boolean")
