@@ -86,7 +86,7 @@ class BatchTable:
         try:
             rows = spark.read.option("basePath", self.path).parquet(path)
         except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # or no files
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return None
         if between is not None:
@@ -149,7 +149,12 @@ class RecordTable(BatchTable):
     def versions(self, spark: SparkSession, upto: int | None = None,
                  between: tuple[dt.datetime, dt.datetime] | None = None) -> DataFrame | None:
         mark = self.base.last(spark)
-        rows = super().versions(spark, upto, between)
+        try:
+            rows = super().versions(spark, upto, between)
+        except AnalysisException as e:
+            if mark is None or e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+            rows = None  # all hours are folded
         if mark is None:
             return rows
         base = self._base_rows(spark, mark[0])
