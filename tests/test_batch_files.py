@@ -45,3 +45,13 @@ def test_a_crowded_hour_is_shared_out(as_streams, tmp_path, monkeypatch):
     assert 4 <= sum("_hour=2024010100" in str(f) for f in files) and len(files) <= 10 + 6
     assert table.versions(as_streams).count() == 5600
     rows.unpersist()
+
+
+def test_few_rows_of_many_hours_are_written_by_several_tasks(as_streams, tmp_path):
+    table = T.BatchTable(str(tmp_path / "t"), ("key",))
+    rows = ten_hours(as_streams).withColumn("window_end", F.lit(str(at(0))).cast("timestamp")
+                                            + F.make_dt_interval(hours=F.col("n") % 200))
+    table.write(rows, 0)
+    files = [f.name for f in Path(table.path).rglob("*.parquet")]
+    assert 200 <= len(files) <= 207 and len({f.split("-")[1] for f in files}) > 4
+    assert sorted(table.read(as_streams).collect()) == sorted(rows.collect())

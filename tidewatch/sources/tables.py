@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidewatch.session import fresh_path
 
 HOUR = "yyyyMMddHH"
-PIECE = 200_000  # rows that a task writes
+PIECE, PIECE_HOURS = 200_000, 32  # rows and hours that a task writes
 MOST_LISTED = dt.timedelta(days=30)  # longer spans are pruned by a filter, not listed hour by hour
 
 
@@ -60,16 +60,18 @@ class BatchTable:
     manifest: Marks | None = None
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
-        """Rows are cut by hour and key into pieces of about ``PIECE`` rows, so that a batch writes a
-        file per hour and piece, not per hour and task: streams run without the adaptive execution
-        that would gather small pieces. A crowded hour is shared out over several of them."""
+        """Rows are cut by hour and key into pieces of about ``PIECE`` rows or ``PIECE_HOURS`` hours,
+        so that a batch writes a file per hour and piece, not per hour and task: streams run without
+        the adaptive execution that would gather small pieces. A crowded hour is shared out over
+        several of them."""
         cached = rows.is_cached
         if not cached:
             rows.persist()  # counted, sampled for the cuts, written
         try:
-            pieces = rows.count() // PIECE + 1
-            (rows.withColumns({"_hour": F.date_format(self.time, HOUR),
-                               "_batch": F.lit(batch_id).cast("long")})
+            hour = F.date_format(self.time, HOUR)
+            n, hours = rows.agg(F.count("*"), F.count_distinct(hour)).first()
+            pieces = max(n // PIECE, hours // PIECE_HOURS) + 1
+            (rows.withColumns({"_hour": hour, "_batch": F.lit(batch_id).cast("long")})
              .repartitionByRange(pieces, "_hour", *self.keys)
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("_hour", "_batch").parquet(self.path))
