@@ -46,13 +46,16 @@ def finish_features(df: DataFrame) -> DataFrame:
                                                 F.col("sentiment_score_5m"))))
 
 
-def combine_partials(partials: DataFrame, alpha: float = 0.1) -> DataFrame:
+def combine_partials(partials: DataFrame, alpha: float = 0.1, dealt: tuple[str, ...] = ()
+                     ) -> DataFrame:
     """Partials keyed by (ticker, window_end) -> feature rows.
 
-    The list per window holds one entry per bucket and piece, not one per mention.
+    The list per window holds one entry per bucket and piece, not one per mention. ``dealt`` names
+    columns that depend on a window alone and by which the rows are shuffled already: grouped by
+    these, too, they are not shuffled again.
     """
     parts = F.array_sort(F.collect_list(F.struct("first_ts", "first_id", "n", "first_x", "tail")))
-    grouped = partials.groupBy("ticker", "window_end").agg(
+    grouped = partials.groupBy("ticker", "window_end", *dealt).agg(
         parts.alias("parts"), F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     return finish_features(grouped.withColumn("ewm", fold_partials(F.col("parts"), alpha)))
 

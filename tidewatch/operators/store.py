@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.codecs import format_iso, latest_key, store_key
+from tidewatch.operators.features import latest_features
 
 TTL_DAYS = 7
 
@@ -19,18 +20,28 @@ def record_value(df: DataFrame, version: str, ingest_ts: Column) -> Column:
 
 def keyed_records(features: DataFrame, prefix: str = "feat", version: str = "v1",
                   ingest_ts: Column | None = None, latest_only: bool = False,
-                  ttl_days: int = TTL_DAYS) -> DataFrame:
+                  ttl_days: int = TTL_DAYS, timed_only: bool = False) -> DataFrame:
     """(key, value, window_end, ingest_ts, expires_at): two records per feature row, one pass."""
     now = F.current_timestamp() if ingest_ts is None else ingest_ts
     latest = latest_key(prefix, F.col("ticker"))
-    keys = [latest] if latest_only else [store_key(prefix, F.col("ticker"), F.col("window_end")),
-                                         latest]
+    timed = store_key(prefix, F.col("ticker"), F.col("window_end"))
+    keys = [latest] if latest_only else [timed] if timed_only else [timed, latest]
     return (features.withColumns({"_value": record_value(features, version, now), "_now": now})
             .select(F.explode(F.array(*keys)).alias("key"), F.col("_value").alias("value"),
                     "window_end", F.col("_now").alias("ingest_ts"),
                     (F.col("_now") + F.make_dt_interval(F.lit(ttl_days))).alias("expires_at")))
 
 
+def window_records(windows: DataFrame, prefix: str = "feat", version: str = "v1") -> DataFrame:
+    """The records of windows of which there is one per ticker and ``window_end``, one per key.
+
+    Timed keys differ as the windows do, so only the ``latest`` ones compete, and of those only the
+    newest window of a ticker can win.
+    """
+    latest = keyed_records(latest_features(windows), prefix, version, latest_only=True)
+    return keyed_records(windows, prefix, version, timed_only=True).unionByName(last_write_wins(latest))
+
+
 def last_write_wins(records: DataFrame, *tiebreak: str) -> DataFrame:
     """One record per key: newest window, then newest write. Combines map-side."""
     order = F.struct("window_end", "ingest_ts", *tiebreak)

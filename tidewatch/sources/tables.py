@@ -110,10 +110,10 @@ class BatchTable:
             rows = rows.filter(F.col("_batch") <= upto)
         return rows
 
-    def newest(self, rows: DataFrame) -> DataFrame:
-        """The newest version per key."""
+    def newest(self, rows: DataFrame, *dealt: str) -> DataFrame:
+        """The newest version per key (of each value of ``dealt``, if the rows are shuffled by it)."""
         kept = [c for c in rows.columns if c not in ("_hour", "_batch")]
-        return (rows.groupBy(*self.keys)
+        return (rows.groupBy(*self.keys, *dealt)
                 .agg(F.max_by(F.struct(*kept), "_batch").alias("_r")).select("_r.*"))
 
     def read(self, spark: SparkSession) -> DataFrame:

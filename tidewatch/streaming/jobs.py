@@ -14,7 +14,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -121,9 +121,11 @@ def closed_shocks(events: DataFrame, window: str = "5 minutes", slide: str = "1
     return _shock_partials(rows, groups, headlines).withColumn("window_end", F.col("w.end")).drop("w")
 
 
-def combine_shock_partials(partials: DataFrame, headlines: int = 3) -> DataFrame:
+def combine_shock_partials(partials: DataFrame, headlines: int = 3, dealt: tuple[str, ...] = ()
+                           ) -> DataFrame:
+    """``dealt``: columns that tell where the rows lie, see ``combine_partials``."""
     first = F.slice(F.array_sort(F.flatten(F.collect_list("heads"))), 1, headlines)
-    return (partials.groupBy("ticker", "window_end")
+    return (partials.groupBy("ticker", "window_end", *dealt)
             .agg(F.sum("n").cast("int").alias("shock_count_5m"),
                  F.least(F.lit(0.0), F.min("worst")).alias("worst_sentiment_5m"),
                  F.transform(first, lambda h: h["headline"]).alias("shock_headlines"))
@@ -132,8 +134,9 @@ def combine_shock_partials(partials: DataFrame, headlines: int = 3) -> DataFrame
                     "shock_headlines"))
 
 
-def combine_counts(partials: DataFrame) -> DataFrame:
-    return partials.groupBy("ticker", "window_end").agg(F.sum("n").alias("mentions"))
+def combine_counts(partials: DataFrame, dealt: tuple[str, ...] = ()) -> DataFrame:
+    return (partials.groupBy("ticker", "window_end", *dealt).agg(F.sum("n").alias("mentions"))
+            .drop(*dealt))
 
 
 class WindowTables:
@@ -143,9 +146,13 @@ class WindowTables:
     the windows that hold a refined slice those are put together anew that were open when the batch
     began; closed ones stay as they are. ``clock`` keeps the newest event of each batch, from which
     the next one tells which windows are open.
+
+    Slices are dealt out by ticker and stretch of time and meet there, so that one shuffle of them,
+    before they are spread over their windows, serves all that follows.
     """
 
-    def __init__(self, root: str, combine: Callable[[DataFrame], DataFrame], prefix: str | None = "feat",
+    def __init__(self, root: str, combine: Callable[[DataFrame, tuple[str, ...]], DataFrame],
+                 prefix: str | None = "feat",
                  version: str = "v1", window: str = "5 minutes", slide: str = "1 minute"):
         self.partials = BatchTable(f"{root}/partials", ("ticker", "slice"), "slice")
         self.windows = BatchTable(f"{root}/windows", ("ticker", "window_end"))
@@ -153,10 +160,25 @@ class WindowTables:
         self.clock = Marks(f"{root}/clock")
         self.combine, self.prefix, self.version = combine, prefix, version
         self.window, self.slide = window, slide
-
-    def spread(self, slices: DataFrame) -> DataFrame:
-        """Each slice once for every window that holds it."""
-        return slices.withColumn("window_end", F.window("slice", self.window, self.slide)["end"])
+        self.stretch = max(3600, seconds(window))  # so a window ends in its slices' stretch or the next
+
+    def dealt(self, slices: DataFrame) -> DataFrame:
+        """Each slice in the one or two stretches that the windows holding it end in, ``_stretch``."""
+        begin = F.unix_seconds("slice")
+        ends = [F.floor(at / self.stretch) for at in (begin, begin + seconds(self.window))]
+        return (slices.select("*", F.explode(F.array_distinct(F.array(*ends))).alias("_stretch"))
+                .repartition("ticker", "_stretch"))
+
+    def spread(self, dealt: DataFrame) -> DataFrame:
+        """Each slice once for every window that holds it and ends in the stretch. (``F.window`` would
+        have the rows shuffled again: what it makes counts as dealt anyhow.)"""
+        begin, slide = F.unix_seconds("slice"), seconds(self.slide)
+        last = F.floor(begin / slide) * slide + seconds(self.window)
+        first = last - F.floor((last - begin - 1) / slide) * slide
+        ends = F.when(last > begin, F.sequence(first, last, F.lit(slide).cast("long")))
+        return (dealt.select("*", F.explode(ends).alias("_end"))
+                .filter(F.floor(F.col("_end") / self.stretch) == F.col("_stretch"))
+                .withColumn("window_end", F.timestamp_seconds("_end")).drop("_end"))
 
     def still_open(self, newest: int | None) -> Column:
         if newest is None:
@@ -182,18 +204,24 @@ class WindowTables:
         if span is None:
             return
         spark, reach = batch.sparkSession, dt.timedelta(seconds=seconds(self.window))
+        around = span[0] - reach, span[1] + reach
+        earlier = self.partials.versions(spark, batch_id - 1, around)
+        alone = earlier is None or earlier.isEmpty()
         self.partials.write(batch, batch_id)
-        changed = (self.spread(batch.select("ticker", "slice")).filter(still_open)
-                   .select("ticker", "window_end").distinct())
-        slices = self.partials.newest(self.partials.versions(
-            spark, batch_id, (span[0] - reach, span[1] + reach)))
-        touched = self.spread(slices).join(changed, ["ticker", "window_end"], "left_semi")
-        windows = self.combine(touched).persist()
+        if alone:
+            touched = self.spread(self.dealt(batch)).filter(still_open)
+        else:
+            versions = self.dealt(self.partials.versions(spark, batch_id, around)
+                                  .withColumn("_refined", F.col("_batch") == batch_id))
+            slices = self.partials.newest(versions, "_stretch")
+            windows = Window.partitionBy("ticker", "_stretch", "window_end")
+            touched = (self.spread(slices).filter(still_open)
+                       .withColumn("_hit", F.max("_refined").over(windows)).filter("_hit"))
+        windows = self.combine(touched, ("_stretch",)).persist()
         try:
             self.windows.write(windows, batch_id)
             if self.prefix is not None:
-                keyed = store.keyed_records(windows, self.prefix, self.version)
-                self.records.write(store.last_write_wins(keyed), batch_id)
+                self.records.write(store.window_records(windows, self.prefix, self.version), batch_id)
         finally:
             windows.unpersist()
 
@@ -214,13 +242,13 @@ class WindowTables:
 
 def feature_tables(root: str, alpha: float = 0.1, window: str = "5 minutes", slide: str = "1 minute"
                    ) -> WindowTables:
-    return WindowTables(root, lambda p: combine_partials(p, alpha), window=window, slide=slide)
+    return WindowTables(root, lambda p, dealt: combine_partials(p, alpha, dealt), window=window, slide=slide)
 
 
 def shock_tables(root: str, headlines: int = 3, window: str = "5 minutes", slide: str = "1 minute"
                  ) -> WindowTables:
-    return WindowTables(root, lambda p: combine_shock_partials(p, headlines), "shock", "v1_shock",
-                        window, slide)
+    return WindowTables(root, lambda p, dealt: combine_shock_partials(p, headlines, dealt), "shock",
+                        "v1_shock", window, slide)
 
 
 class RunningTables:
