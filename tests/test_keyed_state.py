@@ -191,3 +191,34 @@ def test_lifetime_features_of_a_null_ticker_are_left_out(spark, tmp_path):
     writer, tables = jobs.running_job(feed.stream(), str(tmp_path / "out"), str(tmp_path / "cp"), NOW)
     finish(writer)
     assert tables.features.read(spark).count() == features.running_features(feed.batch()).count() == 1
+
+
+# ---- many rows, many partitions ----
+
+def test_rows_of_the_cooldown_wait_in_chunks(spark, tmp_path):
+    rows = [("A", at(m), 0.9, 0.5) for m in range(2000)]
+    feed = Feed(spark, tmp_path / "in", RATED)
+    feed.add(rows)
+    decided_rows = state.cooldown_stream(feed.stream(), delay="3000 minutes")
+    query = (decided_rows.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp"))
+             .trigger(**NOW).start())
+    query.awaitTermination()
+    assert max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) < 50
+
+
+def test_a_keyed_job_begins_with_state_partitions_by_cores(spark, tmp_path):
+    before = spark.conf.get(state.PARTITIONS)
+    spark.conf.set(state.PARTITIONS, "40")
+    try:
+        _, tables = decided(spark, tmp_path, [[("A", at(0), 0.9, 0.5), ("B", at(1), 0.2, 0.5)]])
+        assert spark.conf.get(state.PARTITIONS) == "40"
+        feed = Feed(spark, tmp_path / "mentions")
+        feed.add(spread(20))
+        finish(jobs.running_job(feed.stream(), str(tmp_path / "run"), str(tmp_path / "cp2"), NOW)[0])
+    finally:
+        spark.conf.set(state.PARTITIONS, before)
+    most = state.PER_CORE * spark.sparkContext.defaultParallelism
+    for checkpoint in ("cp", "cp2"):
+        folders = [f for f in (tmp_path / checkpoint / "state" / "0").iterdir() if f.name.isdigit()]
+        assert 0 < len(folders) <= most
+    assert tables.history.read(spark).count() == 2

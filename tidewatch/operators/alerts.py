@@ -15,6 +15,7 @@ from tidewatch.operators.shocks import shock_alert_filter
 DEFAULT_THRESHOLD = 0.7
 COOLDOWN_MINUTES = 30
 DELIVERY_ERROR = "Slack notification failed"  # fixed value
+NEVER = int(np.iinfo(np.int64).min)  # blocked until then: not at all
 
 
 def lookup_threshold(df: DataFrame, thresholds: DataFrame | dict[str, float] | None = None,
@@ -57,6 +58,26 @@ def suppression_reason(cooling: Column) -> Column:
     return F.when(cooling, "cooldown").otherwise("threshold_not_met")
 
 
+def greedy_cooldown(at: np.ndarray, over: np.ndarray, good: np.ndarray, blocked: int, span: int
+                    ) -> tuple[np.ndarray, np.ndarray, int]:
+    """Status and reason of one ticker's rows, sorted by time, and the microsecond until which it is
+    blocked after them. It costs a step per alert, not per row."""
+    cooling = np.zeros(len(at), dtype=bool)
+    start = int(np.searchsorted(at, blocked, side="left"))
+    cooling[:start] = True
+    fires = np.flatnonzero(over & good)
+    pos = int(np.searchsorted(fires, start, side="left"))
+    while pos < len(fires):
+        i = int(fires[pos])
+        blocked = int(at[i]) + span
+        end = int(np.searchsorted(at, blocked, side="left"))
+        cooling[i + 1:end] = True
+        pos = int(np.searchsorted(fires, max(end, i + 1), side="left"))
+    status = np.where(cooling | ~over, "suppressed", np.where(good, "sent", "failed"))
+    reason = np.where(cooling, "cooldown", np.where(over, None, "threshold_not_met"))
+    return status, reason, blocked
+
+
 def alert_decisions(rows: DataFrame, at: str = "window_end", delivered: Column | None = None,
                     cooldown_minutes: int = COOLDOWN_MINUTES, tiebreak: str | None = None
                     ) -> DataFrame:
@@ -94,28 +115,14 @@ def alert_decisions(rows: DataFrame, at: str = "window_end", delivered: Column |
                 "leaves": exits[last_of_step].tolist() if len(exits) else []}
 
     def advance(state: dict | None, s: dict) -> dict:
-        blocked = state["blocked"] if state else np.iinfo(np.int64).min
+        blocked = state["blocked"] if state else NEVER
         step = int(np.searchsorted(np.asarray(s["until"], dtype=np.int64), blocked, side="left"))
         return {"blocked": int(s["leaves"][step]) if step < len(s["until"]) else int(blocked)}
 
     def emit(pdf: pd.DataFrame, state: dict | None) -> tuple[pd.DataFrame, dict]:
-        blocked = int(state["blocked"]) if state else np.iinfo(np.int64).min
-        at_us = pdf["_at"].to_numpy()
-        over = pdf["_over"].to_numpy(dtype=bool)
-        good = pdf["_ok"].to_numpy(dtype=bool)
-        cooling = np.zeros(len(pdf), dtype=bool)
-        start = int(np.searchsorted(at_us, blocked, side="left"))
-        cooling[:start] = True
-        fires = np.flatnonzero(over & good)
-        pos = int(np.searchsorted(fires, start, side="left"))
-        while pos < len(fires):
-            i = int(fires[pos])
-            blocked = int(at_us[i]) + span
-            end = int(np.searchsorted(at_us, blocked, side="left"))
-            cooling[i + 1:end] = True
-            pos = int(np.searchsorted(fires, end, side="left"))
-        status = np.where(cooling | ~over, "suppressed", np.where(good, "sent", "failed"))
-        reason = np.where(cooling, "cooldown", np.where(over, None, "threshold_not_met"))
+        blocked = int(state["blocked"]) if state else NEVER
+        status, reason, blocked = greedy_cooldown(
+            pdf["_at"].to_numpy(), pdf["_over"].to_numpy(dtype=bool), pdf["_ok"].to_numpy(dtype=bool), blocked, span)
         return pdf[columns].assign(status=status, reason=reason), {"blocked": blocked}
 
     order = [at] if tiebreak is None else [at, tiebreak]

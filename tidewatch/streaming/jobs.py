@@ -24,7 +24,7 @@ from tidewatch.operators.features import clean_mentions, combine_partials, secon
 from tidewatch.operators.ordered import ewm_partials_grouped
 from tidewatch.session import configure
 from tidewatch.sources.tables import BatchTable, JointTables, Marks, RecordTable, span_of
-from tidewatch.streaming.state import STATE_CONF, cooldown_stream, running_features_stream
+from tidewatch.streaming.state import STATE_CONF, by_cores, cooldown_stream, running_features_stream
 
 DELAY, LATENESS = "2 minutes", "5 minutes"
 STREAM_CONF = {
@@ -440,8 +440,9 @@ def running_job(mentions: DataFrame, root: str, checkpoint: str, trigger: dict |
                 alpha: float = 0.1, seed: str = "zero") -> tuple[DataStreamWriter, RunningTables]:
     """Mentions -> lifetime features, from keyed state."""
     tables = RunningTables(root)
-    return _writer(running_features_stream(mentions, alpha, seed), tables, checkpoint, "append",
-                   trigger, STATE_CONF), tables
+    writer = _writer(running_features_stream(mentions, alpha, seed), tables, checkpoint, "append",
+                     trigger, STATE_CONF)
+    return by_cores(writer, mentions.sparkSession), tables
 
 
 def cooldown_job(rated: DataFrame, root: str, checkpoint: str, trigger: dict | None = None,
@@ -451,7 +452,8 @@ def cooldown_job(rated: DataFrame, root: str, checkpoint: str, trigger: dict | N
     -> alert history and outbox, from keyed state."""
     tables = DecisionTables(root)
     decided = cooldown_stream(rated, cooldown_minutes, delay, delivered)
-    return _writer(decided, tables, checkpoint, "append", trigger, STATE_CONF), tables
+    writer = _writer(decided, tables, checkpoint, "append", trigger, STATE_CONF)
+    return by_cores(writer, rated.sparkSession), tables
 
 
 def fan_out(*targets: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:

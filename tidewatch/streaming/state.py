@@ -13,10 +13,11 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
+from tidewatch.operators.alerts import NEVER, greedy_cooldown
 from tidewatch.operators.features import clean_mentions, seconds
 from tidewatch.session import configure
 
@@ -25,6 +26,7 @@ STATE_CONF = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.encodingFormat": "avro",
 }
+PARTITIONS, PER_CORE = "spark.sql.shuffle.partitions", 2
 RUNNING = ("news_id string, ticker string, window_end timestamp, neg_news_count_24h int, "
            "pos_news_count_24h int, sentiment_ewm_7d double")
 DECIDED = ("ticker string, window_end timestamp, risk_score_5m double, threshold double, "
@@ -38,6 +40,24 @@ def with_state(df: DataFrame) -> DataFrame:
     return df
 
 
+def by_cores(writer: DataStreamWriter, spark: SparkSession) -> DataStreamWriter:
+    """Has the stream begin with two state partitions per core, if the session has more (its checkpoint
+    keeps their number). In every batch each partition starts Python and opens its state, whether it
+    has rows or not, and tickers are few."""
+    start = writer.start
+
+    def start_by_cores(*args, **options):
+        before = spark.conf.get(PARTITIONS)
+        spark.conf.set(PARTITIONS, str(min(int(before), PER_CORE * spark.sparkContext.defaultParallelism)))
+        try:
+            return start(*args, **options)  # takes a copy of the session's settings
+        finally:
+            spark.conf.set(PARTITIONS, before)
+
+    writer.start = start_by_cores
+    return writer
+
+
 # ---- lifetime features ----
 
 class RunningState(StatefulProcessor):
@@ -83,10 +103,18 @@ def running_features_stream(mentions: DataFrame, alpha: float = 0.1, seed: str =
 
 # ---- cooldown ----
 
+WAITING = {"at": "<i8", "risk": "<f8", "threshold": "<f8", "ok": "?"}  # numpy types of a chunk's columns
+CHUNK = 10_000
+
+
 class CooldownState(StatefulProcessor):
     """Rows wait until the watermark has passed them, so that they are decided in time order however
     they arrive; ``blocked`` is the microsecond until which a ticker is blocked, and goes by a timer
-    once no row can fall before it."""
+    once no row can fall before it.
+
+    Rows wait in chunks, a column as the bytes of one array (a missing number as NaN): a row that
+    waits costs bytes, not a state entry of its own, and all that are due are decided as arrays.
+    """
 
     def __init__(self, cooldown_micros: int):
         self.span = cooldown_micros
@@ -94,50 +122,53 @@ class CooldownState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.blocked = handle.getValueState("blocked", "until long")
-        self.waiting = handle.getListState(
-            "waiting", "at long, risk double, threshold double, ok boolean")
+        self.waiting = handle.getListState("waiting_chunks", ", ".join(f"{c} binary" for c in WAITING))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
-        self.waiting.appendList([
-            (int(at), *(None if np.isnan(x) else float(x) for x in (risk, limit)), bool(ok))
-            for at, risk, limit, ok in zip(new["at"], new["risk_score_5m"].astype(float),
-                                           new["threshold"].astype(float), new["ok"])])
-        self.handle.registerTimer(-(-int(new["at"].min()) // 1000))
+        first = None
+        for part in rows:  # as many as Spark sends at once
+            new = [part[c].to_numpy(dtype=kind) for c, kind in zip(
+                ("at", "risk_score_5m", "threshold", "ok"), WAITING.values())]
+            if len(part):
+                self.waiting.appendValue(tuple(c.tobytes() for c in new))
+                first = min(int(new[0].min()), first if first is not None else int(new[0].max()))
+        if first is not None:
+            self.handle.registerTimer(-(-first // 1000))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         until = self.blocked.get()[0] if self.blocked.exists() else None
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
-        due = sorted((tuple(r) for r in rows if r[0] <= passed),
-                     key=lambda r: (r[0], r[1] is not None, r[1] or 0.0, r[3]))
-        rest = [tuple(r) for r in rows if r[0] > passed]
-        if due:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-            status, reason = [], []
-            for at, risk, limit, ok in due:
-                if until is not None and at < until:
-                    status.append("suppressed")
-                    reason.append("cooldown")
-                elif risk is not None and limit is not None and risk > limit:
-                    status.append("sent" if ok else "failed")
-                    reason.append(None)
-                    until = at + self.span if ok else until
-                else:
-                    status.append("suppressed")
-                    reason.append("threshold_not_met")
-            if until is not None:
+        chunks = list(self.waiting.get()) if self.waiting.exists() else []
+        columns = [np.concatenate([np.frombuffer(chunk[k], dtype=kind) for chunk in chunks] or [np.empty(0, kind)])
+                   for k, kind in enumerate(WAITING.values())]
+        due = columns[0] <= passed
+        rest = [c[~due] for c in columns]
+        if due.any():
+            n = len(rest[0])
+            if n:
+                self.waiting.put([tuple(c[k:k + CHUNK].tobytes() for c in rest) for k in range(0, n, CHUNK)])
+            else:
+                self.waiting.clear()
+            at, risk, limit, ok = (c[due] for c in columns)
+            known = ~np.isnan(risk)
+            order = np.lexsort((ok, np.where(known, risk, 0.0), known, at))
+            at, risk, limit, ok = at[order], risk[order], limit[order], ok[order]
+            status, reason, blocked = greedy_cooldown(at, risk > limit, ok, NEVER if until is None else until, self.span)
+            if blocked != NEVER:
+                until = blocked
                 self.blocked.update((until,))
-            yield pd.DataFrame({
-                "ticker": key[0], "window_end": pd.to_datetime([r[0] for r in due], unit="us"),
-                "risk_score_5m": [r[1] for r in due], "threshold": [r[2] for r in due],
-                "status": status, "reason": reason})
+            for k in range(0, len(at), CHUNK):
+                piece = slice(k, k + CHUNK)
+                yield pd.DataFrame({
+                    "ticker": key[0], "window_end": pd.to_datetime(at[piece], unit="us"),
+                    "risk_score_5m": risk[piece], "threshold": limit[piece],
+                    "status": status[piece], "reason": reason[piece]})
         if until is not None and until <= passed:
             self.blocked.clear()
             until = None
-        if rest or until is not None:  # look again when the next row, or else the block, is passed
-            moment = min(r[0] for r in rest) if rest else until
+        if len(rest[0]) or until is not None:  # look again when the next row, or else the block, is passed
+            moment = int(rest[0].min()) if len(rest[0]) else until
             self.handle.registerTimer(max(-(-moment // 1000), passed // 1000 + 1))
 
     def close(self) -> None:
