@@ -222,3 +222,14 @@ def test_a_keyed_job_begins_with_state_partitions_by_cores(spark, tmp_path):
         folders = [f for f in (tmp_path / checkpoint / "state" / "0").iterdir() if f.name.isdigit()]
         assert 0 < len(folders) <= most
     assert tables.history.read(spark).count() == 2
+
+
+@pytest.mark.parametrize("times", [1, 40, 10_000])
+def test_ids_decide_only_among_equal_times(times):
+    import pandas as pd
+    rnd = random.Random(times)
+    rows = pd.DataFrame({"event_ts": pd.to_datetime([rnd.randrange(times) for _ in range(500)], unit="s"),
+                         "news_id": [rnd.choice([None, f"{rnd.randrange(400)}"]) for _ in range(500)],
+                         "sentiment": [float(k) for k in range(500)]})
+    want = rows.sort_values(["event_ts", "news_id"], kind="stable")
+    assert state.in_order(rows).equals(want)
