@@ -233,3 +233,33 @@ def test_ids_decide_only_among_equal_times(times):
                          "sentiment": [float(k) for k in range(500)]})
     want = rows.sort_values(["event_ts", "news_id"], kind="stable")
     assert state.in_order(rows).equals(want)
+
+
+def test_state_of_the_alert_job_holds_a_mention_once(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in")
+    feed.add(spread(60))
+    writer, tables = jobs.alert_job(feed.stream(), str(tmp_path / "out"), str(tmp_path / "cp"), NOW)
+    query = writer.start()
+    query.awaitTermination()
+    rows = max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"])
+    assert 0 < rows <= 60  # the closed windows' own slices would be five times as many
+    assert tables.history.read(spark).count() > 0
+
+
+def test_a_late_mention_counts_for_open_windows_only_and_a_replay_changes_nothing(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in")
+    parts = [[("1", at(0, 30), "A", -0.5), ("2", at(10), "A", 0.5)],  # closed up to minute 3 after it
+             [("3", at(0, 45), "A", -0.9)], [("4", at(60), "A", 0.5)]]
+    for part in parts:
+        feed.add(part)
+        writer, tables = jobs.alert_job(feed.stream(), str(tmp_path / "out"), str(tmp_path / "cp"), NOW)
+        finish(writer)
+    got = {r.window_end: float(r.risk_score) for r in tables.history.read(spark).collect()}
+    want = {k: alone for s, ends in (([-0.5], (1, 2, 3)), ([-0.5, -0.9], (4, 5)), ([0.5], range(11, 16)))
+            for alone in [float(features.company_features(spark.createDataFrame(
+                [(str(i), at(0, 30 + i), "A", x) for i, x in enumerate(s)], MENTION)).first().risk_score_5m)]
+            for k in map(at, ends)}
+    assert got == want
+    last = tables.clock.last(spark)[0]
+    tables(tables.slices.versions(spark).filter(F.col("_batch") == last).drop("_hour", "_batch"), last)
+    assert {r.window_end: float(r.risk_score) for r in tables.history.read(spark).collect()} == want

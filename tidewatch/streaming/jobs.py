@@ -4,9 +4,9 @@ Every job is: source -> columns -> one keyed, watermarked aggregation -> ``forea
 batch-numbered tables. A window takes late rows until its end + delay + lateness (7 minutes) has been
 passed by the newest event, which is the boundary of bounded out-of-orderness plus allowed lateness.
 
-Jobs that refine windows keep slices of a few seconds in their state, not windows: a mention is
-one row there, and is spread over the windows that hold it only when those are put together. Jobs
-that wait until a window is closed keep the window's own slices, which leave the state with it.
+Jobs keep slices of a few seconds in their state, not windows: a mention is one row there, and is
+spread over the windows that hold it only when those are put together, by the alert job once they are
+closed. Shock alerts keep a closed window's own slices, which leave the state with it.
 """
 
 from __future__ import annotations
@@ -108,13 +108,6 @@ def count_slices(rows: DataFrame, window: str = "5 minutes") -> DataFrame:
         F.count("*").alias("n"), F.max("event_ts").alias("last_ts")))
 
 
-def closed_features(mentions: DataFrame, window: str = "5 minutes", slide: str = "1 minute",
-                    alpha: float = 0.1) -> DataFrame:
-    """Mergeable partials per (window, ticker, slice), for append mode."""
-    rows, groups = _closed_slices(_mentions(mentions), window, slide)
-    return ewm_partials_grouped(rows, alpha, *groups).withColumn("window_end", F.col("w.end")).drop("w")
-
-
 def closed_shocks(events: DataFrame, window: str = "5 minutes", slide: str = "1 minute",
                   headlines: int = 3) -> DataFrame:
     rows, groups = _closed_slices(_shocks(events), window, slide)
@@ -139,26 +132,17 @@ def combine_counts(partials: DataFrame, dealt: tuple[str, ...] = ()) -> DataFram
             .drop(*dealt))
 
 
-class WindowTables:
-    """``foreachBatch`` target: refined slices in, refined windows out, both upserted.
+def passed_by(newest: int) -> int:
+    """The millisecond up to which windows are closed when the newest event is at that microsecond: the
+    watermark of windows."""
+    return newest // 1000 - (seconds(DELAY) + seconds(LATENESS)) * 1000
 
-    ``partials`` keeps the slices, ``windows`` the finished rows, ``records`` the keyed records. Of
-    the windows that hold a refined slice those are put together anew that were open when the batch
-    began; closed ones stay as they are. ``clock`` keeps the newest event of each batch, from which
-    the next one tells which windows are open.
 
-    Slices are dealt out by ticker and stretch of time and meet there, so that one shuffle of them,
-    before they are spread over their windows, serves all that follows.
-    """
+class SliceWindows:
+    """Slices are dealt out by ticker and stretch of time and meet there, so that one shuffle of them,
+    before they are spread over their windows, serves all that follows."""
 
-    def __init__(self, root: str, combine: Callable[[DataFrame, tuple[str, ...]], DataFrame],
-                 prefix: str | None = "feat",
-                 version: str = "v1", window: str = "5 minutes", slide: str = "1 minute"):
-        self.partials = BatchTable(f"{root}/partials", ("ticker", "slice"), "slice")
-        self.windows = BatchTable(f"{root}/windows", ("ticker", "window_end"))
-        self.records = RecordTable(f"{root}/records", ("key",))
-        self.clock = Marks(f"{root}/clock")
-        self.combine, self.prefix, self.version = combine, prefix, version
+    def __init__(self, window: str, slide: str):
         self.window, self.slide = window, slide
         self.stretch = max(3600, seconds(window))  # so a window ends in its slices' stretch or the next
 
@@ -180,11 +164,30 @@ class WindowTables:
                 .filter(F.floor(F.col("_end") / self.stretch) == F.col("_stretch"))
                 .withColumn("window_end", F.timestamp_seconds("_end")).drop("_end"))
 
+
+class WindowTables(SliceWindows):
+    """``foreachBatch`` target: refined slices in, refined windows out, both upserted.
+
+    ``partials`` keeps the slices, ``windows`` the finished rows, ``records`` the keyed records. Of
+    the windows that hold a refined slice those are put together anew that were open when the batch
+    began; closed ones stay as they are. ``clock`` keeps the newest event of each batch, from which
+    the next one tells which windows are open.
+    """
+
+    def __init__(self, root: str, combine: Callable[[DataFrame, tuple[str, ...]], DataFrame],
+                 prefix: str | None = "feat",
+                 version: str = "v1", window: str = "5 minutes", slide: str = "1 minute"):
+        super().__init__(window, slide)
+        self.partials = BatchTable(f"{root}/partials", ("ticker", "slice"), "slice")
+        self.windows = BatchTable(f"{root}/windows", ("ticker", "window_end"))
+        self.records = RecordTable(f"{root}/records", ("key",))
+        self.clock = Marks(f"{root}/clock")
+        self.combine, self.prefix, self.version = combine, prefix, version
+
     def still_open(self, newest: int | None) -> Column:
         if newest is None:
             return F.lit(True)
-        passed = newest // 1000 - (seconds(DELAY) + seconds(LATENESS)) * 1000  # as a watermark counts
-        return F.unix_millis("window_end") > passed
+        return F.unix_millis("window_end") > passed_by(newest)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -266,53 +269,81 @@ def alert_outputs(root: str) -> JointTables:
     return JointTables(root, history=("ticker", "window_end"), outbox=("ticker", "window_end"))
 
 
-class AlertTables:
-    """``foreachBatch`` target for the slices of *closed* windows (append mode): history and outbox.
+class AlertTables(SliceWindows):
+    """``foreachBatch`` target for refined slices (update mode): alert history and outbox.
 
-    Append mode emits all slices of a window at once and the windows in watermark order, so the
-    last sent alert of every ticker, read from the history, is all the state a batch needs.
-    ``delivered`` tells by ticker, window_end and risk whether a notification arrived; one that did
-    not is recorded as failed and starts no cooldown.
+    A batch first decides on the windows that have been closed since the last one, from the slices
+    as the batches before left them: its own rows are late for these windows. Then it writes its own
+    slices. ``clock`` keeps the newest event, ``closed`` the millisecond up to which windows are decided.
+
+    Windows are closed in time order, so the last sent alert of every ticker, read from the history,
+    is all the state of the cooldown that a batch needs. ``delivered`` tells by ticker, window_end and
+    risk whether a notification arrived; one that did not is recorded as failed and starts no cooldown.
     """
 
     def __init__(self, root: str, thresholds=None, default_threshold: float = 0.7,
-                 cooldown_minutes: int = 30, alpha: float = 0.1, delivered: Column | None = None):
+                 cooldown_minutes: int = 30, alpha: float = 0.1, delivered: Column | None = None,
+                 window: str = "5 minutes", slide: str = "1 minute"):
+        super().__init__(window, slide)
         self.alpha = alpha
         self.delivered = delivered
+        self.slices = BatchTable(f"{root}/slices", ("ticker", "slice"), "slice")
+        self.clock, self.closed = Marks(f"{root}/clock"), Marks(f"{root}/closed")
         self.joint = alert_outputs(root)
         self.history, self.outbox = self.joint.tables["history"], self.joint.tables["outbox"]
         self.thresholds, self.default = thresholds, default_threshold
         self.cooldown = cooldown_minutes
 
-    def __call__(self, slices: DataFrame, batch_id: int) -> None:
-        slices = slices.persist()  # else each pass below runs the stateful plan again
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()  # else each pass below runs the stateful plan again
         try:
-            span = span_of(slices, "window_end")
-            if span is not None:
-                self._decide(slices, batch_id, span)
+            before, closed = self.clock.last(spark, batch_id), self.closed.last(spark, batch_id)
+            if before is not None:
+                passed = passed_by(before[1])
+                if closed is None or passed > closed[1]:
+                    self._close(spark, batch_id, closed and closed[1], passed)
+                self.closed.put(spark, batch_id, passed)
+            newest = batch.agg(F.max(F.unix_micros("last_ts"))).first()[0]
+            if newest is not None:
+                self.slices.write(batch, batch_id)
+            seen = [n for n in (before and before[1], newest) if n is not None]
+            if seen:
+                self.clock.put(spark, batch_id, max(seen))
         finally:
-            slices.unpersist()
+            batch.unpersist()
 
-    def rated(self, slices: DataFrame) -> DataFrame:
-        """Windows with risk and threshold."""
-        return alerts.lookup_threshold(combine_partials(slices, self.alpha), self.thresholds,
-                                       self.default)
-
-    def _decide(self, slices: DataFrame, batch_id: int, span: tuple[dt.datetime, dt.datetime]
-                ) -> None:
-        spark = slices.sparkSession
-        rows = self.rated(slices).select("ticker", "window_end", "risk_score_5m", "threshold",
-                                         F.lit(False).alias("earlier"))
-        since = span[0] - dt.timedelta(minutes=self.cooldown)
-        past = self.history.versions(spark, batch_id - 1, (since, span[1]))
+    def rated(self, slices: DataFrame, after: int | None, passed: int) -> DataFrame:
+        """The windows that end after the one millisecond and up to the other, with risk and threshold."""
+        begin, end = F.unix_millis("slice"), F.unix_millis("window_end")
+        slices = slices.filter(begin < passed)
+        due = end <= passed
+        if after is not None:
+            slices = slices.filter(begin + seconds(self.window) * 1000 > after)
+            due = due & (end > after)
+        slices = self.slices.newest(self.dealt(slices), "_stretch")
+        windows = combine_partials(self.spread(slices).filter(due), self.alpha, ("_stretch",))
+        return alerts.lookup_threshold(windows, self.thresholds, self.default)
+
+    def _close(self, spark, batch_id: int, after: int | None, passed: int) -> None:
+        epoch, ms = dt.datetime(1970, 1, 1), dt.timedelta(milliseconds=1)
+        since = None if after is None else epoch + after * ms
+        slices = self.slices.versions(spark, batch_id - 1, since and (
+            since - dt.timedelta(seconds=seconds(self.window)), epoch + passed * ms))
+        if slices is None:
+            return
+        rows = self.rated(slices, after, passed).select(
+            "ticker", "window_end", "risk_score_5m", "threshold", F.lit(False).alias("earlier")).persist()
+        past = since and self.history.versions(spark, batch_id - 1, (
+            since - dt.timedelta(minutes=self.cooldown), epoch + passed * ms))
+        with_past = rows
         if past is not None:
-            sent = past.filter("notification_sent")
-            last = sent.groupBy("ticker").agg(F.max("window_end").alias("window_end"))
-            rows = rows.unionByName(last.select(
+            last = past.filter("notification_sent").groupBy("ticker").agg(F.max("window_end").alias("window_end"))
+            with_past = rows.unionByName(last.select(
                 "ticker", "window_end", F.lit(1.0).alias("risk_score_5m"),
                 F.lit(0.0).alias("threshold"), F.lit(True).alias("earlier")))
         arrived = F.lit(True) if self.delivered is None else self.delivered
-        decisions = alerts.alert_decisions(rows, delivered=F.col("earlier") | arrived,
+        decisions = alerts.alert_decisions(with_past, delivered=F.col("earlier") | arrived,
                                            cooldown_minutes=self.cooldown)
         decisions = decisions.filter(~F.col("earlier")).drop("earlier").persist()
         try:
@@ -320,6 +351,7 @@ class AlertTables:
                              outbox=alerts.outbox(decisions))
         finally:
             decisions.unpersist()
+            rows.unpersist()
 
 
 class DecisionTables:
@@ -385,7 +417,8 @@ def alert_job(mentions: DataFrame, root: str, checkpoint: str, trigger: dict | N
               delivered: Column | None = None) -> tuple[DataStreamWriter, AlertTables]:
     """Closed windows -> alert history and outbox."""
     tables = AlertTables(root, thresholds, default_threshold, cooldown_minutes, delivered=delivered)
-    return _writer(closed_features(mentions), tables, checkpoint, "append", trigger), tables
+    slices = feature_slices(mentions, tables.window, tables.alpha)
+    return _writer(slices, tables, checkpoint, "update", trigger), tables
 
 
 class ShockAlertTables:
