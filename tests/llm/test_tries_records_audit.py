@@ -224,3 +224,9 @@ def test_long_text_with_many_distinct_words(docs, labels):
     text = " ".join(f"w{k}" for k in range(400_000))
     got = audit.filter_audit(docs([(1, text)]), labels([])).where("step = 1").selectExpr("max(removed)").first()[0]
     assert got == 0
+
+
+def test_new_words_of_several_texts_are_learned_together():
+    from tidewatch.llm import records
+    assert list(records.grouped(["ab", "", "cdef", "g"], 4)) == [["ab", "", "cdef"], ["g"]]
+    assert list(records.grouped([])) == []

@@ -25,7 +25,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +50,7 @@ PLAIN = re.compile("[\n\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017f]+")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+|\n")
 MARK = b"\xff" * 4  # between words; no token has this id
 KNOWN_WORDS = 400_000  # entries of the memory, which is emptied when it is full
+GROUP_CHARS = 1 << 18  # of texts that are encoded at once
 INDEX = "shard string, seq long, offset long, length long, doc_id long, n_tokens long, ids_crc32 long"
 
 
@@ -141,21 +142,36 @@ def encoder(definition: str, end: int | None) -> Callable[[list[str]], list[np.n
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         out, last = [], b"" if end is None else struct.pack("<I", end)
-        for text in texts:
-            words = SPACES.split(text) if OTHER_SPACES.search(text) else text.split()
-            here = set(words)
-            new = here.difference(known)
+        split = [SPACES.split(text) if OTHER_SPACES.search(text) else text.split() for text in texts]
+        found = [list(map(known.get, words)) for words in split]  # each word is looked up once
+        new = {w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None}
+        if new:
             if len(new) + len(known) > KNOWN_WORDS:
                 known.clear()
                 known[""] = b""
-                new = here - {""}
             learn_words(list(new))
-            out.append(np.frombuffer(b"".join(map(known.__getitem__, words)) + last, dtype="<u4"))
+        for words, ids in zip(split, found):
+            if None in ids:
+                ids = [known[w] if i is None else i for w, i in zip(words, ids)]
+            out.append(np.frombuffer(b"".join(ids) + last, dtype="<u4"))
         return out
 
     return encode
 
 
+def grouped(texts: Iterable[str], chars: int = GROUP_CHARS) -> Iterator[list[str]]:
+    """Texts in lists of about so many characters, whose new words are learned together."""
+    some, size = [], 0
+    for text in texts:
+        some.append(text)
+        size += len(text)
+        if size >= chars:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 # ---- writing ----
 
 def write_records(docs: DataFrame, path: str, tokenizer_path: str, end: int | None = END_OF_TEXT,
@@ -173,8 +189,9 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end: int | No
             piece = batch.column("piece").to_pylist()
             shards, seqs, out = [], [], []
             texts, ids = batch.column("text"), batch.column("doc_id").to_pylist()
-            for k, doc_id in enumerate(ids):
-                data = frame(pack(doc_id, encode([texts[k].as_py() or ""])[0]))
+            tokens = (t for some in grouped(text.as_py() or "" for text in texts) for t in encode(some))
+            for k, (doc_id, token_ids) in enumerate(zip(ids, tokens)):
+                data = frame(pack(doc_id, token_ids))
                 if filled and filled + len(data) > shard_bytes:
                     number, filled = number + 1, 0
                 shards.append(f"s{piece[k]:07d}-{number:05d}")
