@@ -230,3 +230,21 @@ def test_new_words_of_several_texts_are_learned_together():
     from tidewatch.llm import records
     assert list(records.grouped(["ab", "", "cdef", "g"], 4)) == [["ab", "", "cdef"], ["g"]]
     assert list(records.grouped([])) == []
+
+
+def test_the_memory_of_words_is_bounded_and_keeps_those_met_again(tokenizer, monkeypatch):
+    monkeypatch.setattr(records, "KNOWN_WORDS", 40)
+    memory = records.Memory({"": b""})
+    assert memory.missing(["", "often"]) == ["often"]
+    memory.newer["often"] = b"1234"
+    for k in range(200):
+        assert memory.missing(["often", f"w{k}"]) == [f"w{k}"]  # the frequent word is never learned again
+        memory.newer[f"w{k}"] = b""
+        assert len(memory.newer) + len(memory.older) <= 40
+    with open(vocabulary(), encoding="utf-8") as f:
+        encode = records.encoder(f.read(), 2)
+    for k in range(30):
+        texts = [f" Ça va, naïve{k} x\n\tı{k} ", "", " ", f"Ça l'été <|endoftext|> {k}"]
+        want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert [ids.tolist() for ids in encode(texts)] == want
+    assert encode([]) == []

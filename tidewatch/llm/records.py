@@ -16,7 +16,7 @@ what a task holds.
 Null texts are encoded as empty ones, null ids come first, rows that share an id are sorted by the
 hash of their text. An empty table gives an empty index. Texts of any length are encoded whole, word
 by word: no rule of the tokenizer crosses white space, so words are looked up in a bounded memory
-of those met before. Columns beyond id and text are not looked at.
+of those met before, in this task or an earlier one of its Python worker. Columns beyond id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -25,10 +25,11 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,16 +42,16 @@ SHARD_BYTES = 32 << 20
 END = b"\n"
 HEAD, TAIL, DOC = "<QI", "<I", "<BqB"
 HEAD_SIZE, TAIL_SIZE, DOC_SIZE = map(struct.calcsize, (HEAD, TAIL, DOC))
-SPACES = re.compile(r"[\x20\x09-\x0D]+")
-# what else str.split takes for white space, some of which the tokenizer does not
-OTHER_SPACES = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 # words of which the tokenizer's rules can be told: visible ASCII and Latin letters whose lower case is
 # one letter; and the pieces those rules cut them into
 PLAIN = re.compile("[\n\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017f]+")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+|\n")
+# the letters by which a byte-level model knows the bytes
+SIGNS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTERS = dict(zip([b for b in range(256) if b not in SIGNS], map(chr, range(256, 512))))
 MARK = b"\xff" * 4  # between words; no token has this id
-KNOWN_WORDS = 400_000  # entries of the memory, which is emptied when it is full
-GROUP_CHARS = 1 << 18  # of texts that are encoded at once
+KNOWN_WORDS = 200_000  # entries of a memory
+GROUP_CHARS = 1 << 21  # of texts that are encoded at once
 INDEX = "shard string, seq long, offset long, length long, doc_id long, n_tokens long, ids_crc32 long"
 
 
@@ -97,22 +98,39 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
 
 # ---- tokens ----
 
+class Memory:
+    """Ids of words met before, in two halves: a full newer half becomes the older one, and what was
+    not met again by then is forgotten."""
+
+    def __init__(self, always: dict[str, bytes]) -> None:
+        self.always, self.newer, self.older = always, dict(always), {}
+
+    def missing(self, words: Collection[str]) -> list[str]:
+        """Those of some distinct words that are not known; all others are in the newer half then."""
+        new = [w for w in words if w not in self.newer]
+        if len(self.newer) + len(new) > KNOWN_WORDS // 2:
+            self.older, self.newer = self.newer, dict(self.always)
+            new = [w for w in words if w not in self.newer]
+        self.newer.update((w, self.older[w]) for w in new if w in self.older)
+        return [w for w in new if w not in self.older]
+
+
 def encoder(definition: str, end: int | None) -> Callable[[list[str]], list[np.ndarray]]:
     """A function of texts to token ids. ``definition`` is the tokenizer's own JSON text.
 
     Equal to encoding each text at once: this kind of tokenizer has no token over white space, and
-    takes words in lower case apart at the edges of letters, digits and signs. Words met before are
-    looked up; of others, those of plain letters are put together from such pieces, which are fewer.
-    What is still unknown is encoded many at a time, and tokens go to where their offset lies.
+    takes words in lower case apart at the edges of letters, digits and signs. Arrow cuts texts into
+    words and numbers the distinct ones, of which those met before are looked up; of others, those of
+    plain letters are put together from such pieces, which are fewer. What is still unknown is encoded
+    many at a time, and tokens go to where their offset lies.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is one
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_str(definition)
     model = tokenizer.model
-    known: dict[str, bytes] = {"": b""}  # the ids as 32-bit numbers
-    pieces: dict[str, bytes] = {"\n": MARK}
+    known, pieces = Memory({"": b""}), Memory({"\n": MARK})  # the ids as 32-bit numbers
 
-    def learn(words: list[str], into: dict[str, bytes]) -> None:
+    def learn(words: list[str]) -> None:
         for k in range(0, len(words), 1000):
             part = words[k:k + 1000]
             starts = np.cumsum([0, *(len(w) + 1 for w in part)])
@@ -121,40 +139,36 @@ def encoder(definition: str, end: int | None) -> Callable[[list[str]], list[np.n
             ids = np.array(got.ids, dtype="<u4").tobytes()
             cuts = (4 * np.searchsorted(at, starts)).tolist()
             for w, a, b in zip(part, cuts, cuts[1:]):
-                into[w] = ids[a:b]
+                known.newer[w] = ids[a:b]
 
     def learn_words(words: list[str]) -> None:
         if not (PLAIN.fullmatch(lines := "\n".join(words)) and "<|" not in lines):
-            learn([w for w in words if not PLAIN.fullmatch(w) or "<|" in w], known)
-            words = [w for w in words if w not in known]
+            learn([w for w in words if not PLAIN.fullmatch(w) or "<|" in w])
+            words = [w for w in words if w not in known.newer]
             lines = "\n".join(words)
-        if len(pieces) > KNOWN_WORDS:
-            pieces.clear()
-            pieces["\n"] = MARK
         found = PIECE.findall(lines.lower())
-        new = set(found).difference(pieces)
-        learn([p for p in new if not p.isascii()], pieces)
-        for p in new:
-            if p.isascii():  # such a piece stands for itself before the model, too
-                ids = [t.id for t in model.tokenize(p)]
-                pieces[p] = struct.pack(f"<{len(ids)}I", *ids)
-        known.update(zip(words, b"".join(map(pieces.__getitem__, found)).split(MARK)))
+        for p in pieces.missing(set(found)):  # the model takes bytes as letters; those of an ASCII piece stand for themselves
+            ids = [t.id for t in model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(LETTERS))]
+            pieces.newer[p] = struct.pack(f"<{len(ids)}I", *ids)
+        known.newer.update(zip(words, b"".join(map(pieces.newer.__getitem__, found)).split(MARK)))
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        out, last = [], b"" if end is None else struct.pack("<I", end)
-        split = [SPACES.split(text) if OTHER_SPACES.search(text) else text.split() for text in texts]
-        found = [list(map(known.get, words)) for words in split]  # each word is looked up once
-        new = {w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None}
-        if new:
-            if len(new) + len(known) > KNOWN_WORDS:
-                known.clear()
-                known[""] = b""
-            learn_words(list(new))
-        for words, ids in zip(split, found):
-            if None in ids:
-                ids = [known[w] if i is None else i for w, i in zip(words, ids)]
-            out.append(np.frombuffer(b"".join(ids) + last, dtype="<u4"))
-        return out
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        numbered = split.flatten().dictionary_encode()
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
+        if new := known.missing(words):
+            learn_words(new)
+        found = list(map(known.newer.__getitem__, words))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        places, order = np.cumsum(sizes) - sizes, numbered.indices.to_numpy()
+        stops = np.cumsum(sizes[order])
+        # each word's ids lie together in the table of distinct words
+        shift = np.repeat(places[order] - stops + sizes[order], sizes[order])
+        ids = np.frombuffer(b"".join(found), dtype="<u4")[shift + np.arange(len(shift))]
+        cuts = np.concatenate(([0], stops))[split.offsets.to_numpy()]
+        if end is not None:
+            ids, cuts = np.insert(ids, cuts[1:], end), cuts + np.arange(len(cuts))
+        return [ids[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
 
     return encode
 
@@ -180,10 +194,13 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end: int | No
     into ``path``/index."""
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:  # a few megabytes, whatever the table
-        definition = spark.sparkContext.broadcast(f.read())
+        shared = spark.sparkContext.broadcast({"definition": f.read()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(definition.value, end)
+        mine = shared.value  # one per Python worker, which thus keeps its encoder from task to task
+        if "encode" not in mine:
+            mine["encode"] = encoder(mine.pop("definition"), end)
+        encode = mine["encode"]
         number, filled, seq = 0, 0, 0
         for batch in batches:
             piece = batch.column("piece").to_pylist()
