@@ -15,8 +15,8 @@ what a task holds.
 
 Null texts are encoded as empty ones, null ids come first, rows that share an id are sorted by the
 hash of their text. An empty table gives an empty index. Texts of any length are encoded whole, word
-by word: no rule of the tokenizer crosses white space, so words are looked up in a bounded memory
-of those met before, in this task or an earlier one of its Python worker. Columns beyond id and text are not looked at.
+by piece: no rule of the tokenizer crosses white space, so pieces of words are looked up in a bounded
+memory of those met before, in this task or an earlier one of its Python worker. Columns beyond id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -25,11 +25,11 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Callable, Collection, Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,15 +42,27 @@ SHARD_BYTES = 32 << 20
 END = b"\n"
 HEAD, TAIL, DOC = "<QI", "<I", "<BqB"
 HEAD_SIZE, TAIL_SIZE, DOC_SIZE = map(struct.calcsize, (HEAD, TAIL, DOC))
-# words of which the tokenizer's rules can be told: visible ASCII and Latin letters whose lower case is
-# one letter; and the pieces those rules cut them into
-PLAIN = re.compile("[\n\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017f]+")
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+|\n")
+# texts are cut as UTF-8 bytes; kinds of these
+SPACE, LETTER, DIGIT, SIGN = range(4)
+KIND = np.full(256, SIGN, np.uint8)
+KIND[[*range(9, 14), 32]] = SPACE
+KIND[[*range(97, 123), *range(128, 256)]] = LETTER
+KIND[48:58] = DIGIT
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+# "odd" is what the tokenizer's rules are not told of here: all but visible ASCII, white space and Latin letters
+# whose lower case is one letter; and what may begin a special token. By two bytes.
+ODD = np.zeros((256, 256), bool)
+ODD[[*range(9), *range(14, 32), 127, 0xC2, *range(0xC6, 256)]] = True
+ODD[[0xC3, 0xC3, 0xC4, 0xC5, 60], [0x97, 0xB7, 0xB0, 0x89, 124]] = True
+ODD = ODD.ravel()
+PLAIN = re.compile("[\n\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f]*")
+# after an apostrophe that begins a run of signs
+CLIPPED = {letter: 2 for letter in b"stmd"} | {pair: 3 for pair in (b"re", b"ve", b"ll")}
 # the letters by which a byte-level model knows the bytes
 SIGNS = [*range(33, 127), *range(161, 173), *range(174, 256)]
 LETTERS = dict(zip([b for b in range(256) if b not in SIGNS], map(chr, range(256, 512))))
-MARK = b"\xff" * 4  # between words; no token has this id
-KNOWN_WORDS = 200_000  # entries of a memory
+KNOWN_WORDS = 400_000  # entries of a memory
 GROUP_CHARS = 1 << 21  # of texts that are encoded at once
 INDEX = "shard string, seq long, offset long, length long, doc_id long, n_tokens long, ids_crc32 long"
 
@@ -98,19 +110,55 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
 
 # ---- tokens ----
 
+def cut_pieces(blob: bytes) -> tuple[np.ndarray, pa.Array]:
+    """The tokenizer's pieces of a text that ends in three line ends: where they start, and themselves
+    with ASCII letters in lower case. A word with anything odd in it is one piece, as it is."""
+    raw = np.frombuffer(blob, np.uint8)
+    low = LOWER[raw]
+    kind = KIND[low]
+    cut = kind == DIGIT
+    cut[0] = True
+    cut[1:] |= kind[1:] != kind[:-1]
+    at = np.flatnonzero(low == 39)
+    at = at[cut[at]]
+    for ends, size in CLIPPED.items():
+        one = isinstance(ends, int)
+        hit = low[at + 1] == (ends if one else ends[0])
+        hit = at[hit if one else hit & (low[at + 2] == ends[1])]
+        cut[hit + 1], cut[hit + size] = False, True
+    odd = np.flatnonzero(ODD[raw[:-1].astype(np.uint16) << 8 | raw[1:]])
+    word = kind != SPACE
+    if len(odd):
+        begins = np.flatnonzero(cut & word & np.concatenate(([True], ~word[:-1])))
+        spaces = np.flatnonzero(cut & ~word)
+        begins = begins[np.unique(np.searchsorted(begins, odd, "right") - 1)]
+        edges = np.zeros(len(raw), np.int8)
+        edges[begins] += 1
+        edges[spaces[np.searchsorted(spaces, begins)]] -= 1
+        inside = np.cumsum(edges, dtype=np.int8).astype(bool)
+        cut &= ~inside
+        cut[begins] = True
+        low = np.where(inside, raw, low)
+    starts = np.flatnonzero(cut & word)
+    letters = low[word]
+    offsets = np.append((np.cumsum(word) - 1)[starts], len(letters))
+    return starts, pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(letters))
+
+
 class Memory:
-    """Ids of words met before, in two halves: a full newer half becomes the older one, and what was
+    """Ids of pieces met before, in two halves: a full newer half becomes the older one, and what was
     not met again by then is forgotten."""
 
-    def __init__(self, always: dict[str, bytes]) -> None:
-        self.always, self.newer, self.older = always, dict(always), {}
+    def __init__(self) -> None:
+        self.newer: dict[str, bytes] = {}  # ids as 32-bit numbers
+        self.older: dict[str, bytes] = {}
 
-    def missing(self, words: Collection[str]) -> list[str]:
-        """Those of some distinct words that are not known; all others are in the newer half then."""
+    def missing(self, words: list[str]) -> list[str]:
+        """Those of some distinct pieces that are not known; all others are in the newer half then."""
         new = [w for w in words if w not in self.newer]
         if len(self.newer) + len(new) > KNOWN_WORDS // 2:
-            self.older, self.newer = self.newer, dict(self.always)
-            new = [w for w in words if w not in self.newer]
+            self.older, self.newer = self.newer, {}
+            new = words
         self.newer.update((w, self.older[w]) for w in new if w in self.older)
         return [w for w in new if w not in self.older]
 
@@ -119,18 +167,17 @@ def encoder(definition: str, end: int | None) -> Callable[[list[str]], list[np.n
     """A function of texts to token ids. ``definition`` is the tokenizer's own JSON text.
 
     Equal to encoding each text at once: this kind of tokenizer has no token over white space, and
-    takes words in lower case apart at the edges of letters, digits and signs. Arrow cuts texts into
-    words and numbers the distinct ones, of which those met before are looked up; of others, those of
-    plain letters are put together from such pieces, which are fewer. What is still unknown is encoded
-    many at a time, and tokens go to where their offset lies.
+    takes words in lower case apart at the edges of letters, digits and signs. Texts are cut into such
+    pieces, whose distinct ones Arrow numbers; those met before are looked up and the model encodes the
+    others. Odd words are left whole and encoded many at a time, and tokens go to where their offset lies.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is one
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_str(definition)
     model = tokenizer.model
-    known, pieces = Memory({"": b""}), Memory({"\n": MARK})  # the ids as 32-bit numbers
+    known = Memory()
 
-    def learn(words: list[str]) -> None:
+    def learn_odd(words: list[str]) -> None:
         for k in range(0, len(words), 1000):
             part = words[k:k + 1000]
             starts = np.cumsum([0, *(len(w) + 1 for w in part)])
@@ -141,31 +188,31 @@ def encoder(definition: str, end: int | None) -> Callable[[list[str]], list[np.n
             for w, a, b in zip(part, cuts, cuts[1:]):
                 known.newer[w] = ids[a:b]
 
-    def learn_words(words: list[str]) -> None:
-        if not (PLAIN.fullmatch(lines := "\n".join(words)) and "<|" not in lines):
-            learn([w for w in words if not PLAIN.fullmatch(w) or "<|" in w])
-            words = [w for w in words if w not in known.newer]
-            lines = "\n".join(words)
-        found = PIECE.findall(lines.lower())
-        for p in pieces.missing(set(found)):  # the model takes bytes as letters; those of an ASCII piece stand for themselves
-            ids = [t.id for t in model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(LETTERS))]
-            pieces.newer[p] = struct.pack(f"<{len(ids)}I", *ids)
-        known.newer.update(zip(words, b"".join(map(pieces.newer.__getitem__, found)).split(MARK)))
+    def learn(new: list[str]) -> None:
+        if not (PLAIN.fullmatch(lines := "\n".join(new)) and "<|" not in lines):
+            odd = {p for p in new if not PLAIN.fullmatch(p) or "<|" in p}
+            learn_odd(list(odd))
+            new = [p for p in new if p not in odd]
+        for p in new:  # the model takes bytes as letters; those of ASCII stand for themselves
+            seen = p if p.isascii() else p.lower().encode().decode("latin-1").translate(LETTERS)
+            known.newer[p] = array("I", [t.id for t in model.tokenize(seen)]).tobytes()
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
-        numbered = split.flatten().dictionary_encode()
-        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
-        if new := known.missing(words):
-            learn_words(new)
-        found = list(map(known.newer.__getitem__, words))
+        data = [text.encode() for text in texts]
+        starts, parts = cut_pieces(b"\n".join([*data, b"\n\n\n"]))
+        numbered = parts.dictionary_encode()
+        pieces = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
+        learn(known.missing(pieces))
+        found = list(map(known.newer.__getitem__, pieces))
         sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
         places, order = np.cumsum(sizes) - sizes, numbered.indices.to_numpy()
-        stops = np.cumsum(sizes[order])
-        # each word's ids lie together in the table of distinct words
-        shift = np.repeat(places[order] - stops + sizes[order], sizes[order])
+        counts = sizes[order]
+        stops = np.cumsum(counts)
+        # a piece's ids lie together in the table of distinct pieces
+        shift = np.repeat(places[order] - stops + counts, counts)
         ids = np.frombuffer(b"".join(found), dtype="<u4")[shift + np.arange(len(shift))]
-        cuts = np.concatenate(([0], stops))[split.offsets.to_numpy()]
+        borders = np.cumsum([0, *(len(text) + 1 for text in data)])
+        cuts = np.concatenate(([0], stops))[np.searchsorted(starts, borders)]
         if end is not None:
             ids, cuts = np.insert(ids, cuts[1:], end), cuts + np.arange(len(cuts))
         return [ids[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
