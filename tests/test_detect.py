@@ -123,3 +123,15 @@ def test_user_keywords_are_folded_and_the_first_company_wins(spark):
     dim = spark.createDataFrame(keys, "keyword string, ticker string, ord int")
     by_dim = {(r.news_id, r.ticker) for r in detect.detect_companies_by_dim(news, dim).collect()}
     assert plain == by_dim == {("1", "TSLA"), ("2", "QE")}
+
+
+def test_headline_and_body_are_folded_apart_and_matched_as_one_text(spark):
+    rows = [("a", "Made by General", "Motors in Ford"), ("b", "Tesla", ""), ("c", "Tesla", None),
+            ("d", None, "Tesla"), ("e", "", "Apple"), ("f", "Tes", "la")]
+    news = spark.createDataFrame(rows, "news_id string, headline string, full_text string")
+    hits = detect.with_keyword_hits(news)
+    got = {r["news_id"]: [(h["keyword"], h["role"]) for h in r["_hits"] or []] for r in hits.collect()}
+    assert got == {"a": [("general motors", "mentioned"), ("ford", "mentioned")], "b": [("tesla", "primary")],
+                   "c": [("tesla", "primary")], "d": [], "e": [("apple", "mentioned")], "f": []}
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat(headline" not in plan  # the headline is not folded and tokenised a second time

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import dims
 from tidewatch.functions.scoring import keyword_sentiment, simple_sentiment, simple_ticker
-from tidewatch.functions.text import (anchor_word, anchor_word_column, first_matching, fold,
+from tidewatch.functions.text import (anchor_word, anchor_word_column, bind, first_matching, fold,
                                       full_text, is_one_word, tokens, word_pattern,
                                       word_pattern_column)
 from tidewatch.operators.common import once
@@ -35,23 +35,29 @@ def _folded(keywords) -> list[tuple]:
 def with_keyword_hits(news: DataFrame, keywords=None) -> DataFrame:
     """Adds ``_hits``: array<struct<keyword, ticker, ord, role>> in matching order.
 
-    A row expression: no shuffle and no row explosion. Text and headline are tokenised once. A
-    one-word keyword matches exactly where it is a token; the others run a regular expression, and
-    only where their anchor word is a token.
+    A row expression: no shuffle and no row explosion. Headline and body are folded and tokenised once
+    each: the blank between them ends a word, so the text's tokens are those of both. A one-word keyword
+    matches exactly where it is a token; the others run a regular expression on the whole text, and only
+    where their anchor word is a token.
     """
     keywords = _folded(dims.keyword_rows() if keywords is None else keywords)
     anchors = F.array(*[F.lit(a) for a in sorted({anchor_word(k) for k, _, _ in keywords})])
-    text = full_text(F.col("headline"), F.col("full_text"))
-    lowered = once(news, "_low", F.struct(fold(text).alias("text"),
-                                          fold(F.col("headline")).alias("head")))
-    seen = once(lowered, "_seen", F.struct(
-        F.array_intersect(tokens(F.col("_low.text")), anchors).alias("text"),
-        F.array_intersect(tokens(F.col("_low.head")), anchors).alias("head")))
+    head, body = F.col("_low.head"), F.col("_low.body")
+    lowered = once(news, "_low", F.struct(
+        fold(F.col("headline")).alias("head"),
+        F.when(F.length("full_text") > 0, fold(F.col("full_text"))).alias("body")))
+
+    def met(part: Column) -> Column:
+        return F.array_intersect(tokens(part), anchors)
+    # a missing body adds nothing, a missing headline leaves no text
+    seen = once(lowered, "_seen", bind(met(head), lambda h: F.struct(
+        h.alias("head"), F.when(body.isNull(), h).otherwise(F.array_union(h, met(body))).alias("text"))))
+    whole = "IF(_low.body IS NULL, _low.head, concat(_low.head, ' ', _low.body))"
     hits = F.expr(f"""
         transform(
           filter({_keyword_table(keywords)},
                  k -> array_contains(_seen.text, k.anchor)
-                      AND (k.one_word OR _low.text rlike k.pattern)),
+                      AND (k.one_word OR {whole} rlike k.pattern)),
           k -> named_struct('keyword', k.keyword, 'ticker', k.ticker, 'ord', k.ord, 'role',
                IF(array_contains(_seen.head, k.anchor)
                   AND (k.one_word OR _low.head rlike k.pattern), 'primary', 'mentioned')))""")
